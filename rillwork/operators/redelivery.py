@@ -28,7 +28,8 @@ class WinnerStore:
     that dies before the rename leaves the earlier state; folders that no manifest names are never read. Several writers at
     once are not supported.
 
-    Columns: `key` (any number), `arrived` TIMESTAMP, `row_id` (unique per delivery; the surplus is told by it) and `carried`.
+    Columns: `key` (any number), `arrived` TIMESTAMP, `row_id` (unique per delivery, may contain columns of the key; the surplus is
+    told by it) and `carried`.
     The winner of a key is the row with the earliest arrival, then the smallest row_id; a null arrival counts as the latest.
 
     Defined results: rows with a null in a key column are nobody's copies and are not stored; rows repeated with the same row_id
@@ -90,7 +91,8 @@ class WinnerStore:
     def merge(self, incoming: DataFrame) -> Merge:
         m = self.manifest()
         n = m["version"] + 1
-        known = [*self.key, *self.row_id, self.arrived, *self.carried]
+        told = [c for c in self.row_id if c not in self.key]
+        known = [*self.key, *told, self.arrived, *self.carried]
         new = incoming.select(*[F.col(f"`{c}`") for c in known]).dropna(subset=self.key)
         schema = m.get("schema") or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
         tagged = new.withColumn("_new", F.lit(True))
@@ -103,9 +105,9 @@ class WinnerStore:
                 old = self._read(sorted({f for p in affected for f in m["parts"][p]}), schema)
                 tagged = tagged.unionByName(old.withColumn("_new", F.lit(False)))
 
-        rank = F.struct(F.col(f"`{self.arrived}`").isNull().alias("_late"), F.col(f"`{self.arrived}`").alias("_at"), *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(self.row_id)], F.col("_new"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(self.carried)])
+        rank = F.struct(F.col(f"`{self.arrived}`").isNull().alias("_late"), F.col(f"`{self.arrived}`").alias("_at"), *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(told)], F.col("_new"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(self.carried)])
         best = tagged.groupBy(*self.key).agg(F.min(rank).alias("_w"))
-        won = best.select(*self.key, *[F.col(f"_w._r{i}").alias(c) for i, c in enumerate(self.row_id)], F.col("_w._at").alias(self.arrived), *[F.col(f"_w._c{i}").alias(c) for i, c in enumerate(self.carried)], F.col("_w._new").alias("_new"))
+        won = best.select(*self.key, *[F.col(f"_w._r{i}").alias(c) for i, c in enumerate(told)], F.col("_w._at").alias(self.arrived), *[F.col(f"_w._c{i}").alias(c) for i, c in enumerate(self.carried)], F.col("_w._new").alias("_new"))
         won = won.withColumn("_part", self._partition())
         data = f"{self.path}/data/{n}"
         # a rebalance keeps one writer per small partition and splits a hot one
@@ -122,10 +124,10 @@ class WinnerStore:
 
         kept = [f for fs in written.values() for f in fs]
         lost = f"{self.path}/surplus/{n}"
-        every = tagged.select(*self.key, *self.row_id)
+        every = tagged.select(*self.key, *told)
         if kept:
             every = every.join(self._read(kept, schema).select(*self.row_id), self.row_id, "left_anti")
-        every.select(*self.key, *self.row_id).write.mode("overwrite").parquet(lost)
+        every.select(*self.key, *told).write.mode("overwrite").parquet(lost)
 
         self._commit({"version": n, "parts": parts, "index": [*m["index"], *([index] if fresh else [])], "schema": schema})
         lost_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema.fields)

@@ -257,8 +257,9 @@ def shared_spans(
     routed = through_table(route.join(load, "k").select("d", "k", F.pmod(F.xxhash64("d", F.lit(7)), F.col("n")).cast("int").alias("s")), "route")
 
     texts = base.join(involved, "d", "left_semi").distinct()
-    refs = texts.withColumn("k", shard).join(routed.select("k", "s").distinct(), "k").select("k", "s", "d", "t")
-    probes = texts.join(routed, "d").select("k", "s", "d", "t")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("k", "s", "d", "t")])  # noqa: E731  both sides come from `texts`: own column ids
+    refs = fresh(texts.withColumn("k", shard).join(routed.select("k", "s").distinct(), "k"))
+    probes = fresh(texts.join(routed, "d"))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         rd, qd = left.column("d").to_pylist(), right.column("d").to_pylist()

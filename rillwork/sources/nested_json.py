@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -335,7 +336,7 @@ def flatten_bodies(df: DataFrame, key: str, body: str, fields: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            lens = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            lens = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.diff(np.cumsum(lens) // CHUNK_BYTES)) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
                 if hi <= lo:

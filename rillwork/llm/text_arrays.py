@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once: bounds the memory of the arrays, whatever the size of a batch of rows.
 CHUNK_POINTS = 1 << 20
@@ -35,7 +36,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of at most CHUNK_POINTS bytes of text (or one text), nulls as empty texts."""
-    lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
+    lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
     cut = np.flatnonzero(np.diff(np.cumsum(lens) // CHUNK_POINTS)) + 1
     for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
         if hi > lo:

@@ -1 +1 @@
-"""Subpackage of rillwork."""
+"""Structured Streaming: ordered reassembly and live playlists."""

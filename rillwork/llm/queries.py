@@ -16,7 +16,7 @@ from .personal import find_personal
 from .shared_spans import shared_spans
 
 #: A comment counts as abusive from this score on.
-ABUSE_THRESHOLD = 0.5
+ABUSE_THRESHOLD = 0.75
 #: A document is listed for an item from this alignment score on, or with a run of 60 letters and digits.
 LEAK_SCORE = 0.6
 SPAN = 300

@@ -42,19 +42,32 @@ def join_base(base: Column, ref: Column) -> Column:
     return F.when(is_absolute(ref) | ref.contains("?"), plain).otherwise(F.concat(plain, query_of(base)))
 
 
+def _join(base: str | None, ref: str | None) -> str | None:
+    if base is None or ref is None:
+        return None
+    if re.match(r"(https?|file|ftp)://", ref):
+        return ref
+    joined = urlsplit(urljoin(base, ref))
+    return urlunsplit(joined if joined.query else joined._replace(query=urlsplit(base).query))
+
+
 @F.pandas_udf(StringType())
-def join_base_full(base: pd.Series, ref: pd.Series) -> pd.Series:
+def join_base_full(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The same with RFC 3986 dot segments."""
+    for base, ref in rows:
+        yield pd.Series([_join(b, r) for b, r in zip(base, ref)], dtype=object)
 
-    def one(b, r):
-        if b is None or r is None:
-            return None
-        if re.match(r"(https?|file|ftp)://", r):
-            return r
-        joined = urlsplit(urljoin(b, r))
-        return urlunsplit(joined if joined.query else joined._replace(query=urlsplit(b).query))
 
-    return pd.Series([one(b, r) for b, r in zip(base, ref)], dtype=object)
+@F.pandas_udf(StringType())
+def join_levels(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A base joined with an array of references in turn; null references change nothing."""
+    for base, refs in rows:
+        out = []
+        for b, levels in zip(base, refs):
+            for r in [] if levels is None else levels:
+                b = b if r is None else _join(b, r)
+            out.append(b)
+        yield pd.Series(out, dtype=object)
 
 
 def url_filename(url: Column) -> Column:

@@ -87,17 +87,17 @@ def expand_runs(df: DataFrame, partition: list[str], order: list, start: str | N
     w = _w(partition, order)
     count = F.greatest(F.coalesce(F.col(repeat), L(0)) + 1, L(0)).cast("bigint")
     given = F.col(start) if start else L(None).cast("bigint")
-    d = df.withColumn("_n", count).withColumn("_t", given).withColumn("_run", F.count("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = _w([*partition, "_run"], order)
-    base = F.coalesce(F.first("_t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), L(0))
-    d = d.withColumn("_base", base + F.coalesce(F.sum(F.col("_n") * F.col(ticks)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), L(0)))
-    d = d.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), L(0)))
-    steps = F.when(F.col("_n") > 0, F.sequence(L(0).cast("bigint"), F.col("_n") - 1)).otherwise(F.array().cast("array<bigint>"))
+    d = df.withColumn("__n", count).withColumn("__t", given).withColumn("__run", F.count("__t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = _w([*partition, "__run"], order)
+    base = F.coalesce(F.first("__t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), L(0))
+    d = d.withColumn("__base", base + F.coalesce(F.sum(F.col("__n") * F.col(ticks)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), L(0)))
+    d = d.withColumn("__before", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), L(0)))
+    steps = F.when(F.col("__n") > 0, F.sequence(L(0).cast("bigint"), F.col("__n") - 1)).otherwise(F.array().cast("array<bigint>"))
     return (
-        d.withColumn("_i", F.explode(steps))
-        .withColumn("time", (F.col("_base") + F.col("_i") * F.col(ticks)).cast("bigint"))
-        .withColumn("number", (F.col("_before") + F.col("_i") + first_number).cast("bigint"))
-        .drop("_n", "_t", "_run", "_base", "_before", "_i")
+        d.withColumn("__i", F.explode(steps))
+        .withColumn("time", (F.col("__base") + F.col("__i") * F.col(ticks)).cast("bigint"))
+        .withColumn("number", (F.col("__before") + F.col("__i") + first_number).cast("bigint"))
+        .drop("__n", "__t", "__run", "__base", "__before", "__i")
     )
 
 

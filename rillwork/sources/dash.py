@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_kind, media_range, resolve_template
-from ..functions.urls import join_base
+from ..functions.urls import join_base_full, join_levels
 from ..operators.select import best_representation
 from ..operators.timeline import expand_nominal, expand_runs, nominal_count, period_starts, resolve_open_repeats
 
@@ -55,10 +55,7 @@ def representations(manifests: DataFrame) -> DataFrame:
     first = F.aggregate(F.slice(F.col("mpd.Period"), L(1), F.col("period")), L(0), lambda n, x: n + F.size(x["AdaptationSet"]))
     sets = sets.withColumn("stream_id", (F.when(F.col("period") > 0, first).otherwise(0) + F.col("set")).cast("bigint"))
     r = sets.select("*", F.posexplode("a.Representation").alias("ordinal", "r"))
-    base = F.col("url")
-    for level in ("mpd", "p", "a", "r"):
-        ref = F.trim(F.col(f"{level}.BaseURL"))
-        base = F.when(ref.isNotNull(), join_base(base, ref)).otherwise(base)
+    base = join_levels(F.col("url"), F.array(*[F.trim(F.col(f"{level}.BaseURL")) for level in ("mpd", "p", "a", "r")]))
     template = lambda name: F.coalesce(*[F.col(f"{x}.SegmentTemplate.{name}") for x in ("r", "a", "p")])
     listed = F.coalesce(*[F.col(f"{x}.SegmentList") for x in ("r", "a", "p")])
     mime = F.coalesce("a._mimeType", "r._mimeType")
@@ -94,12 +91,12 @@ def plan(manifests: DataFrame) -> DataFrame:
     templated = lined.unionByName(nominal)
     fill = lambda t, more: resolve_template(t, {"RepresentationID": F.col("representation_id"), "Bandwidth": F.col("bandwidth"), **more})
     numbered = {"Number": F.col("number"), "Time": F.col("time")}
-    templated = templated.withColumn("uri", join_base(F.col("base"), fill(F.col("media"), numbered))).withColumn("byte_range", L(None).cast("struct<offset:bigint,length:bigint>")).withColumn("init_uri", F.when(F.col("initialization").isNotNull(), join_base(F.col("base"), fill(F.col("initialization"), {}))))
+    templated = templated.withColumn("uri", join_base_full(F.col("base"), fill(F.col("media"), numbered))).withColumn("byte_range", L(None).cast("struct<offset:bigint,length:bigint>")).withColumn("init_uri", join_base_full(F.col("base"), fill(F.col("initialization"), {})))
 
     one = best.where("timeline is null and listed is not null").select("*", F.posexplode("listed.SegmentURL").alias("_n", "_u"))
     one = one.withColumn("number", F.col("_n").cast("bigint") + 1).withColumn("time", F.floor(F.col("_n") * F.coalesce("duration", L(0))).cast("bigint"))
-    one = one.withColumn("uri", F.when(F.col("_u._media").isNotNull(), join_base(F.col("base"), F.col("_u._media"))).otherwise(F.col("base"))).withColumn("byte_range", F.when(F.col("_u._mediaRange").isNotNull(), media_range(F.col("_u._mediaRange"))))
-    one = one.withColumn("init_uri", F.when(F.col("listed.Initialization._sourceURL").isNotNull(), join_base(F.col("base"), F.col("listed.Initialization._sourceURL")))).drop("_n", "_u")
+    one = one.withColumn("uri", F.coalesce(join_base_full(F.col("base"), F.col("_u._media")), F.col("base"))).withColumn("byte_range", F.when(F.col("_u._mediaRange").isNotNull(), media_range(F.col("_u._mediaRange"))))
+    one = one.withColumn("init_uri", join_base_full(F.col("base"), F.col("listed.Initialization._sourceURL"))).drop("_n", "_u")
 
     file = best.where("timeline is null and listed is null and (duration is null or media is null)")
     file = file.withColumn("number", L(1).cast("bigint")).withColumn("time", L(0).cast("bigint")).withColumn("uri", F.col("base")).withColumn("byte_range", L(None).cast("struct<offset:bigint,length:bigint>")).withColumn("init_uri", L(None).cast("string"))

@@ -181,8 +181,10 @@ class StructuralIndex:
             raw = data[i:j]
             c = seen.get(raw)
             if c is None:
-                name = normal_key(json.loads(raw)) if not self._spoilt(i) else ""
-                c = seen[raw] = self.codes.setdefault(name, len(self.codes))
+                if self._spoilt(i):  # its text need not be a valid string, and it has no tokens to name
+                    code.append(-1)
+                    continue
+                c = seen[raw] = self.codes.setdefault(normal_key(json.loads(raw)), len(self.codes))
             code.append(c)
         named = keys + 2  # key, colon, value
         good = named < n

@@ -46,7 +46,6 @@ def test_live_playlists_beyond_the_mark(spark, tmp_path):
             time.sleep(0.5)
             if q.recentProgress and any(p.numInputRows for p in q.recentProgress):
                 break
-        q.processAllAvailable() if False else None
         q.stop()
 
     once()

@@ -39,7 +39,7 @@ HARMLESS = [
 
 
 def seed_rows(times: int = 2, seed: int = 17) -> tuple[list[str], list[str]]:
-    """(texts, labels): each frame filled `times` times; the same rows in every process."""
+    """(texts, labels): each frame filled `times` times and each insult once; the same rows in every process."""
     r = random.Random(seed)
     texts, labels = [], []
     for label, frames in (("abusive", ABUSIVE), ("hateful", HATEFUL), ("sexual", SEXUAL), ("none", HARMLESS)):
@@ -51,4 +51,8 @@ def seed_rows(times: int = 2, seed: int = 17) -> tuple[list[str], list[str]]:
                         t = t.replace(mark, r.choice(words), 1)
                 texts.append(t)
                 labels.append(label)
+    for words, frames in ((_EN_NOUN, ("you {}", "ugly {}")), (_JA_NOUN, ("この{}", "{}だな")), (_DE_NOUN, ("du {}",)), (_ES_NOUN, ("eres {}",))):
+        for i, w in enumerate(words):
+            texts.append(frames[i % len(frames)].format(w))
+            labels.append("abusive")
     return texts, labels

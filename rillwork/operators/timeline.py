@@ -113,10 +113,10 @@ def nominal_count(seconds: Column, timescale: Column, duration: Column) -> Colum
     return F.ceil(seconds * timescale / duration).cast("bigint")
 
 
-def expand_nominal(df: DataFrame, count: Column, first_number: Column, duration: Column) -> DataFrame:
-    """`number` and `time` (ticks) of segments of equal nominal duration."""
-    n = count.cast("bigint")
-    steps = F.when(n > 0, F.sequence(L(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+def expand_nominal(df: DataFrame, count: Column, first_number: Column, duration: Column, skip: Column | None = None) -> DataFrame:
+    """`number` and `time` (ticks) of segments of equal nominal duration; the first `skip` are not generated at all."""
+    n, low = count.cast("bigint"), L(0).cast("bigint") if skip is None else F.greatest(skip.cast("bigint"), L(0).cast("bigint"))
+    steps = F.when(n > low, F.sequence(low, n - 1)).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn("_i", F.explode(steps)).withColumn("number", (first_number + F.col("_i")).cast("bigint")).withColumn("time", F.floor(F.col("_i") * duration).cast("bigint")).drop("_i")
 
 
@@ -135,6 +135,16 @@ def available(start: Column, now: Column, offset: Column | None = None, delay: C
     return ok
 
 
+def rescale(ticks: Column, from_rate: Column, to_rate: Column) -> Column:
+    """Ticks of one rate in another, rounded to the nearest; rates are ticks a second."""
+    return F.round(ticks * to_rate / from_rate).cast("bigint")
+
+
+def total_offset(df: DataFrame, period: list[str], offset: str) -> DataFrame:
+    """Sum of the availability offsets of the adaptation sets of each period; none counts as 0."""
+    return df.groupBy(*period).agg(F.coalesce(F.sum(offset), L(0)).alias("offset"))
+
+
 def within_period(start: Column, period_start: Column, duration: Column) -> Column:
     """Before the end of the period; an open period has none."""
     return duration.isNull() | (start < period_start + duration)

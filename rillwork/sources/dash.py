@@ -71,13 +71,19 @@ def representations(manifests: DataFrame) -> DataFrame:
     )
 
 
-def plan(manifests: DataFrame) -> DataFrame:
+def plan(manifests: DataFrame, open_until_us: Column | None = None, skip_before_us: Column | None = None) -> DataFrame:
     """The segments of the best representation of every adaptation set: url, stream_id, sequence (per stream), time, number, uri, byte_range, init_uri, start_us, kind.
 
     start_us is relative to the start of the presentation. Four ways of addressing: a timeline of runs, nominal durations, a list, one file.
     Open repeats (r < 0) go on to the next explicit start or the end of the period.
+
+    Periods without an end stop at open_until_us, and nominal segments that end before skip_before_us are not generated: both are columns of
+    `manifests` in microseconds of the presentation, so a live manifest expands to its window only.
     """
-    best = best_representation(representations(manifests), ["url", "stream_id"], "width", "height", "bandwidth", "ordinal")
+    reps = representations(manifests)
+    bounds = manifests.select("url", (L(None).cast("bigint") if open_until_us is None else open_until_us).alias("_until"), (L(0).cast("bigint") if skip_before_us is None else skip_before_us).alias("_low"))
+    reps = reps.join(bounds, "url").withColumn("period_duration", F.coalesce("period_duration", F.greatest(F.col("_until") - F.col("period_start"), L(0))))
+    best = best_representation(reps, ["url", "stream_id"], "width", "height", "bandwidth", "ordinal")
     ticks_end = F.floor(F.col("period_duration") * F.col("timescale") / 1_000_000).cast("bigint") + F.col("time_offset")
     best = best.withColumn("_end", ticks_end)
 
@@ -86,7 +92,8 @@ def plan(manifests: DataFrame) -> DataFrame:
     lined = expand_runs(lined, ["url", "stream_id"], [F.col("_n")], "_t", "_d", "_r", F.col("start_number")).drop("_n", "_s", "_t", "_d", "_r")
 
     nominal = best.where("timeline is null and listed is null and duration is not null and media is not null")
-    nominal = expand_nominal(nominal, nominal_count(F.col("period_duration") / 1_000_000, F.col("timescale"), F.col("duration")), F.col("start_number"), F.col("duration"))
+    low = F.floor((F.col("_low") - F.col("period_start")) / 1_000_000 * F.col("timescale") / F.col("duration")) - 1
+    nominal = expand_nominal(nominal, nominal_count(F.col("period_duration") / 1_000_000, F.col("timescale"), F.col("duration")), F.col("start_number"), F.col("duration"), low)
 
     templated = lined.unionByName(nominal)
     fill = lambda t, more: resolve_template(t, {"RepresentationID": F.col("representation_id"), "Bandwidth": F.col("bandwidth"), **more})
@@ -107,3 +114,25 @@ def plan(manifests: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("url", "stream_id").orderBy("number")
     return rows.select("url", "stream_id", (F.row_number().over(w) - 1).cast("bigint").alias("sequence"), "time", "number", "uri", "byte_range", "init_uri", start.alias("start_us"), "kind", "representation_id", "bandwidth")
+
+
+def live_plan(manifests: DataFrame, since_us: Column | None = None, inclusive: bool = True) -> DataFrame:
+    """The segments of dynamic manifests that are available at `now_us`, a column of `manifests` (microseconds since the epoch).
+
+    at_us is the segment's time on the wall clock: availability start, period start and media time. The window ends at now less the suggested delay and
+    begins a time-shift buffer earlier; `since_us` is the cursor of an earlier load, itself left out unless `inclusive`. refresh_us is the
+    update period, two seconds where none is given; the loop that reads again belongs to the caller or to a stream.
+    """
+    text = lambda name: iso_duration_us(F.col(f"mpd.{name}"))
+    head = parsed(manifests).join(manifests.select("url", F.col("now_us").cast("bigint").alias("now_us")), "url").select(
+        "url", "now_us", F.coalesce(F.unix_micros(F.try_to_timestamp("mpd._availabilityStartTime")), L(0)).alias("_zero"), text("_timeShiftBufferDepth").alias("_buffer"),
+        F.coalesce(text("_suggestedPresentationDelay"), L(0)).alias("_delay"), F.coalesce(text("_minimumUpdatePeriod"), L(2_000_000)).alias("refresh_us"), F.coalesce("mpd._type", L("static")).alias("type"),
+    )
+    timed = manifests.select("url", "content").join(head, "url")
+    rows = plan(timed, F.col("now_us") - F.col("_zero") - F.col("_delay"), F.col("now_us") - F.col("_zero") - F.coalesce(F.col("_buffer"), F.col("now_us") - F.col("_zero"))).join(head, "url")
+    at = F.col("_zero") + F.col("start_us")
+    low = None if since_us is None else ((at >= since_us) if inclusive else (at > since_us)) | since_us.isNull()
+    dynamic = (at <= F.col("now_us") - F.col("_delay")) & (F.col("_buffer").isNull() | (at >= F.col("now_us") - F.col("_buffer")))
+    kept = rows.withColumn("at_us", at).where((F.col("type") != "dynamic") | dynamic)
+    kept = kept if low is None else kept.where(low)
+    return kept.select("url", "stream_id", "number", "time", "uri", "init_uri", "kind", "at_us", "refresh_us", "type")

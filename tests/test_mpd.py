@@ -64,3 +64,18 @@ def test_durations(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(dash.iso_duration_us(F.col("t"))).collect()] == [1514_000_000, 93_600_000_000, 500_000, 3_661_250_000, None, None, None]
+
+
+def test_live_window(spark):
+    text = """<MPD type="dynamic" availabilityStartTime="2024-01-01T00:00:00Z" timeShiftBufferDepth="PT10S" suggestedPresentationDelay="PT3S">
+    <Period start="PT0S"><AdaptationSet contentType="video"><SegmentTemplate duration="2" startNumber="1" media="$Number$.m4s"/><Representation id="v"/></AdaptationSet></Period></MPD>"""
+    from pyspark.sql import functions as F
+
+    zero = 1704067200_000_000
+    df = spark.createDataFrame([("http://h.example/m.mpd", text, zero + 3600_000_000)], "url string, content string, now_us long")
+    rows = dash.live_plan(df).orderBy("number").collect()
+    # available: starts between now - 10 s and now - 3 s
+    assert [(r["at_us"] - zero) // 1_000_000 for r in rows] == [3590, 3592, 3594, 3596] and rows[0]["uri"] == "http://h.example/1796.m4s" and rows[0]["refresh_us"] == 2_000_000
+    later = dash.live_plan(df, F.lit(zero + 3594_000_000), inclusive=False).collect()
+    assert [(r["at_us"] - zero) // 1_000_000 for r in later] == [3596]
+    assert df.select(dash.iso_duration_us(F.lit("PT2S"))).first()[0] == 2_000_000

@@ -15,6 +15,8 @@ from .text_arrays import WindowHash, code_points, slices, sliding
 
 #: Normalised code points of items per broadcast block; larger item sets are scanned in several blocks.
 BLOCK_POINTS = 2_000_000
+#: Cells of alignment tables that are filled at once.
+ALIGN_CELLS = 1 << 19
 _LAST = 0x32400
 _tables: list[np.ndarray] = []
 
@@ -82,13 +84,19 @@ class Seeds:
 
 
 def rarest_places(frequency: np.ndarray, window: int) -> np.ndarray:
-    """Places such that each `window` successive ones hold at least one: the rarest of each, the first of equals."""
+    """Places of grams that occur (frequency above 0): the rarest of each `window` successive places, the first of equals.
+
+    Grams that occur nowhere never stand for others: they lie across the edits of a copy and can hit nothing. So `window` successive grams
+    that all occur hold at least one place.
+    """
     n = len(frequency)
     if n == 0:
         return np.zeros(0, np.int64)
     window = min(window, n)
-    score = frequency.astype(np.int64) * n + np.arange(n)
-    return np.unique(sliding(score, window, np.minimum) % n)
+    frequency = frequency.astype(np.int64)
+    score = np.where(frequency > 0, frequency, frequency.max() + 1) * n + np.arange(n)
+    at = np.unique(sliding(score, window, np.minimum) % n)
+    return at[frequency[at] > 0]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -2, gap: int = 2) -> int:
@@ -106,6 +114,31 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
+def alignments(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, mismatch: int = -2, gap: int = 2) -> np.ndarray:
+    """smith_waterman of every pair, many at once: one axis for the pairs, one for the second array; padding matches nothing."""
+    best = np.zeros(len(pairs), np.int64)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])), reverse=True)
+    while order:
+        width = len(pairs[order[0]][1])
+        part, order = order[: max(1, ALIGN_CELLS // width)], order[max(1, ALIGN_CELLS // width) :]
+        a = np.full((max(len(pairs[i][0]) for i in part), len(part)), 0xFFFFFFFF, np.uint32)
+        b = np.full((width, len(part)), 0xFFFFFFFE, np.uint32)
+        for j, i in enumerate(part):
+            a[: len(pairs[i][0]), j], b[: len(pairs[i][1]), j] = pairs[i]
+        slope = (np.arange(width + 1, dtype=np.int32) * gap)[:, None]
+        row, top = np.zeros((width + 1, len(part)), np.int32), np.zeros(len(part), np.int32)
+        for x in a:
+            new = np.zeros_like(row)
+            np.maximum(row[:-1] + np.where(b == x, np.int32(match), np.int32(mismatch)), row[1:] - np.int32(gap), out=new[1:])
+            np.maximum(new, 0, out=new)
+            new += slope
+            row = np.maximum.accumulate(new, axis=0, out=new)
+            row -= slope
+            np.maximum(top, row.max(0), out=top)
+        best[part] = top
+    return best
+
+
 def longest_run(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> tuple[int, int]:
     """(length, start in a) of the longest common run of a and b on the given diagonals (place in a minus place in b)."""
     best, where = 0, 0
@@ -126,15 +159,16 @@ _SCHEMA = "doc_id bigint, item_id bigint, score double, run bigint, run_from big
 
 def leaked_items(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
-    run: int = 60, k: int = 16, block_points: int = BLOCK_POINTS,
+    run: int = 60, k: int = 12, intact: int = 14, block_points: int = BLOCK_POINTS,
 ) -> DataFrame:
     """(doc_id, item_id, score, run, run_from, run_until) for every document and item that share a seed.
 
-    Texts are compared by their lower-cased letters and digits. Seeds are k-grams of the items: of each stretch of `run` characters of an
-    item the gram found in the fewest documents (counted over all of them) is one, so any common run of `run` characters contains a seed
-    and nothing is missed. Documents stream past the seeds; a pair that shares one is aligned (Smith-Waterman; score is relative
-    to the item's best possible, 1.0 for a verbatim copy) around the places of its seeds, and its longest exact run on the seeds' diagonals is
-    measured. run_from and run_until are code points of the document's own text.
+    Texts are compared by their lower-cased letters and digits. Seeds are k-grams of the items that occur in some document: of each stretch of
+    `intact` characters of an item the one found in the fewest documents (counted over all of them). So any common run of `intact` characters,
+    or of `run` if that is less, contains a seed: no run of `run` characters is missed, and no edited copy that keeps `intact` successive
+    characters anywhere; a copy that is edited more densely than that throughout is no candidate. Documents stream past the seeds; a pair that
+    shares one is aligned (Smith-Waterman; score is relative to the item's best possible, 1.0 for a verbatim copy) around the places of its
+    seeds, and its longest exact run on the seeds' diagonals is measured. run_from and run_until are code points of the document's own text.
 
     The items are broadcast in blocks of at most `block_points` characters, whatever their number; documents are never shuffled, only
     (gram, count) and the resulting pairs are.
@@ -149,12 +183,12 @@ def leaked_items(
     out = None
     for b in range(blocks):
         block = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()  # at most about block_points characters
-        part = _scan(base, [r[0] for r in block], [r[1] for r in block], run, k)
+        part = _scan(base, [r[0] for r in block], [r[1] for r in block], min(run, intact), k)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
-def _scan(docs: DataFrame, ids: list[int], texts: list[str], run: int, k: int) -> DataFrame:
+def _scan(docs: DataFrame, ids: list[int], texts: list[str], intact: int, k: int) -> DataFrame:
     spark = docs.sparkSession
     norm, starts, _ = normalise(texts) if texts else (np.zeros(0, np.uint32), np.zeros(1, np.int64), None)
     arrays = [norm[a:b] for a, b in zip(starts[:-1], starts[1:])]
@@ -180,7 +214,7 @@ def _scan(docs: DataFrame, ids: list[int], texts: list[str], run: int, k: int) -
     wanted = []
     for t in arrays:
         h = WindowHash(t).all(k)
-        wanted.append(rarest_places(frequency[np.searchsorted(every.hashes, h)], run - k + 1))
+        wanted.append(rarest_places(frequency[np.searchsorted(every.hashes, h)], max(1, intact - k + 1)))
     rare = spark.sparkContext.broadcast((Seeds.build(arrays, k, wanted), np.array(ids, np.int64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +233,24 @@ def _scan(docs: DataFrame, ids: list[int], texts: list[str], run: int, k: int) -
                 pair = doc[src] * len(names) + item
                 order = np.argsort(pair, kind="stable")
                 cuts = np.flatnonzero(np.diff(pair[order])) + 1
-                found = []
+                found, sides, owner = [], [], []
                 for group in np.split(order, cuts):
                     d, i = int(doc[src[group[0]]]), int(item[group[0]])
                     a, b = flat[st[d] : st[d + 1]], seeds.texts[i]
                     ways = np.unique(diagonal[group])
                     n, where = longest_run(a, b, ways)
-                    score = max(smith_waterman(b, a[max(0, lo - 8) : hi + len(b) + 8]) for lo, hi in _stretches(ways, len(b)))
+                    # an alignment of score 0.5 leaves its seeds' diagonals by at most half of the item
+                    slack = 8 + len(b) // 2
+                    for lo, hi in _stretches(ways, len(b)):
+                        sides.append((b, a[max(0, lo - slack) : hi + len(b) + slack]))
+                        owner.append(len(found))
                     first = at[st[d] + where] - own[d]
                     last = at[st[d] + where + n - 1] - own[d] + 1
-                    found.append((d, int(names[i]), score / (2 * len(b)), n, int(first), int(last)))
+                    found.append([d, int(names[i]), 2 * len(b), n, int(first), int(last)])
+                score = np.zeros(len(found), np.int64)
+                np.maximum.at(score, owner, alignments(sides))
+                for row, x in zip(found, score.tolist()):
+                    row[2] = x / row[2]
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *[pa.array(c, pa.int64()) for c in cols[3:]]],

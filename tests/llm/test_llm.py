@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.llm import abuse, contamination, lookalikes, mixing, personal
+from rillwork.llm import abuse, contamination, lookalikes, mixing, personal, queries
 from rillwork.llm.shared_spans import common_spans, shared_spans
 from rillwork.llm.text_arrays import WindowHash, sliding
 
@@ -172,6 +172,33 @@ def test_leaks_against_brute_force(spark):
     assert contamination.leaked_items(d.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
 
 
+def test_report_has_copies_edited_throughout(spark, tmp_path):
+    """An edit every 20 to 50 characters: no exact run of 60, but most of the item is there."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmno灯路漢") for _ in range(r.randint(3, 8)))
+    items = [(i, " ".join(word() for _ in range(25))) for i in range(20)]
+    docs, want = [(900 + i, " ".join(word() for _ in range(60))) for i in range(20)], set()
+    for i, s in items:
+        for j, step in enumerate((20, 35, 50)):
+            t = list(s)
+            for at in range(step - 1, len(t), step):
+                t[at] = r.choice(["Z", "zQ", "", t[at] + "z"])
+            docs.append((10 * i + j, " ".join([*(word() for _ in range(30)), "".join(t), *(word() for _ in range(30))])))
+            want.add((10 * i + j, i))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(x["doc_id"], x["item_id"]) for x in queries.p7_report(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_many_alignments_are_those_of_one():
+    r = np.random.default_rng(2)
+    pairs = [tuple(r.integers(0, 4, r.integers(0, 30)).astype(np.uint32) for _ in "ab") for _ in range(100)]
+    assert contamination.alignments(pairs).tolist() == [contamination.smith_waterman(a, b) for a, b in pairs]
+    at = contamination.rarest_places(np.array([5, 0, 7, 7, 0, 0, 0, 9]), 3)
+    assert set(at.tolist()) >= {0, 2, 7} and not {1, 4, 5, 6} & set(at.tolist())
+
+
 def test_alignment_scores():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

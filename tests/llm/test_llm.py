@@ -101,6 +101,19 @@ def test_abuse_scores_every_row(spark):
         abuse.fit_scorer([None, "x"], ["none", None])
 
 
+def test_much_repeated_insult_is_found(spark, tmp_path):
+    """One pasted insult is a third of all comments; its score and that of a similar one do not suffer from it."""
+    insult, similar = "go hang yourself you worthless clown", "you worthless clown, go hang yourself lol"
+    calm = [f"{a} {b} {c}" for a in ("the", "what a nice", "I like that", "look at the") for b in "map boss kettle soup camera dog window song lantern tower".split() for c in ("today", "again", "over there")]
+    rows = [(i, 1, t) for i, t in enumerate([*calm, similar, *[insult] * (len(calm) // 2)])]
+    spark.createDataFrame(rows, "delivery_id long, live_id long, content string").write.parquet(f"{tmp_path}/chat_comments.parquet")
+    spark.createDataFrame([(1, 1, calm[0])], "op_delivery_id long, live_id long, content string").write.parquet(f"{tmp_path}/operator_comments.parquet")
+    labels = [(1, "you are a dumbass", "abusive"), (2, "what a nice map", "none"), (3, "死ね", "abusive"), (4, "この鍋いいね", "none"), (5, "show us your tits", "sexual"), (6, "good morning all", "none")]
+    spark.createDataFrame(labels, "label_id long, text string, label string").write.parquet(f"{tmp_path}/abuse_labels.parquet")
+    got = {(r["table_name"], r["row_id"]) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert got == {("chat_comments", i) for i, _, t in rows if t in (insult, similar)}
+
+
 # -- look-alikes
 
 

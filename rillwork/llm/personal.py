@@ -7,6 +7,7 @@ fitted here, on sentences this module invents (`invented_sentences`), by the gra
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -23,6 +24,8 @@ from .lookalikes import _TO_LATIN, _fold_char
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 #: An entity is at most this long, in folded characters.
 LONGEST = 120
+#: A number of several groups has at most so many digits and words or letters between them; phone numbers have up to 15, identity numbers up to 16.
+MOST_DIGITS = 24
 
 
 @dataclass(frozen=True)
@@ -98,11 +101,16 @@ class Finder:
         digits = sum(c.isdigit() for c in t)
         if digits >= 6 or "ero" in t or any(c in t for c in _KANJI_DIGITS):
             for m in NUMBERS.finditer(t):
-                groups = [g.span() for g in _GROUP.finditer(t, *m.span())][:24]
-                for i in range(len(groups)):
-                    for j in range(i, min(i + 12, len(groups))):
-                        a, b = groups[i][0], groups[j][1]
-                        if b - a >= 7 and (i == 0 or t[a - 1] not in "0123456789"):
+                groups = [g.span() for g in _GROUP.finditer(t, *m.span())]
+                for i, (a, _) in enumerate(groups):
+                    if i and t[a - 1] in "0123456789":
+                        continue
+                    size = 0
+                    for c, b in groups[i : i + MOST_DIGITS]:
+                        size += max(1, sum(x.isdigit() for x in t[c:b]))
+                        if b - a > LONGEST or size > MOST_DIGITS and c > a:
+                            break
+                        if b - a >= 7:
                             out.add((a, b))
         if digits:
             for m in ADDRESS.finditer(t):
@@ -264,21 +272,20 @@ class Model:
 
     def best(self, t: str, place: str) -> list[tuple[int, int, str]]:
         """The segmentation of the folded text with the highest score: non-overlapping (start, end, kind)."""
-        spans = self.lattice(t, place)
+        spans = sorted(self.finder.spans(t), key=lambda x: x[1])
         if not spans:
             return []
-        spans.sort(key=lambda x: x[1])
-        points = sorted({0, *(b for _, b, _ in spans)})
-        index = {p: i for i, p in enumerate(points)}
+        points = sorted({0, *(b for _, b in spans)})
         # top[i][kind]: best of the text up to points[i] whose last entity has that kind ("" for none)
         top: list[dict[str, tuple[float, tuple | None]]] = [{"": (0.0, None)}]
         at = 0
         for p in points[1:]:
             here = dict(top[-1])
             while at < len(spans) and spans[at][1] == p:
-                a, b, names = spans[at]
+                a, b = spans[at]
+                names = self.features.of(t, a, b, place)
                 at += 1
-                before = top[max(i for i in range(index[p]) if points[i] <= a)]
+                before = top[bisect.bisect_right(points, a) - 1]
                 for kind in KINDS:
                     s = self.score(kind, names)
                     if s < -20:
@@ -482,13 +489,37 @@ def invented_sentences(n: int = 2500, seed: int = 11, lexicon: Lexicon = LEXICON
     return out
 
 
+def invented_more(n: int = 40, seed: int = 12) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
+    """More sentences of the same form: lists of numbers, alone and before a phone number, numbers of sections, and phone numbers spelled in words."""
+    words = [w.split() for w in ("zero one two three four five six seven eight nine", "oh one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve")]
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    out = []
+    for _ in range(n):
+        size, top, sep = r.randint(8, 40), r.choice([9, 30, 99]), r.choice([", ", " ", ",", "-", "/"])
+        counted = sep.join(str(i % top + 1) for i in range(size))
+        scores = r.choice([" ", ", "]).join(f"{r.randint(0, top)}-{r.randint(0, top)}" for _ in range(size))
+        for listed in (counted, scores):
+            out.append((listed, "content", []))
+            before, phone = listed + r.choice([", ", " tel: ", " "]), f"{r.choice(['090', '080', '070'])}-{d(4)}-{d(4)}"
+            out.append((before + phone, "content", [(len(before), len(before) + len(phone), "phone")]))
+        named, gap, number = r.choice(words), r.choice([" ", " ", ", ", "-"]), r.choice(["090", "080", "070"]) + d(8)
+        spelled = r.choice([gap.join(named[int(c)] for c in number), f"{gap.join(named[int(c)] for c in number[:3])}{r.choice([', ', ' '])}{number[3:7]}{r.choice([', ', ' '])}{number[7:]}"])
+        spelled = spelled.upper() if r.random() < 0.3 else spelled
+        before = r.choice(["call me ", "電話は", "llama al ", "", "my soup is ready, "])
+        out.append((before + spelled + r.choice([" ok", "", " is that new"]), "content", [(len(before), len(before) + len(spelled), "phone")]))
+        out.append((r.choice(["level ", "", "take "]) + " ".join(named[i % 10] for i in range(1, r.randint(3, 6))) + r.choice([" go", "", " lift off"]), "content", []))
+        out.append((".".join([f"the manual says section {r.randint(1, 99)}", *(str(r.randint(100, 400)) for _ in range(3))]), "content", []))
+    return out
+
+
 _model: list[Model] = []
 
 
 def default_model() -> Model:
     """The model fitted on the invented sentences; the same weights in every process."""
     if not _model:
-        _model.append(fit(invented_sentences()))
+        _model.append(fit([*invented_sentences(), *invented_more()]))
     return _model[0]
 
 

@@ -68,6 +68,13 @@ def test_marginals_sum_over_all_segmentations():
     assert all(abs(got.get(u, 0.0) - v / z) < 1e-6 for u, v in mass.items())
 
 
+def test_numbers_after_many_others(model):
+    """One match of many digit groups: what stands at its end is looked at like what stands at its start."""
+    for n in (25, 60, 400):
+        for other in (", ".join(str(i % 90 + 1) for i in range(n)), " ".join(f"{i % 9}-{i % 7}" for i in range(n))):
+            assert personal.redact(model, f"{other}, 090-1234-5678") == f"{other}, [PHONE]", (n, other)
+
+
 def test_redaction_keeps_the_rest(spark, model):
     rows = [(1, "tel:090-0845-6611 草", "Corvin Hespery", "c"), (2, None, None, "c"), (3, "", "yuzu659", "c"), (3, "", "yuzu659", "c"), (4, "x" * 20000 + " call me 090-0845-6611", None, "c")]
     df = spark.createDataFrame(rows, "delivery_id long, content string, name string, field string")

@@ -81,7 +81,8 @@ ADDRESS = re.compile(
 )
 NAME_LATIN = re.compile(rf"(?<![{_L}0-9_.@+-])(?:{_UP}[A-ZÀ-ÖØ-Þ'’-]{{2,}}, {_UP}{_W}+|{_UP}{_W}+ (?:[A-Z]\. ?)?{_UP}{_W}+|{_UP}{_W}+ (?:von|van|de|del|la) {_UP}{_W}+)(?![{_L}0-9_@])")
 NAME_CUED = re.compile(r"(?:本名は|名前は|氏名は?[:は]?|担任の)([一-鿿々ヶヵノツぁ-んァ-ヶ]{1,5} ?[一-鿿々ヶヵノツ]{1,4})(?=です|先生|さん|くん|氏|だ)|([一-鿿々ヶヵノツ]{2,4} ?[一-鿿々]{1,4})(?=さん(?:っていう|という))")
-_MAY = re.compile(rf"[0-9]|[{_KANJI_DIGITS}]{{7}}|@|アット|\bat\b|[A-ZÄÖÜ].*[A-ZÄÖÜ]|本名|名前は|担任|氏名|さん|\b(?:zero|null|cero|nine|one)\b", re.I)
+_WORD_DIGIT = re.compile(rf"(?:{_WORD_DIGITS})", re.I)
+
 
 
 class Finder:
@@ -92,14 +93,13 @@ class Finder:
         wide = lambda words: "|".join(sorted((re.escape(w) for w in words if not w.isascii()), key=len, reverse=True))
         s, g = wide(lexicon.surname), wide(lexicon.given)
         self.han = re.compile(f"(?:{s}) ?(?:{g})") if s and g else None
-        self.known = [w for w in lexicon.surname if not w.isascii()]
 
     def spans(self, t: str) -> list[tuple[int, int]]:
         out: set[tuple[int, int]] = set()
         for m in EMAIL.finditer(t):
             out.add(m.span())
         digits = sum(c.isdigit() for c in t)
-        if digits >= 6 or "ero" in t or any(c in t for c in _KANJI_DIGITS):
+        if digits + sum(c in _KANJI_DIGITS for c in t) + len(_WORD_DIGIT.findall(t)) >= 6:
             for m in NUMBERS.finditer(t):
                 groups = [g.span() for g in _GROUP.finditer(t, *m.span())]
                 for i, (a, _) in enumerate(groups):
@@ -525,16 +525,12 @@ def default_model() -> Model:
 
 def entities(model: Model, text: str | None, place: str = "content") -> list[tuple[int, int, str]]:
     """(start, end, kind) in the text itself, in order."""
-    if not text or not _MAY.search(text):
-        if not text or text.isascii() or not any(k in text for k in model.finder.known) and not _FULL.search(text):
-            return []
+    if not text:
+        return []
     folded, at = fold(text)
     return [(at[a], at[b - 1] + 1, k) for a, b, k in model.best(folded, place)]
 
 
-_FULL = re.compile("[０-９＠]")
-
-
 def redact(model: Model, text: str, place: str = "content") -> str:
     """The text with [EMAIL], [PHONE] and so on in place of what was found; everything else unchanged."""
     out, last = [], 0

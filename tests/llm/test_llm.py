@@ -68,6 +68,20 @@ def test_marginals_sum_over_all_segmentations():
     assert all(abs(got.get(u, 0.0) - v / z) < 1e-6 for u, v in mass.items())
 
 
+EVADING = [
+    ("Ｓｅｆａ Ｍａｘｔｂｙ", "name", "person_name"), ("ｓｏｕｐ ｂｙ Ｓｅｆａ Ｍａｘｔｂｙ", "content", "person_name"), ("月影\u200b山 真\u200b汐", "name", "person_name"),
+    ("oh nine oh one two three four five six seven eight", "content", "phone"), ("call me ZERO NINE ZERO one two three four FIVE SIX SEVEN EIGHT", "content", "phone"),
+    ("null acht null eins zwei drei vier fünf sechs sieben acht", "content", "phone"), ("llama al cero nueve cero uno dos tres cuatro cinco seis siete ocho", "content", "phone"), ("ｚｅｒｏ ｎｉｎｅ ｚｅｒｏ １２３４ ５６７８", "content", "phone"),
+]
+
+
+def test_nothing_is_skipped_before_the_model(model):
+    for text, place, kind in EVADING:
+        assert [k for _, _, k in personal.entities(model, text, place)] == [kind], text
+    for text in ("one two three go", "eins zwei drei", "ONE TWO THREE", "第一二回"):
+        assert personal.entities(model, text) == [], text
+
+
 def test_numbers_after_many_others(model):
     """One match of many digit groups: what stands at its end is looked at like what stands at its start."""
     for n in (25, 60, 400):

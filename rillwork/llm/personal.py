@@ -81,6 +81,13 @@ ADDRESS = re.compile(
 )
 NAME_LATIN = re.compile(rf"(?<![{_L}0-9_.@+-])(?:{_UP}[A-ZÀ-ÖØ-Þ'’-]{{2,}}, {_UP}{_W}+|{_UP}{_W}+ (?:[A-Z]\. ?)?{_UP}{_W}+|{_UP}{_W}+ (?:von|van|de|del|la) {_UP}{_W}+)(?![{_L}0-9_@])")
 NAME_CUED = re.compile(r"(?:本名は|名前は|氏名は?[:は]?|担任の)([一-鿿々ヶヵノツぁ-んァ-ヶ]{1,5} ?[一-鿿々ヶヵノツ]{1,4})(?=です|先生|さん|くん|氏|だ)|([一-鿿々ヶヵノツ]{2,4} ?[一-鿿々]{1,4})(?=さん(?:っていう|という))")
+#: Runs of Han that other characters bound, and short whole texts of Han and kana: a full name may be any of them.
+NAME_HAN = re.compile(r"(?<![一-鿿々ヶヵ])(?=[一-鿿々ヶヵノ ]{3,8}(?![一-鿿々ヶヵ]))[一-鿿々ヶヵノ]{1,5} ?[一-鿿々ヶヵ]{1,5}(?![一-鿿々ヶヵ])|^(?=.{3,8}$)[一-鿿々ヶヵノツぁ-んァ-ヶー]{1,6} ?[一-鿿々ヶヵノツぁ-んァ-ヶー]{1,6}$")
+#: The most common surnames of Japan and characters given names often end in: features only.
+_COMMON = frozenset("佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 林 斎藤 清水 山崎 森 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田 長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 斉藤 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 原田 中川 松田 竹内 小野 田村 中山 和田 石田 森田 上田 原 内田 柴田 酒井 宮崎 横山 高木 安藤 宮本 大野 小島 谷口 工藤 今井 高田 丸山 増田 杉山 村田 大塚 新井 小山 平野 藤本 河野 上野 野口 武田 松井 千葉 菅原 岩崎 久保 木下 佐野 野村 松尾 市川 菊地 杉本 古川 大西 島田 水野 桜井 高野 渡部 吉川".split())
+_GIVEN_END = frozenset("郎子美介太也香奈菜翔輝樹希斗人恵代平司治夫男雄吾哉真紀織里沙花菫葵蓮陽大翼健誠一二三助彦之")
+#: Words that no name holds, and counters that a space follows.
+_NO_NAME = re.compile("先生|元気|保険|番号|連勝|免許|電話|携帯|放送|配信|視聴|今日|昨日|明日|最高|天気|一般|^[点回位個秒度年分人] ")
 _WORD_DIGIT = re.compile(rf"(?:{_WORD_DIGITS})", re.I)
 
 
@@ -124,6 +131,8 @@ class Finder:
         if self.han is not None and not t.isascii():
             for m in self.han.finditer(t):
                 out.add(m.span())
+            for m in NAME_HAN.finditer(t):
+                out.add(m.span())
             for m in NAME_CUED.finditer(t):
                 out.add(m.span(1) if m.group(1) else m.span(2))
         return sorted((a, b) for a, b in out if b - a <= LONGEST)
@@ -243,10 +252,17 @@ class Features:
             hits = sum(w in lex.given or w in lex.surname for w in words)
             kinds = ("g" if any(w in lex.given for w in words) else "") + ("s" if any(w in lex.surname for w in words) else "")
             return ["shape:name", f"known:{hits}/{len(words)}", f"parts:{kinds}", *(["name:comma"] if ", " in s else [])]
-        if re.fullmatch(r"[一-鿿々ヶヵノツぁ-んァ-ヶ ]+", s) and not all(c in _KANJI_DIGITS for c in s):
+        if re.fullmatch(r"[一-鿿々ヶヵノツぁ-んァ-ヶー ]+", s) and not all(c in _KANJI_DIGITS for c in s):
             plain = s.replace(" ", "")
             full = any(plain[:i] in lex.surname and plain[i:] in lex.given for i in range(1, len(plain)))
-            return ["shape:han", "known:full" if full else "known:no"]
+            if full:
+                return ["shape:han", "known:full"]
+            head, _, tail = s.partition(" ")
+            common = any(plain[:i] in _COMMON for i in range(1, min(4, len(plain))))
+            parted = f"{len(head)} {len(tail)}" if tail else str(len(s))
+            kana = "kana" if re.search("[ぁ-んァ-ヶー]", s) else "han"
+            ends = "given" if s[-1] in _GIVEN_END and not s[-2:-1].isspace() else "other"
+            return ["shape:han", "known:no", *(["han:word"] * bool(_NO_NAME.search(s))), f"han:{parted}", f"han:{kana}", f"han:{'common' if common else 'rare'} {ends}", f"han:{kana} {'parted' if tail else 'one'} {'common' if common else 'rare'}"]
         return []
 
 
@@ -509,6 +525,20 @@ def invented_more(n: int = 40, seed: int = 12) -> list[tuple[str, str, list[tupl
         before = r.choice(["call me ", "電話は", "llama al ", "", "my soup is ready, "])
         out.append((before + spelled + r.choice([" ok", "", " is that new"]), "content", [(len(before), len(before) + len(spelled), "phone")]))
         out.append((r.choice(["level ", "", "take "]) + " ".join(named[i % 10] for i in range(1, r.randint(3, 6))) + r.choice([" go", "", " lift off"]), "content", []))
+        sur, giv = r.choice(sorted(_COMMON)), r.choice("太郎 花子 健一 美咲 翔太 恵子 直樹 由美 大輔 陽菜 誠 葵 健太郎 さくら ひなた あかり めぐみ 真由美 拓也 智子 隆 彩香 雄大".split())
+        name = sur + r.choice([" ", " ", ""]) + giv
+        rare = "".join(r.choice("鳥遊小近衛月城榊峰八神水無瀬堂御久我") for _ in range(r.randint(1, 3))) + " " + "".join(r.choice("六花龍之介紗凛悠斗雪乃楓伊織") for _ in range(r.randint(2, 3)))
+        out += [(x, "name", [(0, len(x), "person_name")]) for x in (name, rare)]
+        left, right = r.choice([("888888 ", " "), ("", " "), ("草 ", "\n")]), f"{d(3)}.555.{d(4)}"
+        out.append((left[0] + right + left[1] + f"{r.randint(2, 400)}連勝おめでとう", "content", [(len(left[0]), len(left[0]) + len(right), "phone")]))
+        left, right = r.choice([("I am ", " by the way"), ("", "さんっていう人が先生"), ("本名は", "です"), ("", " / call me"), ("昨日、", "に会った"), ("my real name is ", "")])
+        out.append((left + name + right, "content", [(len(left), len(left) + len(name), "person_name")] if re.fullmatch("[一-鿿々 ]+", name) or left == "本名は" else []))
+        word = r.choice("先生元気 健康保険証 記号番号 保険証 個人番号 携帯番号 免許証番号 今日放送 一般視聴".split())
+        out.append((r.choice(["担任の", "担任の", "my real name is ", "本名は"]) + r.choice(["Corvin Maxtby", "Tavia Wintlow"]) + " " + word + r.choice(["かな", "は", " "]), "content", []))
+        out[-1] = (out[-1][0], "content", [(m.start(), m.end(), "person_name") for m in NAME_LATIN.finditer(out[-1][0])])
+        for place in ("name", "content", "content"):
+            word = r.choice("名無し権兵衛 通りすがり 視聴者代表 深夜勢 天気予報 初見歓迎 焼肉定食 一般人 動物園 大爆笑 拍手喝采 音量注意 かわいい すごすぎ 新幹線 お茶会 猫大好き 田んぼ道 山本山 森の熊 林間学校 中村屋 今日の 夜更かし 大福 おはよう 東京都 北海道 高速道路 生放送 黒猫 料理人 初心者 常連客 健康保険証 個人番号 先生元気 先生元気 免許証番号 保険証 携帯電話 連勝".split())
+            out.append((r.choice(["", "", "", "今の"] if place == "content" else [""]) + word + r.choice(["", "", " ww", "だった", " きた"] if place == "content" else ["", "", "さん"]), place, []))
         out.append((".".join([f"the manual says section {r.randint(1, 99)}", *(str(r.randint(100, 400)) for _ in range(3))]), "content", []))
     return out
 

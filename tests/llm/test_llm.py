@@ -82,6 +82,15 @@ def test_nothing_is_skipped_before_the_model(model):
         assert personal.entities(model, text) == [], text
 
 
+def test_japanese_names_outside_the_lexicon(model):
+    for name in ("田中 太郎", "山田花子", "近衛 龍之介", "松本 恵子"):
+        assert personal.redact(model, name, "name") == "[PERSON_NAME]", name
+    for text in ("I am {} by the way", "昨日、{}に会った", "本名は{}です"):
+        assert personal.redact(model, text.format("田中太郎")) == text.format("[PERSON_NAME]")
+    for text, place in (("からくり時計", "name"), ("深夜の料理人", "name"), ("天気予報", "name"), ("生放送中", "content"), ("大阪城公園", "content"), ("草生えた", "content")):
+        assert personal.entities(model, text, place) == [], text
+
+
 def test_numbers_after_many_others(model):
     """One match of many digit groups: what stands at its end is looked at like what stands at its start."""
     for n in (25, 60, 400):

@@ -120,12 +120,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Per document with shared spans: how many of its code points occur in another document too."""
+    """Per document: how many of its code points lie in spans that occur in another document too; 0 for those that share nothing."""
     spans = through_table(_spans(spark, d), "spans")
     sides = [spans.select(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"from_{s}").alias("a"), (F.col(f"from_{s}") + F.col("size")).alias("b")) for s in "ab"]
     covered = merge_intervals(sides[0].unionByName(sides[1]), ["doc_id"], "a", "b", bucket_width=1 << 20).where("kind = 'covered'")
     shared = covered.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("until_us") - F.col("from_us")).alias("shared_chars"))
-    return shared.join(table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars")).distinct(), "doc_id").withColumn("shared_share", F.col("shared_chars") / F.col("chars"))
+    every = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars")).distinct()
+    zero = F.lit(0).cast("bigint")
+    return every.join(shared, "doc_id", "left").select(
+        "doc_id", F.coalesce("spans", zero).alias("spans"), F.coalesce("shared_chars", zero).alias("shared_chars"), "chars",
+        F.when(F.col("shared_chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(0.0).alias("shared_share"),
+    )
 
 
 QUERIES = {

@@ -305,6 +305,17 @@ def test_shared_spans_against_brute_force(spark, shard, cut):
     assert shared_spans(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_coverage_has_every_document(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh 実況猫") for _ in range(n))
+    common = text(400)
+    rows = [(1, text(50) + common), (2, common + text(100)), (3, text(500)), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["spans"], x["chars"], x["shared_share"]) for x in queries.p9_coverage(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in (3, 4, 5)} == {3: (0, 500, 0.0), 4: (0, 0, 0.0), 5: (0, 0, 0.0)} and len(got) == 5
+    assert got[1][2] >= 400 / 450 and got[2][2] >= 400 / 500
+
+
 def test_window_arrays():
     r = np.random.default_rng(3)
     x = r.integers(0, 50, 200).astype(np.uint32)

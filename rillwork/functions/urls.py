@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..session import through_table
+
 L = F.lit
 
 
@@ -151,16 +153,27 @@ def route(df: DataFrame, url: str, rules: list[Route]) -> DataFrame:
     return df.withColumn("route", chosen).withColumn("path_params", params).withColumn("query_params", query)
 
 
-def follow_redirects(df: DataFrame, start: str, redirects: DataFrame, source: str, target: str, doublings: int = 5) -> DataFrame:
-    """df with `final` and `hops`: where redirects lead from df.start, by pointer doubling: chains of up to 2**doublings hops.
+def follow_redirects(df: DataFrame, start: str, redirects: DataFrame, source: str, target: str) -> DataFrame:
+    """df with `final` and `hops`: where redirects lead from df.start, by pointer doubling until no row changes.
 
-    Each source has one target. Chains that end in a loop are cut at 2**doublings hops.
+    Each source has one target. A chain that never ends, because it runs into a loop, has null in both. Each round is written to the
+    shared folder, so plans do not grow; rounds are at most the logarithm of the number of redirects, and a few for short chains.
     """
-    jump = redirects.select(F.col(source).alias("_from"), F.col(target).alias("_to"), L(1).alias("_hops"))
-    for _ in range(doublings):
+    jump = redirects.select(F.col(source).alias("_from"), F.col(target).alias("_to"), L(1).alias("_hops"), L(True).alias("_on"))
+    most, reach = redirects.count(), 1
+    while True:
         on = jump.select(F.col("_from").alias("_mid"), F.col("_to").alias("_far"), F.col("_hops").alias("_more"))
-        jump = jump.join(on, F.col("_to") == F.col("_mid"), "left").select("_from", F.coalesce("_far", "_to").alias("_to"), (F.col("_hops") + F.coalesce("_more", L(0))).alias("_hops"))
-    return df.join(jump, F.col(start) == F.col("_from"), "left").withColumn("final", F.coalesce("_to", F.col(start))).withColumn("hops", F.coalesce("_hops", L(0))).drop("_from", "_to", "_hops")
+        step = jump.drop("_on").join(on, F.col("_to") == F.col("_mid"), "left")
+        step = step.select("_from", F.coalesce("_far", "_to").alias("_to"), (F.col("_hops") + F.coalesce("_more", L(0))).alias("_hops"), F.col("_mid").isNotNull().alias("_on"))
+        jump = through_table(step, "redirects")
+        # without a loop a chain has at most as many hops as there are redirects: what moves beyond that never ends
+        if reach >= most or jump.where("_on").isEmpty():
+            break
+        reach *= 2
+    out = df.join(jump, F.col(start) == F.col("_from"), "left")
+    final = F.when(F.coalesce("_on", L(False)), L(None)).otherwise(F.coalesce("_to", F.col(start)))
+    hops = F.when(F.coalesce("_on", L(False)), L(None)).otherwise(F.coalesce("_hops", L(0)))
+    return out.withColumn("final", final).withColumn("hops", hops).drop("_from", "_to", "_hops", "_on")
 
 
 @F.pandas_udf(ArrayType(StringType()))

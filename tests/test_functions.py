@@ -83,6 +83,12 @@ def test_redirects(spark):
     assert {(r["s"], r["final"], r["hops"]) for r in urls.follow_redirects(df, "s", hops, "f", "t").collect()} == {("a", "c", 2), ("c", "c", 0), ("q", "q", 0)}
 
 
+def test_long_redirects_and_loops(spark):
+    hops = spark.createDataFrame([*[(f"p{i}", f"p{i + 1}") for i in range(100)], ("in", "x"), ("x", "y"), ("y", "x")], "f string, t string")
+    df = spark.createDataFrame([("p0",), ("p40",), ("p100",), ("in",), ("x",)], "s string")
+    assert {(r["s"], r["final"], r["hops"]) for r in urls.follow_redirects(df, "s", hops, "f", "t").collect()} == {("p0", "p100", 100), ("p40", "p100", 60), ("p100", "p100", 0), ("in", None, None), ("x", None, None)}
+
+
 def test_shell_words(spark):
     df = spark.createDataFrame([('/vote start "a b" c',), ("it's",), (None,)], "t string")
     assert [r[0] for r in df.select(urls.shell_words("t")).collect()] == [["/vote", "start", "a b", "c"], ["it's"], None]

@@ -1,50 +1,54 @@
 """Personal information in free text, by a semi-Markov conditional random field.
 
-Candidate spans come from generous patterns; each is scored as a whole (its shape, its digit groups, what stands before and
-after it), and dynamic programming over the candidates, of bounded length, chooses boundaries and kinds together. The weights are
-fitted here, on sentences this module invents (`invented_sentences`), by the gradient of the log-likelihood.
+A text is cut into tokens; every segment of up to MOST_TOKENS tokens that starts and ends at a letter or digit is a candidate of every kind. Whole-span features
+(shape, digits, what stands before, after and inside, known patterns) score it, and dynamic programming over the segments chooses boundaries
+and kinds together. Weights and transitions are fitted here by the gradient of the log-likelihood, on invented sentences (personal_samples).
 """
 
 from __future__ import annotations
 
 import bisect
-import math
-import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalikes import _TO_LATIN, _fold_char
+from .personal_samples import WORDS, Sentence, invented_sentences
+from .text_arrays import mix
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-#: An entity is at most this long, in folded characters.
-LONGEST = 120
-#: A number of several groups has at most so many digits and words or letters between them; phone numbers have up to 15, identity numbers up to 16.
-MOST_DIGITS = 24
+#: An entity has at most so many tokens: runs of digits, Latin words, single characters of other scripts, single signs.
+MOST_TOKENS = 48
+#: Rows of the weight table; features are hashed into it.
+ROWS = 1 << 17
+#: Share of a word's n-grams in its score, against its other features.
+GRAM_WEIGHT = 2.0
+#: Tokens that are looked at together; bounds the memory, whatever the size of a batch of rows.
+CHUNK_TOKENS = 60_000
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Words the features look at. Given names and surnames are a parameter: names are an open class and every deployment has its own."""
+    """Name parts a deployment knows; empty unless given. They are features only: names outside it are found by shape, script and surroundings."""
 
-    given: frozenset[str] = frozenset("brannick corvin halden jessamy lorcan mirabeth orlen ottoline pryce sefa tavia wilmet 凪乃 千早太 朔弥 澄人 灯花 琴葉乃 真汐 蓮司郎 陽路 雪音子".split())
-    surname: frozenset[str] = frozenset("brindlecombe castermere dravenport hespery lissomer maxtby oddlestone orlenshaw pellfern quarrington-vey tarrowick wintlow 月影山 朱雀井 汐見原 灯ヶ谷 藍ノ木 蛍淵 雫川 霧ヶ野 風待 鳴子沢".split())
+    given: frozenset[str] = frozenset()
+    surname: frozenset[str] = frozenset()
 
 
-LEXICON = Lexicon()
-
 # -- folding: one character out for each kept character in, with its place
 
 
-def fold(text: str) -> tuple[str, list[int]]:
+def fold(text: str) -> tuple[str, list[int] | range]:
     """Width, space and look-alike variants folded, invisible characters dropped; the place in `text` of each character kept."""
     if text.isascii():
-        return text, list(range(len(text)))
+        return text, range(len(text))
     out, at = [], []
     latin = any("a" <= c.lower() <= "z" for c in text)
     for i, c in enumerate(text):
@@ -54,493 +58,489 @@ def fold(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-# -- candidate spans
-
-_LT = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD_DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
-_KANJI_DIGITS = "零〇一二三四五六七八九"
-_AT = r"(?:@|[(\[{（]\s*(?:at|アット(?:マーク)?)\s*[)\]}）]|\bat\b|アット(?:マーク)?)"
-_DOT = r"(?:\.|[(\[{（]\s*(?:dot|ドット)\s*[)\]}）]|\bdot\b|ドット)"
-EMAIL = re.compile(rf"[A-Za-z0-9][\w.+%-]{{0,64}}\s{{0,2}}{_AT}\s{{0,2}}[A-Za-z0-9][A-Za-z0-9-]{{0,62}}(?:\s{{0,2}}{_DOT}\s{{0,2}}[A-Za-z][A-Za-z0-9-]{{0,62}})+", re.I | re.A)
-NUMBERS = re.compile(
-    rf"(?:\+|\()?(?:[A-Za-z]{{1,3}})?\d[\d]*(?:\)?[ .\-/()‐–−ー,]{{1,2}}\(?\d+|\(\d+\)\d+)*(?: ?(?-i:[A-Z])(?![{_LT}]))?|(?<![{_LT}])(?-i:[A-Z]{{1,3}})[ -]\d+(?:[ -]\d+)*(?: ?(?-i:[A-Z])(?![{_LT}]))?|[{_KANJI_DIGITS}]{{7,15}}"
-    rf"|\b(?:{_WORD_DIGITS})(?:[ ,\-]+(?:{_WORD_DIGITS}))+(?:[ ,\-]+\d+)*",
-    re.I,
-)
-_GROUP = re.compile(rf"\+?\(?(?:[A-Za-z]{{1,3}})?\d+\)?|[{_KANJI_DIGITS}]+|(?:{_WORD_DIGITS})\b|(?<![{_LT}])(?-i:[A-Z])(?![{_LT}])|(?<![{_LT}])(?-i:[A-Z]{{1,3}})(?=[ -]\d)", re.I)
-_HAN = r"[一-鿿々ヶヵケノツ]"
-_L = "A-Za-zÀ-ÖØ-öø-ÿ"
-_W = rf"[{_L}0-9'’-]"
-_UP = "[A-ZÀ-ÖØ-Þ]"
-ADDRESS = re.compile(
-    rf"(?:〒\s?\d{{3}}-?\d{{4}}\s?)?(?:{_HAN}{{1,6}}[都道府県])?(?:{_HAN}{{1,6}}?[市区郡町村]){{1,3}}[一-鿿ぁ-んァ-ヶ]{{0,8}}?\d{{1,4}}(?:(?:丁目|番地?|号|の|-)\d{{0,4}}){{1,4}}(?:\s?[^\s、。/]{{1,10}}?\d{{1,4}}号室?)?"
-    rf"|(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, \d+[A-Za-z]? (?:{_UP}{_W}+ ){{1,3}}{_UP}{_W}+(?:, (?:{_UP}{_W}+)(?:[ -]{_UP}{_W}+)*)?"
-    rf"|\d+[A-Za-z]? (?:{_UP}{_W}+ ){{1,3}}(?:Street|St|Road|Rd|Lane|Ln|Court|Ct|Avenue|Ave|Crescent|Drive|Dr|Close|Way|Place|Terrace|Row|Square|Hill|Gardens|Boulevard|Blvd|Walk|Mews|Parade)\b\.?(?:, (?:{_UP}{_W}+)(?:[ -]{_UP}{_W}+)*)?"
-    rf"|{_UP}[{_L}-]{{0,40}}(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig) \d+ ?[a-z]?(?![{_L}\d])(?:, \d{{4,5}} {_UP}[{_L}-]+(?: {_UP}[{_L}-]+)*)?"
-    rf"|(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Rue|Via) (?:de |del |la |las |los )*{_UP}[{_L}]+(?: (?:de |del |la )*{_UP}[{_L}]+)*,? (?:n\.? ?º? ?)?\d+(?:, ?\d{{4,5}} {_UP}[{_L}]+)?"
-)
-NAME_LATIN = re.compile(rf"(?<![{_L}0-9_.@+-])(?:{_UP}[A-ZÀ-ÖØ-Þ'’-]{{2,}}, {_UP}{_W}+|{_UP}{_W}+ (?:[A-Z]\. ?)?{_UP}{_W}+|{_UP}{_W}+ (?:von|van|de|del|la) {_UP}{_W}+)(?![{_L}0-9_@])")
-NAME_CUED = re.compile(r"(?:本名は|名前は|氏名は?[:は]?|担任の)([一-鿿々ヶヵノツぁ-んァ-ヶ]{1,5} ?[一-鿿々ヶヵノツ]{1,4})(?=です|先生|さん|くん|氏|だ)|([一-鿿々ヶヵノツ]{2,4} ?[一-鿿々]{1,4})(?=さん(?:っていう|という))")
-#: Runs of Han that other characters bound, and short whole texts of Han and kana: a full name may be any of them.
-NAME_HAN = re.compile(r"(?<![一-鿿々ヶヵ])(?=[一-鿿々ヶヵノ ]{3,8}(?![一-鿿々ヶヵ]))[一-鿿々ヶヵノ]{1,5} ?[一-鿿々ヶヵ]{1,5}(?![一-鿿々ヶヵ])|^(?=.{3,8}$)[一-鿿々ヶヵノツぁ-んァ-ヶー]{1,6} ?[一-鿿々ヶヵノツぁ-んァ-ヶー]{1,6}$")
-#: The most common surnames of Japan and characters given names often end in: features only.
-_COMMON = frozenset("佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 林 斎藤 清水 山崎 森 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田 長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 斉藤 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 原田 中川 松田 竹内 小野 田村 中山 和田 石田 森田 上田 原 内田 柴田 酒井 宮崎 横山 高木 安藤 宮本 大野 小島 谷口 工藤 今井 高田 丸山 増田 杉山 村田 大塚 新井 小山 平野 藤本 河野 上野 野口 武田 松井 千葉 菅原 岩崎 久保 木下 佐野 野村 松尾 市川 菊地 杉本 古川 大西 島田 水野 桜井 高野 渡部 吉川".split())
-_GIVEN_END = frozenset("郎子美介太也香奈菜翔輝樹希斗人恵代平司治夫男雄吾哉真紀織里沙花菫葵蓮陽大翼健誠一二三助彦之")
-#: Words that no name holds, and counters that a space follows.
-_NO_NAME = re.compile("先生|元気|保険|番号|連勝|免許|電話|携帯|放送|配信|視聴|今日|昨日|明日|最高|天気|一般|^[点回位個秒度年分人] ")
-_WORD_DIGIT = re.compile(rf"(?:{_WORD_DIGITS})", re.I)
-
-
-
-class Finder:
-    """Candidate spans of a folded text."""
-
-    def __init__(self, lexicon: Lexicon = LEXICON):
-        self.lexicon = lexicon
-        wide = lambda words: "|".join(sorted((re.escape(w) for w in words if not w.isascii()), key=len, reverse=True))
-        s, g = wide(lexicon.surname), wide(lexicon.given)
-        self.han = re.compile(f"(?:{s}) ?(?:{g})") if s and g else None
-
-    def spans(self, t: str) -> list[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        for m in EMAIL.finditer(t):
-            out.add(m.span())
-        digits = sum(c.isdigit() for c in t)
-        if digits + sum(c in _KANJI_DIGITS for c in t) + len(_WORD_DIGIT.findall(t)) >= 6:
-            for m in NUMBERS.finditer(t):
-                groups = [g.span() for g in _GROUP.finditer(t, *m.span())]
-                for i, (a, _) in enumerate(groups):
-                    if i and t[a - 1] in "0123456789":
-                        continue
-                    size = 0
-                    for c, b in groups[i : i + MOST_DIGITS]:
-                        size += max(1, sum(x.isdigit() for x in t[c:b]))
-                        if b - a > LONGEST or size > MOST_DIGITS and c > a:
-                            break
-                        if b - a >= 7:
-                            out.add((a, b))
-        if digits:
-            for m in ADDRESS.finditer(t):
-                a, b = m.span()
-                out.add((a, b))
-        for m in NAME_LATIN.finditer(t):
-            out.add(m.span())
-            inner = NAME_LATIN.search(t, m.start() + 1)
-            if inner:
-                out.add(inner.span())
-        if self.han is not None and not t.isascii():
-            for m in self.han.finditer(t):
-                out.add(m.span())
-            for m in NAME_HAN.finditer(t):
-                out.add(m.span())
-            for m in NAME_CUED.finditer(t):
-                out.add(m.span(1) if m.group(1) else m.span(2))
-        return sorted((a, b) for a, b in out if b - a <= LONGEST)
-
-
-# -- whole-span features
-
-_CUES = {
-    "phone": re.compile(r"電話|tel\b|tel:|call|reach me|phone|携帯|連絡|mobile|whatsapp|に出て|anruf|llama|ring me|dial|番号は", re.I),
-    "id": re.compile(r"passport|パスポート|ssn|social security|national insurance|\bni\b|ni number|マイナンバー|個人番号|保険|免許|licen[cs]e|ausweis|\bdni\b|\bnie\b|steuer-?id|identity|identification|身分", re.I),
-    "code": re.compile(r"part no|order|seed|ver\b|version|vote|room|score|抽選|帯域|タイム|section|ポイント|level|docs|code|manual|volume|isbn|model|serial|ticket|番組|manual says|リクエスト|ピザ|ポーション|がんばれ|報告|企画|結果|map|boss|team|パーティー|ダンジョン|señal|beraschung|#", re.I),
-    "place": re.compile(r"家は|荷物は|live at|send it to|住所|address|まで来て|wohn|vivo en|deliver|visit me|come to", re.I),
-    "name": re.compile(r"本名|name is|name:|名前は|担任|called|told me|heiß|llamo|氏名|yesterday", re.I),
-    "handle": re.compile(r"@$|#$|/$|captain |lord |team |the |sleepy |lady |king |queen |dr |village of |people|tribe", re.I),
-}
-_AFTER = {
-    "person": re.compile(r"^ ?(?:さん|先生|氏|くん|ちゃん|です|told me|っていう|という)"),
-    "unit": re.compile(r"^ ?(?:点|分|回|番目|連勝|度|年|個|秒|位|人|%|丁目|times|degrees|days|metres|points|map|team|のほう|に放送|の回|ごろ|はずれ|shipped|on screen|password|please|is |for |wide|de |of |open |play|cheese|screen|は )"),
-}
-_STREET = re.compile(r"Street|St\b|Road|Rd\b|Lane|Court|Avenue|Ave\b|Crescent|Drive|Close|Terrace|Square|Gardens|Boulevard|Row|Mews|Walk|Place|Way|Hill|Parade")
-
-
-class Features:
-    """Names of the features a span has, from the whole span and its surroundings."""
-
-    def __init__(self, lexicon: Lexicon = LEXICON):
-        self.lexicon = lexicon
-
-    def of(self, t: str, a: int, b: int, place: str) -> list[str]:
-        s = t[a:b]
-        left, right = t[max(0, a - 26) : a], t[b : b + 16]
-        near = left[-16:]
-        f = ["bias"]
-        for name, cue in _CUES.items():
-            if cue.search(near if name != "code" else left):
-                f.append(f"left:{name}")
-        for name, cue in _AFTER.items():
-            if cue.search(right):
-                f.append(f"right:{name}")
-        if _CUES["phone"].search(right[:6]):
-            f.append("right:phone")
-        if a == 0 and b == len(t):
-            f.append(f"whole:{place}")
-        if a and (t[a - 1].isalnum() and t[a - 1].isascii() and s[0].isalnum() and s[0].isascii()):
-            f.append("cut:left")
-        if b < len(t) and t[b].isalnum() and t[b].isascii() and s[-1].isalnum() and s[-1].isascii():
-            f.append("cut:right")
-        if b < len(t) and t[b] in "-./" and b + 1 < len(t) and t[b + 1].isdigit():
-            f.append("cut:right")
-        if a > 1 and t[a - 1] in "-./:#" and (t[a - 2].isalnum() or t[a - 1] == "#"):
-            f.append("cut:left" if t[a - 1] != ":" else "colon")
-        digits = re.sub(r"\D", "", s)
-        if EMAIL.fullmatch(s):
-            f.append("shape:email")
-        if ADDRESS.fullmatch(s):
-            f.append("shape:address")
-            if s.startswith("〒"):
-                f.append("addr:post")
-            if re.search(r"[市区町村].*\d", s):
-                f.append("addr:town")
-            if _STREET.search(s):
-                f.append("addr:street")
-            if re.search(r", [A-Z\d]", s):
-                f.append("addr:city")
-            return f + self._longer(t, a, b)
-        named = self._name(s)
-        if named:
-            return f + named
-        if "shape:email" in f:
-            return f
-        spelled = re.findall(rf"\b(?:{_WORD_DIGITS})\b", s, re.I)
-        kanji = sum(c in _KANJI_DIGITS for c in s)
-        n = len(digits) + len(spelled) + kanji
-        f.append(f"digits:{min(n, 16)}")
-        if spelled or kanji:
-            f.append("spelled")
-            if kanji == len(s):
-                f.append("kanji:" + ("phone" if s[0] in "零〇" else "other"))
-        letters = re.sub(r"[^A-Za-z]", "", s) if not spelled else ""
-        if letters:
-            f.append("id:" + re.sub(r"\d+", lambda m: str(len(m.group())), re.sub(r"[A-Za-z]+", lambda m: "L" * min(3, len(m.group())), re.sub(r"[ -]", "", s))))
-            f.append("letters:" + ("upper" if letters.isupper() else "other"))
+# -- tokens
+
+_LT = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
+_TOKEN = re.compile(rf"[0-9]+|[{_LT}]+(?:['’][{_LT}]+)*|\n|[^\s]")
+_SPELLED = frozenset(w for ws in WORDS.values() for w in ws)
+_KANJI_DIGITS = frozenset("零〇一二三四五六七八九")
+#: Signs no entity goes across.
+_HARD = frozenset("\0\n、。！？!?;；:：\"「」『』【】|…")
+_OPEN, _CLOSE = frozenset("+(〒#"), frozenset(")")
+
+
+class _Types:
+    """Properties of distinct tokens, each found once: word, shapes, digits, n-grams."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.grams: list[np.ndarray] = []
+
+    def of(self, token: str) -> int:
+        i = self.ids.get(token)
+        if i is None:
+            i = self.ids[token] = len(self.rows)
+            row, grams = self._look(token)
+            self.rows.append(row)
+            self.grams.append(grams)
+        return i
+
+    @staticmethod
+    def _look(t: str) -> tuple[tuple, np.ndarray]:
+        """((word, fine shape, coarse shape, joins runs, digits, first digit, first three, may start, may end, hard), hashes of n-grams)."""
+        c = t[0]
+        code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
+        one = three = digits = 0
+        joins, start, end, grams = False, True, True, []
+        if c in "0123456789":
+            digits, word = len(t), f"\1{min(len(t), 17)}"
+            fine, coarse = f"d{min(len(t), 17)}", "d"
+            one, three = code("\2" + c), code("\2" + t[:3])
+        elif c.isalpha() and (c.isascii() or "À" <= c <= "ſ"):
+            low = t.lower()
+            word = low
+            kind = "U" if len(t) > 1 and t.isupper() else "S" if len(t) == 1 and t.isupper() else "T" if c.isupper() and t[1:].islower() else "l" if t.islower() else "M"
+            fine = f"{kind}{len(t)}" if kind in "US" and len(t) < 6 else kind
+            coarse = kind
+            if low in _SPELLED:
+                fine, coarse, joins, digits = "w" + kind, "w", True, 1
+            padded = f"^{low}$"
+            grams = [padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
+        elif c in _KANJI_DIGITS:
+            word, fine, coarse, joins, digits = t, "n", "n", True, 1
+            one = code("\2" + c)
+        elif "㐀" <= c <= "鿿" or c in "々〆ヶヵ豈" or ord(c) >= 0x20000:
+            word, fine, coarse, joins = t, "H", "H", True
+        elif "ァ" <= c <= "ー":
+            word, fine, coarse, joins = t, "K", "K", True
+        elif "ぁ" <= c <= "ゟ":
+            word, fine, coarse, joins = t, "h", "h", True
         else:
-            runs = re.findall(r"\d+", s)
-            shape = "-".join(str(len(r)) for r in runs[:6])
-            f.append("groups:" + shape)
-            f.append(f"parts:{len(runs)}{'.' if '.' in s else ''}")
-            f.append("split:" + shape + ("." if "." in s else "-" if "-" in s else " " if " " in s else ""))
-        if s[:1] == "+":
-            f.append("plus")
-        if digits[:1] == "0" and not letters:
-            f.append("zero")
-            if digits[:3] in ("090", "080", "070", "050") and len(digits) == 11:
-                f.append("mobile")
-        if "(" in s:
-            f.append("paren")
-        f.append("sep:" + "".join(sorted(set(re.sub(r"[\w+]", "", s))))[:4])
-        return f + self._longer(t, a, b)
-
-    def _longer(self, t: str, a: int, b: int) -> list[str]:
-        """Does the number go on beyond the span?"""
-        out = []
-        if re.match(r"[ .-]?\d{2}", t[b : b + 3]):
-            out.append("goes on")
-        if re.search(r"(?:\d[ .-]|\d\(|\+|\()$", t[max(0, a - 2) : a]):
-            out.append("began before")
-        return out
+            word, fine, coarse = t, "p" + t, "p" + t
+            if not c.isalnum():
+                start, end = c in _OPEN, c in _CLOSE
+        row = (code(word), code(fine), code(coarse), joins, digits, one, three, start, end, c in _HARD)
+        return row, np.array([code("\3" + g) for g in grams], np.uint64)
 
-    def _name(self, s: str) -> list[str]:
-        if any(c.isdigit() for c in s) or "@" in s:
-            return []
-        lex = self.lexicon
-        if s.isascii() or NAME_LATIN.fullmatch(s):
-            if not NAME_LATIN.fullmatch(s):
-                return []
-            words = [w for w in re.split(r"[ ,]+", s.lower()) if not re.fullmatch(r"[a-z]\.", w)]
-            hits = sum(w in lex.given or w in lex.surname for w in words)
-            kinds = ("g" if any(w in lex.given for w in words) else "") + ("s" if any(w in lex.surname for w in words) else "")
-            return ["shape:name", f"known:{hits}/{len(words)}", f"parts:{kinds}", *(["name:comma"] if ", " in s else [])]
-        if re.fullmatch(r"[一-鿿々ヶヵノツぁ-んァ-ヶー ]+", s) and not all(c in _KANJI_DIGITS for c in s):
-            plain = s.replace(" ", "")
-            full = any(plain[:i] in lex.surname and plain[i:] in lex.given for i in range(1, len(plain)))
-            if full:
-                return ["shape:han", "known:full"]
-            head, _, tail = s.partition(" ")
-            common = any(plain[:i] in _COMMON for i in range(1, min(4, len(plain))))
-            parted = f"{len(head)} {len(tail)}" if tail else str(len(s))
-            kana = "kana" if re.search("[ぁ-んァ-ヶー]", s) else "han"
-            ends = "given" if s[-1] in _GIVEN_END and not s[-2:-1].isspace() else "other"
-            return ["shape:han", "known:no", *(["han:word"] * bool(_NO_NAME.search(s))), f"han:{parted}", f"han:{kana}", f"han:{'common' if common else 'rare'} {ends}", f"han:{kana} {'parted' if tail else 'one'} {'common' if common else 'rare'}"]
-        return []
 
+def _h(template: int, *values: np.ndarray) -> np.ndarray:
+    """Rows of the weight table for a feature template and its values."""
+    x = np.full(np.broadcast_shapes(*[np.shape(v) for v in values]), np.uint64(template * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
+    for v in values:
+        x = mix(x ^ np.asarray(v).astype(np.uint64)) + np.uint64(0x632BE59BD9B4E019)
+    return (x & np.uint64(ROWS - 1)).astype(np.int64)
 
-# -- the model
 
+# -- patterns: each is one feature of the spans it matches, not a condition
 
-@dataclass
-class Model:
-    """Weights of (kind, feature), of (kind, kind before) and the words they look at."""
+_W = rf"[{_LT}0-9'’-]"
+_UP = "[A-ZÀ-ÖØ-Þ]"
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9][\w.+%-]{0,64} {0,2}(?:@|[(\[{] ?(?:at|a|@|アット(?:マーク)?) ?[)\]}]|\bat\b|アット(?:マーク)?) {0,2}[A-Za-z0-9][A-Za-z0-9-]{0,62}(?: {0,2}(?:\.|[(\[{] ?(?:dot|ドット) ?[)\]}]|\bdot\b|ドット) {0,2}[A-Za-z][A-Za-z0-9-]{0,62})+", re.I | re.A),
+    "ja address": re.compile(r"(?:〒 ?\d{3}-?\d{4} ?)?(?:[㐀-鿿々ヶノ]{1,6}?[都道府県市区郡町村]){1,4}[㐀-鿿ぁ-んァ-ヶ]{0,8}?\d{1,4}(?:(?:丁目|番地?|号|の|-)\d{0,4}){1,4}(?: ?[^\s\d、。/]{1,10}? ?\d{1,4}(?:号室?)?)?"),
+    "street": re.compile(rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:{_UP}{_W}+ ){{1,4}}?(?:Street|St|Road|Rd|Lane|Ln|Court|Ct|Avenue|Ave|Crescent|Drive|Dr|Close|Way|Place|Terrace|Row|Square|Hill|Gardens|Boulevard|Blvd|Walk)\b\.?(?:, {_UP}{_W}+(?:[ -]{_UP}?{_W}+)*?)?(?![{_LT}0-9-])"),
+    "straße": re.compile(rf"{_UP}[{_LT}-]{{0,40}}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm) \d+ ?[a-z]?(?![{_LT}\d])(?:, \d{{4,5}} {_UP}[{_LT}-]+)?"),
+    "calle": re.compile(rf"(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo) (?:de |del |la |las |los )*{_UP}[{_LT}]+,? (?:n\.? ?º? ?)?\d+(?:, ?\d{{4,5}} {_UP}[{_LT}]+)?"),
+    "two words": re.compile(rf"(?<![{_LT}0-9_.@#-]){_UP}[{_LT}'’-]+(?: {_UP}\.)? {_UP}[{_LT}'’-]+(?![{_LT}0-9_@-])"),
+}
+_PATTERN_IDS = {n: i + 1 for i, n in enumerate([*PATTERNS, "lexicon"])}
 
-    weights: dict[tuple[str, str], float] = field(default_factory=dict)
-    lexicon: Lexicon = LEXICON
 
-    def __post_init__(self) -> None:
-        self.finder, self.features = Finder(self.lexicon), Features(self.lexicon)
+# -- lattices
 
-    def lattice(self, t: str, place: str) -> list[tuple[int, int, list[str]]]:
-        return [(a, b, self.features.of(t, a, b, place)) for a, b in self.finder.spans(t)]
 
-    def score(self, kind: str, names: list[str]) -> float:
-        w = self.weights
-        return sum(w.get((kind, n), 0.0) for n in names)
-
-    def best(self, t: str, place: str) -> list[tuple[int, int, str]]:
-        """The segmentation of the folded text with the highest score: non-overlapping (start, end, kind)."""
-        spans = sorted(self.finder.spans(t), key=lambda x: x[1])
-        if not spans:
-            return []
-        points = sorted({0, *(b for _, b in spans)})
-        # top[i][kind]: best of the text up to points[i] whose last entity has that kind ("" for none)
-        top: list[dict[str, tuple[float, tuple | None]]] = [{"": (0.0, None)}]
-        at = 0
-        for p in points[1:]:
-            here = dict(top[-1])
-            while at < len(spans) and spans[at][1] == p:
-                a, b = spans[at]
-                names = self.features.of(t, a, b, place)
-                at += 1
-                before = top[bisect.bisect_right(points, a) - 1]
-                for kind in KINDS:
-                    s = self.score(kind, names)
-                    if s < -20:
-                        continue
-                    for last, (v, back) in before.items():
-                        total = v + s + self.weights.get((kind, f"after {last}"), 0.0)
-                        if total > here.get(kind, (-math.inf, None))[0]:
-                            here[kind] = (total, (a, b, kind, back))
-            top.append(here)
-        _, back = max(top[-1].values(), key=lambda x: x[0])
-        out = []
-        while back is not None:
-            out.append(back[:3])
-            back = back[3]
-        return out[::-1]
-
-
-def fit(sentences: list[tuple[str, str, list[tuple[int, int, str]]]], epochs: int = 6, rate: float = 0.5, decay: float = 1e-4, seed: int = 3, lexicon: Lexicon = LEXICON) -> Model:
-    """Maximise the log-likelihood of (text, place, entities), texts already folded, by Adagrad; forward and backward sums over the candidates."""
-    model = Model(lexicon=lexicon)
-    data = []
-    for t, place, gold in sentences:
-        spans = model.lattice(t, place)
-        known = {(a, b): i for i, (a, b, _) in enumerate(spans)}
-        chosen = [(known[a, b], k) for a, b, k in gold if (a, b) in known]
-        if spans:
-            data.append((spans, sorted(chosen, key=lambda x: spans[x[0]][1])))
-    w, square = model.weights, {}
-    rng = random.Random(seed)
-    for _ in range(epochs):
-        rng.shuffle(data)
-        for spans, gold in data:
-            grad: dict[tuple[str, str], float] = {}
-            scores = [{k: model.score(k, names) for k in KINDS} for _, _, names in spans]
-            for i, k in gold:
-                for n in spans[i][2]:
-                    grad[k, n] = grad.get((k, n), 0.0) + 1.0
-            for (i, k), p in _marginals(spans, scores).items():
-                for n in spans[i][2]:
-                    grad[k, n] = grad.get((k, n), 0.0) - p
-            for key, g in grad.items():
-                g -= decay * w.get(key, 0.0)
-                if g:
-                    square[key] = square.get(key, 0.0) + g * g
-                    w[key] = w.get(key, 0.0) + rate * g / math.sqrt(square[key] + 1e-6)
-    return model
+@dataclass
+class Lattice:
+    """The tokens of some texts and their candidate segments, with the rows of all features."""
+
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    types: np.ndarray
+    left: np.ndarray  # features of a segment by its first token [tokens, n]
+    right: np.ndarray  # by its last token
+    inside: np.ndarray  # of each token in it
+    a: np.ndarray  # first token of each segment
+    b: np.ndarray  # token after the last
+    whole: np.ndarray  # features of the whole segment [segments, n]
+
+
+def _segments(ok_start: np.ndarray, ok_end: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(ok_start)
+    a, b = [], []
+    for n in range(1, MOST_TOKENS + 1):
+        starts = starts[room[starts] >= n]
+        if not len(starts):
+            break
+        s = starts[ok_end[starts + n - 1]]
+        a.append(s)
+        b.append(s + n)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    p, q = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    p[0] = q[0] = 1
+    return np.multiply.accumulate(p), np.multiply.accumulate(q)
+
+
+def lattice(texts: list[str], places: list[str], types: _Types, lexicon: Lexicon = Lexicon()) -> Lattice:
+    """Tokens and segments of folded texts."""
+    joined = "\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0"
+    spans = [(m.start(), m.end(), types.of(m.group())) for m in _TOKEN.finditer(joined)]
+    start, end, kind = (np.array(x, np.int64) for x in zip(*spans))
+    T = len(start)
+    props = np.array([types.rows[i] for i in kind.tolist()], np.uint64)
+    word, fine, coarse, joins, digits, one, three, may_start, may_end, hard = props.T
+    hard, may_start, may_end, joins = hard > 0, may_start > 0, may_end > 0, joins > 0
+    bound = word == word[0]  # the separators between texts
+    text = np.cumsum(bound) - 1
+    place = np.array([1 if p == "name" else 2 for p in [*places, ""]], np.uint64)[np.minimum(text, len(places))]
+    gap = np.concatenate([[0], (start[1:] > end[:-1]).astype(np.uint64)]).astype(np.uint64)
+    closed = np.flatnonzero(hard)
+    room = closed[np.minimum(np.searchsorted(closed, np.arange(T)), len(closed) - 1)] - np.arange(T)
+    a, b = _segments(may_start & ~hard, may_end & ~hard, room)
+
+    def shifted(x: np.ndarray, k: int) -> np.ndarray:
+        """x of the token k places before (k > 0) or behind; beyond the text, that of the separator."""
+        i = np.clip(np.arange(T) - k, 0, T - 1)
+        v = x[i]
+        return np.where(text[i] == text, v, x[0]) if k > 0 else np.where((text[i] == text) | (bound[i] & (text[i] == text + 1)), v, x[0])
+
+    w1, w2, w3, w4 = (shifted(word, k) for k in (1, 2, 3, 4))
+    n1, n2, n3 = (shifted(word, -k) for k in (1, 2, 3))
+    f1, g1 = shifted(fine, 1), shifted(fine, -1)
+    gap_after = np.concatenate([gap[1:], [0]]).astype(np.uint64)
+    left = np.stack([
+        _h(1, word), _h(2, fine, place), _h(3, w1), _h(4, w2), _h(5, w3), _h(6, w1, w2), _h(7, w1, w2, w3), _h(8, w1, w2, w3, w4), _h(9, f1, fine, gap), _h(10, w1, fine), _h(11, one, fine), _h(12, three), _h(13, shifted(fine, 2), f1, coarse),
+    ], 1)
+    right = np.stack([
+        _h(21, word), _h(22, fine, place), _h(23, n1), _h(24, n2), _h(25, n1, n2), _h(26, n1, n2, n3), _h(27, g1, fine, gap_after), _h(28, n1, fine), _h(29, shifted(fine, -2), g1, coarse), _h(30, shifted(word, 1), word),
+    ], 1)
+    inside = np.stack([_h(41, word), _h(42, fine), _h(43, shifted(fine, 1), fine, gap)], 1)
+    # the words of the 8 tokens before, in no order, as sums of a row each: single ones and pairs
+    nearby = [(_h(44, shifted(word, k)), _h(45, shifted(word, k + 1), shifted(word, k))) for k in range(1, 9)]
+    left = np.concatenate([left, *[np.stack(x, 1) for x in nearby]], 1)
+    ahead = [_h(46, shifted(word, -k)) for k in range(1, 4)]
+    right = np.concatenate([right, np.stack(ahead, 1)], 1)
+
+    whole = np.zeros((0, 13), np.int64)
+    if len(a):
+        p, q = _powers(T)
+        spaced = mix(fine ^ (gap * np.uint64(0xABCDEF123)))
+        fsum = np.concatenate([[0], np.cumsum(spaced * p[:T])]).astype(np.uint64)
+        exact = mix(fine)[a] + (fsum[b] - fsum[a + 1]) * q[a]  # fine shapes with the spaces between
+        # coarse: runs of one script count once
+        new = np.concatenate([[True], ~(joins[1:] & (coarse[1:] == coarse[:-1]))])
+        rank = np.cumsum(new)
+        csum = np.concatenate([[0], np.cumsum(np.where(new, mix(coarse) * p[np.minimum(rank, T)], np.uint64(0)))]).astype(np.uint64)
+        rough = mix(coarse)[a] + (csum[b] - csum[a + 1]) * q[np.minimum(rank[a], T)]
+        dsum = np.concatenate([[0], np.cumsum(digits)]).astype(np.int64)
+        gsum = np.concatenate([[0], np.cumsum((digits > 0) & new)]).astype(np.int64)
+        nd, ng = np.minimum(dsum[b] - dsum[a], 24), np.minimum(gsum[b] - gsum[a], 8)
+        letters = np.concatenate([[0], np.cumsum((digits == 0) & (fine > 0) & may_start & may_end)]).astype(np.int64)
+        has = np.minimum(letters[b] - letters[a], 3)
+        size = np.minimum(b - a, 20)
+        lead = np.zeros(T, np.int64)  # the next token with digits
+        nxt = np.where(digits > 0, np.arange(T), T - 1)
+        lead = np.minimum.accumulate(nxt[::-1])[::-1]
+        lead1 = np.where(lead[a] < b, one[np.minimum(lead[a], T - 1)], 0)
+        lead3 = np.where(lead[a] < b, three[np.minimum(lead[a], T - 1)], 0)
+        prev_d = (shifted(digits, 1) > 0) | ((shifted(digits, 2) > 0) & np.isin(w1, [zlib.crc32(x.encode()) for x in "-./,"]))
+        next_d = (shifted(digits, -1) > 0) | ((shifted(digits, -2) > 0) & np.isin(n1, [zlib.crc32(x.encode()) for x in "-./,"]))
+        cut = prev_d[a] * 2 + next_d[b - 1] + gap[a] * 4 + gap_after[b - 1] * 8
+        alone = (bound[a - 1] * 2 + bound[np.minimum(b, T - 1)]).astype(np.uint64)
+        seen = np.zeros(len(a), np.uint64)
+        marks = _pattern_spans(joined, lexicon)
+        if marks:
+            at = {(x, y): i for i, (x, y) in enumerate(zip(start[a].tolist(), end[b - 1].tolist()))} if len(marks) * 20 > len(a) else None
+            key = start[a].astype(np.int64) * (len(joined) + 1) + end[b - 1]
+            order = None if at is not None else np.argsort(key)
+            for x, y, name in marks:
+                if at is not None:
+                    i = at.get((x, y))
+                else:
+                    i = int(np.searchsorted(key, x * (len(joined) + 1) + y, sorter=order))
+                    i = int(order[i]) if i < len(order) and key[order[i]] == x * (len(joined) + 1) + y else None
+                if i is not None:
+                    seen[i] |= np.uint64(1 << _PATTERN_IDS[name])
+        sep = np.concatenate([[0], np.cumsum(mix(np.where(may_start, np.uint64(0), word)) & np.uint64(0xFFFFFFFF))]).astype(np.uint64)
+        whole = np.stack([
+            _h(61, exact), _h(62, rough), _h(63, nd, ng, has), _h(64, nd, lead1, has), _h(65, nd, lead3), _h(66, rough, w1[a]), _h(67, size, coarse[a]), _h(68, seen), _h(69, cut, coarse[a], coarse[b - 1]), _h(70, alone, place[a], rough),
+            _h(71, f1[a], g1[b - 1], coarse[a], coarse[b - 1]), _h(72, exact, lead1), _h(73, sep[b] - sep[a], nd),
+        ], 1)
+    return Lattice(start, end, text, kind, left, right, inside, a, b, whole)
+
+
+def _pattern_spans(joined: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
+    out = [(*m.span(), name) for name, p in PATTERNS.items() for m in p.finditer(joined)]
+    if lexicon.given and lexicon.surname:
+        some = lambda ws: "|".join(sorted(map(re.escape, ws), key=len, reverse=True))
+        g, s = some(lexicon.given), some(lexicon.surname)
+        out += [(*m.span(), "lexicon") for m in re.finditer(rf"(?:{s}) ?(?:{g})|(?:{g}) (?:[A-Z]\. )?(?:{s})|(?:{s}), (?:{g})", joined, re.I)]
+    return out
 
 
-def _marginals(spans, scores) -> dict[tuple[int, str], float]:
-    """Probability of each (span, kind) over all segmentations."""
-    total = [math.log(sum(math.exp(min(30.0, v)) for v in s.values())) for s in scores]
-    order = sorted(range(len(spans)), key=lambda i: spans[i][1])
-    points = sorted({0, *(x for a, b, _ in spans for x in (a, b))})
-    at = {p: i for i, p in enumerate(points)}
-    n = len(points)
-    forth, back = [0.0] + [-math.inf] * (n - 1), [-math.inf] * (n - 1) + [0.0]
-
-    def add(x: float, y: float) -> float:
-        m = max(x, y)
-        return m if m == -math.inf else m + math.log(math.exp(x - m) + math.exp(y - m))
-
-    ends: dict[int, list[int]] = {}
-    starts: dict[int, list[int]] = {}
-    for i in order:
-        ends.setdefault(at[spans[i][1]], []).append(i)
-        starts.setdefault(at[spans[i][0]], []).append(i)
-    for p in range(1, n):
-        forth[p] = forth[p - 1]
-        for i in ends.get(p, ()):
-            forth[p] = add(forth[p], forth[at[spans[i][0]]] + total[i])
-    for p in range(n - 2, -1, -1):
-        back[p] = back[p + 1]
-        for i in starts.get(p, ()):
-            back[p] = add(back[p], back[at[spans[i][1]]] + total[i])
-    z = forth[-1]
-    out = {}
-    for i, (a, b, _) in enumerate(spans):
-        base = forth[at[a]] + back[at[b]] - z
-        for k, s in scores[i].items():
-            p = math.exp(min(0.0, base + min(30.0, s)))
-            if p > 1e-4:
-                out[i, k] = p
-    return out
+# -- the model
 
 
-# -- invented sentences to learn from
-
-
-def invented_sentences(n: int = 2500, seed: int = 11, lexicon: Lexicon = LEXICON) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
-    """n sentences with known entities: invented people, places and numbers in frames, and sentences with numbers and names that are none."""
-    r = random.Random(seed)
-    pick = r.choice
-    d = lambda k: "".join(pick("0123456789") for _ in range(k))
-    cap = lambda: pick("BCDFGHKLMNPRSTVW") + pick("aeiou") + pick(["ll", "rn", "st", "nd", "m", "v", "lm", "x"]) + pick(["er", "en", "ow", "ia", "by", "ley", "ick", "ard", "ora"])
-    han = lambda k: "".join(pick("山川田中村松竹梅石森林原野谷沢島崎本木西東南北上下高大小青白黒花月") for _ in range(k))
-    user = lambda: pick(["mika", "tora", "sun", "blue", "neko", "riku", "otter", "fern"]) + pick([".", "_", "-", "", "+x."]) + pick(["sato", "moon", "jay", "99", "kuro", "leaf"]) + pick(["", d(2), d(4)])
-    latin_given, latin_sur = ([w for w in sorted(x) if w.isascii()] for x in (lexicon.given, lexicon.surname))
-    han_given, han_sur = ([w for w in sorted(x) if not w.isascii()] for x in (lexicon.given, lexicon.surname))
-
-    def email() -> str:
-        host = [pick(["mail", "post", "corp", "inbox", "tegami"]), pick(["sample", "harbour", "fern", "kiln"])][: pick([1, 2])] + [pick(["example", "test", "invalid", "com", "jp"])]
-        at, dot = pick([("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" [at] ", " [dot] "), ("(アット)", "(ドット)"), ("(at)", "(dot)"), (" at ", " dot ")])
-        s = user() + at + dot.join(host)
-        return s.upper() if r.random() < 0.1 else s
-
-    def phone() -> str:
-        m = pick(["090", "080", "070"])
-        words = {"0": "zero", "7": "seven", "8": "eight", "9": "nine"}
-        return pick([
-            f"{m}-{d(4)}-{d(4)}", f"{m} {d(4)} {d(4)}", f"{m}.{d(4)}.{d(4)}", f"{m}{d(8)}", f"0{d(1)}-{d(4)}-{d(4)}", f"0{d(1)}({d(4)}){d(4)}", f"({d(3)}) 555-{d(4)}", f"{d(3)}.555.{d(4)}", f"{d(3)}-555-{d(4)}", f"+1 {d(3)} 555 {d(4)}",
-            f"+81 {d(1)}-{d(4)}-{d(4)}", f"+81 90-{d(4)}-{d(4)}", f"+44 20 7946 {d(4)}", f"020 7946 {d(4)}", f"07700 {d(6)}", f"+49 (0)30 {d(5)} {d(3)}", f"030 {d(5)} {d(3)}", f"0800{d(7)}", f"0{d(10)}", f"+34 {d(3)} {d(3)} {d(3)}",
-            " ".join(words[c] for c in m) + f", {d(4)}, {d(4)}", "".join("零一二三四五六七八九"[int(c)] for c in m + d(8)), "-".join(words[c] for c in m) + f" {d(4)} {d(4)}",
-        ])
-
-    def identity() -> tuple[str, str]:
-        L = lambda k: "".join(pick("ABCQXZTKN") for _ in range(k))
-        return pick([
-            (pick(["マイナンバー:", "マイナンバーは", "個人番号 ", "my number "]), pick([d(12), f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}"])),
-            (pick(["ssn ", "my SSN is ", "social security number: "]), pick([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9)])),
-            (pick(["national insurance ", "NI number ", "my NI number is "]), pick([f"{L(2)}{d(6)}{pick('ABCD')}", f"{L(2)} {d(2)} {d(2)} {d(2)} {pick('ABCD')}"])),
-            (pick(["passport ", "passport no ", "パスポート番号", "パスポート "]), f"{L(2)}{d(7)}"),
-            (pick(["免許証番号 ", "免許の番号が", "driver licence ", "driving licence no "]), pick([d(12), f"{d(4)} {d(4)} {d(4)}"])),
-            (pick(["健康保険証 ", "保険証の記号番号 ", "health insurance "]), pick([f"{d(4)}-{d(6)}", f"{d(4)}-{d(7)}", f"{d(8)}"])),
-            (pick(["Personalausweis ", "Ausweis "]), f"{L(1)}{d(8)}"), ("DNI ", f"{d(8)}{pick('ABCDXZ')}"),
-        ])
-
-    def address() -> str:
-        town, block = pick([cap(), cap() + "-" + cap(), cap() + " " + cap()]), f"{r.randint(1, 30)}"
-        street = " ".join(cap() for _ in range(pick([1, 1, 2]))) + " " + pick(["Road", "Court", "Crescent", "Street", "Lane", "Avenue"])
-        city = han(pick([1, 2])) + pick(["市", "市" + han(2) + "区"])
-        return pick([
-            f"{pick([f'Flat {block}, ', ''])}{r.randint(1, 500)} {street}, {town}", f"{r.randint(1, 500)} {street}, {town}", f"{cap()}{pick(['weg', 'straße', 'gasse', 'allee'])} {block}, {d(5)} {cap()}", f"{cap()}str. {block}",
-            f"〒{d(3)}-{d(4)} {han(2)}県{city}{han(2)}{r.randint(1, 9)}丁目{block}番{r.randint(1, 30)}号", f"{city}{han(2)}町{r.randint(1, 9)}-{block}-{r.randint(1, 30)}", f"{han(2)}区{han(2)}{r.randint(1, 9)}の{block}", f"{han(2)}区{pick(['本町', '港', '橋詰'])}{r.randint(1, 9)}の{block} {pick(['ハイツ', 'コーポ'])}{han(1)}{d(3)}号室",
-            f"Calle {cap()} {block}, {d(5)} {cap()}",
-        ])
-
-    def person() -> tuple[str, bool]:
-        """(name, is any part of it in the lexicon)"""
-        if r.random() < 0.5:
-            known = r.random() < 0.7
-            g, s = (pick(latin_given).title(), pick(latin_sur).title()) if known and latin_given and latin_sur else (cap(), cap() + pick(["ton", "ford", "well"]))
-            return pick([f"{g} {s}", f"{g} {pick('ABKRT')}. {s}", f"{s.upper()}, {g}"]), known
-        known = r.random() < 0.8
-        g, s = (pick(han_given), pick(han_sur)) if known and han_given and han_sur else (han(2), han(2))
-        return pick([s + g, s + " " + g]), known
-
-    def none() -> str:
-        thing = pick(["map", "boss", "kettle", "lantern", "soup", "ピザ", "地図", "猫", "カメラ"])
-        return pick([
-            f"part no. {d(4)}-{d(3)}-{d(3)} is the {thing}", f"order #A-{d(7)} shipped the {thing}", f"seed {d(11)} is odd", f"ver {d(3)}.{d(2)}.{d(3)}-{d(4)} のほうが安定してる", f"抽選番号 {d(4)} {d(4)} {d(4)} はずれた", f"vote code {d(3)}-{d(3)}-{d(3)} on screen",
-            f"room {d(4)}-{d(3)} password changed", f"score was {d(1)}-{d(3)}-{d(3)} last set", f"帯域 {d(7)} で止まる", f"タイム {d(3)}.{d(3)} で{d(2)}位", f"{d(3)}:{d(3)}:{d(3)} あたりの{thing}", f"ポーション {d(7)} 個 exchange", f"{thing} {d(7)} please", ".".join([f"the manual says section {r.randint(1, 400)}", *(str(r.randint(1, 400)) for _ in range(pick([2, 3])))]), f"ポイント{d(8)}たまった", f"see docs/{thing}/{d(4)} for the map",
-            f"@{user()} さっきの{thing}もう一回", f"@{user()} {d(2)}:{d(2)} でよろしく", f"駅から徒歩{d(2)}分の{thing}屋", f"地獄の{d(3)}丁目ステージ最高", f"{d(3)}回目の{thing}きた", f"Captain {cap()} and the odd {thing}, volume {d(3)}", f"the village of {cap()} has {d(3)} soups", f"Lord {pick(['Kettle', cap()])}", f"Team {cap()} {d(1)}", f"The Third {pick(['Tram', cap()])}", f"Sleepy {pick(['Lantern', cap()])}",
-            f"{pick(['Golden', 'Mighty', 'Little', 'Captain'])} {pick(['Soup', 'Fox', 'Otter', cap()])}", "Hello World", f"I need that {thing} in my life", f"hot {thing} in your area, literally, it is {d(2)} degrees", f"{thing} at {d(2)} points. at last", "通りすがりの猫", f"{han(2)}さんの動画", f"{thing}と{han(2)}で{d(2)}点", "888888", "www", f"level {d(3)} with only one {thing}", *(f"{d(4)}-{r.randint(1, 400)}-{r.randint(1, 400)} {pick(['に放送した回', 'の回', 'ごろ'])}" for _ in range(3)), f"電話の音びっくりした {d(2)}回", f"郵便番号クイズの答えは{d(3)}番", f"mail欄は{d(3)}でいいの", f"the {cap()} {cap()} people", f"{cap()} {cap()}",
-        ])
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    m = np.maximum(x.max(axis), -1e30)
+    return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis) + 1e-300)
 
-    out = []
-    for _ in range(n):
-        parts: list[tuple[str, str | None, str]] = []  # before, kind, text
-        place = "content"
-        if r.random() < 0.15:
-            place = "name"
-            x = r.random()
-            if x < 0.35:
-                parts = [("", "person_name", person()[0])]
-            elif x < 0.5:
-                parts = [("", "email", email())]
-            elif x < 0.65:
-                parts = [("", "phone", phone())]
-            else:
-                parts = [(none() if r.random() < 0.5 else pick(["Captain Soup", "Sleepy Lantern", "Lord Kettle", "からくり時計", f"Team {cap()} {d(1)}", f"The {cap()} Tram", user(), f"{cap()} {pick(['Fox', 'Soup', 'Tram'])}"]), None, "")]
-        else:
-            for _ in range(pick([1, 1, 2, 2, 3])):
-                x = r.random()
-                if x < 0.13:
-                    parts.append((pick(["write me at ", "連絡は", "メアド ", "", "my mail: ", "send it to "]), "email", email()))
-                elif x < 0.29:
-                    parts.append((pick(["電話は", "tel:", "call me ", "reach me on ", "", "携帯 "]), "phone", phone()))
-                elif x < 0.45:
-                    cue, value = identity()
-                    parts.append((pick(["", "", "they asked, ", "間違えて貼った "]) + cue, "id_number", value))
-                elif x < 0.58:
-                    parts.append((pick(["家は", "荷物は", "I live at ", "send it to ", ""]), "address", address()))
-                elif x < 0.70:
-                    name, known = person()
-                    cue = pick(["本名は", "担任の", "my real name is ", "yesterday "] + (["", ""] if known else []))
-                    parts.append((cue, "person_name", name))
-                    parts.append(("です" if cue == "本名は" else "先生元気かな" if cue == "担任の" else " told me so" if cue == "yesterday " else pick(["", "さんっていう人が先生"]) if known else "", None, ""))
-                    continue
-                else:
-                    parts.append((none(), None, ""))
-                parts.append((pick(["", " please", "です", " まで来て", " ok?", " って言われた", " に出て", " tonight", "", ""]) if parts[-1][1] else "", None, ""))
-        text, gold = "", []
-        for i, (before, kind, value) in enumerate(parts):
-            if i and (value or before) and (parts[i][1] or len(before) > 6):
-                text += pick([" ", " ", "、", "\n", " / "]) if text else ""
-            text += before
-            if kind:
-                gold.append((len(text), len(text) + len(value), kind))
-                text += value
-        out.append((text, place, gold))
-    return out
+
+@dataclass
+class Model:
+    """Weights of hashed features for each kind, and of what follows what: state 0 is text that is no entity, 1.. are KINDS."""
+
+    weights: np.ndarray
+    turns: np.ndarray
+    lexicon: Lexicon = Lexicon()
+    _types: _Types = field(default_factory=_Types, repr=False)
+    _grams: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.weights, self.turns, self.lexicon
+
+    def __setstate__(self, s) -> None:
+        self.weights, self.turns, self.lexicon = s
+        self._types, self._grams = _Types(), {}
+
+    def _gram(self, i: int) -> np.ndarray:
+        g = self._grams.get(i)
+        if g is None:
+            rows = self._types.grams[i]
+            g = self._grams[i] = GRAM_WEIGHT * self.weights[_h(47, rows)].mean(0) if len(rows) else np.zeros(len(KINDS), np.float32)
+        return g
+
+    def segment_scores(self, lat: Lattice) -> np.ndarray:
+        """[segments, kinds]"""
+        w = self.weights
+        if not len(lat.a):
+            return np.zeros((0, len(KINDS)))
+        tokens = np.unique(np.concatenate([lat.a, lat.b - 1]))
+        left, right = np.zeros((len(lat.start), len(KINDS)), np.float32), np.zeros((len(lat.start), len(KINDS)), np.float32)
+        left[tokens] = w[lat.left[tokens]].sum(1)
+        right[tokens] = w[lat.right[tokens]].sum(1)
+        inner = w[lat.inside].sum(1)
+        u, back = np.unique(lat.types, return_inverse=True)
+        inner += np.stack([self._gram(i) for i in u.tolist()])[back]
+        sums = np.concatenate([np.zeros((1, len(KINDS))), np.cumsum(inner, 0, dtype=np.float64)])
+        return left[lat.a] + right[lat.b - 1] + (sums[lat.b] - sums[lat.a]) + w[lat.whole].sum(1)
+
+    def best(self, texts: list[str], places: list[str]) -> list[list[tuple[int, int, str]]]:
+        """For each folded text the segmentation with the highest score: non-overlapping (start, end, kind).
+
+        Segments that cannot be in a best segmentation, whatever stands around them (their score is below what replacing them by plain tokens
+        costs at most), are left out before the dynamic programming; that changes nothing.
+        """
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        if len(self._types.rows) > 200_000:
+            self._types.clear()
+            self._grams.clear()
+        lat = lattice(texts, places, self._types, self.lexicon)
+        s = self.segment_scores(lat)
+        t = self.turns
+        gain = np.array([max(t[x, k] - t[x, 0] for x in range(len(t))) + max(t[k, y] - t[0, y] for y in range(len(t))) for k in range(1, len(t))]) if len(t) else 0
+        keep = np.argwhere(s + gain > 0)
+        if not len(keep):
+            return out
+        seg, kind = keep[:, 0], keep[:, 1]
+        a, b, owner = lat.a[seg], lat.b[seg], lat.text[lat.a[seg]]
+        order = np.lexsort((b, owner))
+        cuts = np.flatnonzero(np.diff(owner[order])) + 1
+        at = np.flatnonzero(np.concatenate([[True], lat.text[1:] != lat.text[:-1]]))
+        base = lat.start[at] + 1
+        for group in np.split(order, cuts):
+            i = int(owner[group[0]])
+            found = _best_path([(int(a[g]), int(b[g]), int(kind[g]) + 1, float(s[seg[g], kind[g]])) for g in group], t)
+            out[i] = [(int(lat.start[x] - base[i]), int(lat.end[y - 1] - base[i]), KINDS[k - 1]) for x, y, k in found]
+        return out
 
 
-def invented_more(n: int = 40, seed: int = 12) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
-    """More sentences of the same form: lists of numbers, alone and before a phone number, numbers of sections, and phone numbers spelled in words."""
-    words = [w.split() for w in ("zero one two three four five six seven eight nine", "oh one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve")]
-    r = random.Random(seed)
-    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+def _best_path(segments: list[tuple[int, int, int, float]], turns: np.ndarray) -> list[tuple[int, int, int]]:
+    """Highest-scoring choice of non-overlapping (from, until, state, score), sorted by until; plain tokens stand in state 0 between."""
+    t = turns.tolist()
+    n, low = len(t), -1e30
+    points = [-1]
+    tops: list[list[tuple[float, tuple | None]]] = [[(0.0, None)] + [(low, None)] * (n - 1)]  # at each point, by the state of its last token
+
+    def plain(row: list[tuple[float, tuple | None]]) -> tuple[float, tuple | None]:
+        """The best of a row after one plain token more; further ones cost nothing."""
+        return max(((v + t[s][0], back) for s, (v, back) in enumerate(row)), key=lambda x: x[0])
+
+    def at(p: int) -> list[tuple[float, tuple | None]]:
+        i = bisect.bisect_right(points, p) - 1
+        return tops[i] if points[i] == p else [plain(tops[i])] + [(low, None)] * (n - 1)
+
+    i = 0
+    while i < len(segments):
+        p = segments[i][1]
+        row = [plain(at(p - 1))] + [(low, None)] * (n - 1)
+        while i < len(segments) and segments[i][1] == p:
+            a, b, k, score = segments[i]
+            i += 1
+            for s, (v, back) in enumerate(at(a)):
+                if v > low and v + t[s][k] + score > row[k][0]:
+                    row[k] = (v + t[s][k] + score, (a, b, k, back))
+        points.append(p)
+        tops.append(row)
+    back = plain(tops[-1])[1]
     out = []
-    for _ in range(n):
-        size, top, sep = r.randint(8, 40), r.choice([9, 30, 99]), r.choice([", ", " ", ",", "-", "/"])
-        counted = sep.join(str(i % top + 1) for i in range(size))
-        scores = r.choice([" ", ", "]).join(f"{r.randint(0, top)}-{r.randint(0, top)}" for _ in range(size))
-        for listed in (counted, scores):
-            out.append((listed, "content", []))
-            before, phone = listed + r.choice([", ", " tel: ", " "]), f"{r.choice(['090', '080', '070'])}-{d(4)}-{d(4)}"
-            out.append((before + phone, "content", [(len(before), len(before) + len(phone), "phone")]))
-        named, gap, number = r.choice(words), r.choice([" ", " ", ", ", "-"]), r.choice(["090", "080", "070"]) + d(8)
-        spelled = r.choice([gap.join(named[int(c)] for c in number), f"{gap.join(named[int(c)] for c in number[:3])}{r.choice([', ', ' '])}{number[3:7]}{r.choice([', ', ' '])}{number[7:]}"])
-        spelled = spelled.upper() if r.random() < 0.3 else spelled
-        before = r.choice(["call me ", "電話は", "llama al ", "", "my soup is ready, "])
-        out.append((before + spelled + r.choice([" ok", "", " is that new"]), "content", [(len(before), len(before) + len(spelled), "phone")]))
-        out.append((r.choice(["level ", "", "take "]) + " ".join(named[i % 10] for i in range(1, r.randint(3, 6))) + r.choice([" go", "", " lift off"]), "content", []))
-        sur, giv = r.choice(sorted(_COMMON)), r.choice("太郎 花子 健一 美咲 翔太 恵子 直樹 由美 大輔 陽菜 誠 葵 健太郎 さくら ひなた あかり めぐみ 真由美 拓也 智子 隆 彩香 雄大".split())
-        name = sur + r.choice([" ", " ", ""]) + giv
-        rare = "".join(r.choice("鳥遊小近衛月城榊峰八神水無瀬堂御久我") for _ in range(r.randint(1, 3))) + " " + "".join(r.choice("六花龍之介紗凛悠斗雪乃楓伊織") for _ in range(r.randint(2, 3)))
-        out += [(x, "name", [(0, len(x), "person_name")]) for x in (name, rare)]
-        left, right = r.choice([("888888 ", " "), ("", " "), ("草 ", "\n")]), f"{d(3)}.555.{d(4)}"
-        out.append((left[0] + right + left[1] + f"{r.randint(2, 400)}連勝おめでとう", "content", [(len(left[0]), len(left[0]) + len(right), "phone")]))
-        left, right = r.choice([("I am ", " by the way"), ("", "さんっていう人が先生"), ("本名は", "です"), ("", " / call me"), ("昨日、", "に会った"), ("my real name is ", "")])
-        out.append((left + name + right, "content", [(len(left), len(left) + len(name), "person_name")] if re.fullmatch("[一-鿿々 ]+", name) or left == "本名は" else []))
-        word = r.choice("先生元気 健康保険証 記号番号 保険証 個人番号 携帯番号 免許証番号 今日放送 一般視聴".split())
-        out.append((r.choice(["担任の", "担任の", "my real name is ", "本名は"]) + r.choice(["Corvin Maxtby", "Tavia Wintlow"]) + " " + word + r.choice(["かな", "は", " "]), "content", []))
-        out[-1] = (out[-1][0], "content", [(m.start(), m.end(), "person_name") for m in NAME_LATIN.finditer(out[-1][0])])
-        for place in ("name", "content", "content"):
-            word = r.choice("名無し権兵衛 通りすがり 視聴者代表 深夜勢 天気予報 初見歓迎 焼肉定食 一般人 動物園 大爆笑 拍手喝采 音量注意 かわいい すごすぎ 新幹線 お茶会 猫大好き 田んぼ道 山本山 森の熊 林間学校 中村屋 今日の 夜更かし 大福 おはよう 東京都 北海道 高速道路 生放送 黒猫 料理人 初心者 常連客 健康保険証 個人番号 先生元気 先生元気 免許証番号 保険証 携帯電話 連勝".split())
-            out.append((r.choice(["", "", "", "今の"] if place == "content" else [""]) + word + r.choice(["", "", " ww", "だった", " きた"] if place == "content" else ["", "", "さん"]), place, []))
-        out.append((".".join([f"the manual says section {r.randint(1, 99)}", *(str(r.randint(100, 400)) for _ in range(3))]), "content", []))
-    return out
+    while back is not None:
+        out.append(back[:3])
+        back = back[3]
+    return out[::-1]
+
+
+# -- fitting
+
+
+def forward_backward(scores: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log Z [texts], probability of each segment, expected turns) for scores [texts, end, length - 1, kind], -inf where there is none."""
+    B, n1, L, K = scores.shape
+    n = n1 - 1
+    low = -1e30
+    fwd, enter = np.full((B, n + 1, K + 1), low), np.full((B, n + 1, K), low)  # enter: all ways to begin a segment of a kind at p
+    fwd[:, 0, 0] = 0
+    enter[:, 0] = turns[0, 1:]
+    for p in range(1, n + 1):
+        fwd[:, p, 0] = _lse(fwd[:, p - 1] + turns[:, 0], 1)
+        m = min(L, p)
+        fwd[:, p, 1:] = _lse(enter[:, p - m : p][:, ::-1] + scores[:, p, :m], 1)
+        enter[:, p] = _lse(fwd[:, p][:, :, None] + turns[None, :, 1:], 1)
+    z = _lse(fwd[:, n] + turns[:, 0], 1)
+    bwd, leave = np.full((B, n + 1, K + 1), low), np.full((B, n + 1, K), low)  # leave: all ways on from a segment of a kind that begins at p
+    bwd[:, n] = turns[:, 0]
+    for p in range(n - 1, -1, -1):
+        m = min(L, n - p)
+        ahead = scores[:, p + 1 : p + 1 + m]
+        leave[:, p] = _lse(ahead[:, np.arange(m), np.arange(m)] + bwd[:, p + 1 : p + 1 + m, 1:], 1)
+        bwd[:, p] = _lse(np.concatenate([bwd[:, p + 1, :1], leave[:, p]], 1)[:, None, :] + turns[None], 2)
+    prob = np.zeros_like(scores)
+    for m in range(1, min(L, n) + 1):
+        prob[:, m:, m - 1] = np.exp(np.minimum(enter[:, : n + 1 - m] + scores[:, m:, m - 1] + bwd[:, m:, 1:] - z[:, None, None], 0))
+    plain = np.exp(np.minimum(fwd[:, :n] + turns[:, 0] + bwd[:, 1:, :1] - z[:, None, None], 0)).sum((0, 1)) + np.exp(np.minimum(fwd[:, n] + turns[:, 0] - z[:, None], 0)).sum(0)
+    begun = np.exp(np.minimum(fwd[:, :n, :, None] + turns[None, None, :, 1:] + leave[:, :n, None, :] - z[:, None, None, None], 0)).sum((0, 1))
+    return z, prob, np.concatenate([plain[:, None], begun], 1)
+
+
+def fit(sentences: list[Sentence], epochs: int = 4, rate: float = 0.08, decay: float = 2e-6, batch: int = 160, seed: int = 3, lexicon: Lexicon = Lexicon()) -> Model:
+    """Maximise the log-likelihood of (text, place, entities) by Adam, batches of texts of like length; entities that are no segments are an error."""
+    K = len(KINDS)
+    model = Model(np.zeros((ROWS, K), np.float32), np.zeros((K + 1, K + 1)), lexicon)
+    rng = np.random.default_rng(seed)
+    folded = []
+    for text, place, gold in sentences:
+        f, at = fold(text)
+        back = {x: i for i, x in reversed(list(enumerate(at)))}
+        folded.append((f, place, [(back[a], max(i for i, x in enumerate(at) if x < b) + 1, k) for a, b, k in gold] if not isinstance(at, range) else gold))
+    folded.sort(key=lambda x: len(x[0]))  # stable: the same batches each time
+    data = []
+    for i in range(0, len(folded), batch):
+        part = folded[i : i + batch]
+        lat = lattice([x[0] for x in part], [x[1] for x in part], model._types, lexicon)
+        first = np.flatnonzero(np.concatenate([[True], lat.text[1:] != lat.text[:-1]]))[: len(part)]
+        known = {(int(lat.start[a]), int(lat.end[b - 1])): j for j, (a, b) in enumerate(zip(lat.a.tolist(), lat.b.tolist()))}
+        gold_kind = np.full(len(lat.a), -1)
+        for j, (_, _, gold) in enumerate(part):
+            base = int(lat.start[first[j]]) + 1
+            for a, b, k in gold:
+                at = known.get((base + a, base + b))
+                if at is not None:
+                    gold_kind[at] = KINDS.index(k)
+        grams = [model._types.grams[t] for t in lat.types.tolist()]
+        counts = np.array([len(g) for g in grams])
+        rows = _h(47, np.concatenate(grams)) if counts.sum() else np.zeros(0, np.int64)
+        data.append((lat, first, gold_kind, rows, np.repeat(np.arange(len(counts)), counts), counts))
+    w, t = model.weights, model.turns
+    first_w, second_w, first_t, second_t = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
+    step, mean_w, mean_t, kept = 0, np.zeros_like(w), np.zeros_like(t), 0
+    for epoch in range(epochs):
+        slow = rate * (1 - epoch / epochs * 0.7)
+        for at in rng.permutation(len(data)).tolist():
+            lat, first, gold_kind, rows, owner, counts = data[at]
+            step += 1
+            grad_w, grad_t = _gradient(model, lat, first, gold_kind, rows, owner, counts)
+            grad_w += decay * w
+            for p, g, m, v in ((w, grad_w, first_w, second_w), (t, grad_t, first_t, second_t)):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p -= (slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(p.dtype)
+            t[0, 0] = 0.0
+            if epoch >= epochs // 2:  # the mean over the later epochs is what stays
+                mean_w += w
+                mean_t += t
+                kept += 1
+    model.weights, model.turns = mean_w / np.float32(kept), mean_t / kept
+    model._types, model._grams = _Types(), {}
+    return model
+
+
+def _gradient(model: Model, lat: Lattice, first: np.ndarray, gold_kind: np.ndarray, rows: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood of a batch."""
+    w, K, T = model.weights, len(KINDS), len(lat.start)
+    left, right, inner = w[lat.left].sum(1), w[lat.right].sum(1), w[lat.inside].sum(1)
+    if len(rows):
+        mean = np.zeros((T, K), np.float32)
+        some = np.flatnonzero(counts)
+        mean[some] = np.add.reduceat(w[rows], np.concatenate([[0], np.cumsum(counts[some])[:-1]]), axis=0) * (GRAM_WEIGHT / counts[some][:, None])
+        inner += mean
+    sums = np.concatenate([np.zeros((1, K)), np.cumsum(inner, 0, dtype=np.float64)])
+    s = left[lat.a] + right[lat.b - 1] + sums[lat.b] - sums[lat.a] + w[lat.whole].sum(1)
+    B = len(first)
+    length = np.diff(np.append(first, len(lat.text) - 1))  # tokens of each text with its separator before
+    n = int(length.max()) - 1
+    L = int((lat.b - lat.a).max()) if len(lat.a) else 1
+    text = lat.text[lat.a]
+    # texts are aligned at their ends: padding before the first token is plain
+    shift = n - (length[text] - 1)
+    end = lat.b - (first[text] + 1) + shift
+    dense = np.full((B, n + 1, L, K), -1e30)
+    dense[text, end, lat.b - lat.a - 1] = s
+    _, prob, turned = forward_backward(dense, model.turns)
+    d = prob[text, end, lat.b - lat.a - 1]
+    is_gold = np.flatnonzero(gold_kind >= 0)
+    d[is_gold, gold_kind[is_gold]] -= 1.0
+    seen = np.zeros_like(turned)
+    for j in range(B):
+        mine = is_gold[text[is_gold] == j]
+        mine = mine[np.argsort(lat.a[mine])]
+        at, last = 0, 0
+        for g in mine.tolist():
+            a, b, k = int(end[g] - (lat.b[g] - lat.a[g])), int(end[g]), int(gold_kind[g]) + 1
+            if a > at:
+                seen[last, 0] += 1
+                seen[0, 0] += a - at - 1
+                last = 0
+            seen[last, k] += 1
+            last, at = k, b
+        seen[last, 0] += 1
+        seen[0, 0] += n - at
+    use = np.flatnonzero(np.abs(d).max(1) > 1e-5)
+    d, a, b, whole = d[use] / B, lat.a[use], lat.b[use], lat.whole[use]
+    by_start, by_end, cover = np.zeros((T, K)), np.zeros((T, K)), np.zeros((T + 1, K))
+    np.add.at(by_start, a, d)
+    np.add.at(by_end, b - 1, d)
+    np.add.at(cover, a, d)
+    np.add.at(cover, b, -d)
+    cover = np.cumsum(cover, 0)[:T]
+    grad = np.zeros_like(w)
+    tokens = np.flatnonzero(np.abs(by_start).max(1) > 0), np.flatnonzero(np.abs(by_end).max(1) > 0), np.flatnonzero(np.abs(cover).max(1) > 1e-9)
+    parts = [(lat.left[tokens[0]], by_start[tokens[0]]), (lat.right[tokens[1]], by_end[tokens[1]]), (lat.inside[tokens[2]], cover[tokens[2]]), (whole, d)]
+    if len(rows):
+        parts.append((rows[:, None], cover[owner] * (GRAM_WEIGHT / counts[owner][:, None])))
+    for k in range(K):
+        for index, value in parts:
+            grad[:, k] += np.bincount(index.ravel(), np.repeat(value[:, k], index.shape[1]), minlength=ROWS).astype(np.float32)
+    return grad, (turned - seen) / B
 
 
 _model: list[Model] = []
@@ -549,22 +549,50 @@ _model: list[Model] = []
 def default_model() -> Model:
     """The model fitted on the invented sentences; the same weights in every process."""
     if not _model:
-        _model.append(fit([*invented_sentences(), *invented_more()]))
+        _model.append(fit(invented_sentences()))
     return _model[0]
 
 
+# -- use
+
+
+def find_all(model: Model, texts: list[str], places: list[str]) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) in the texts themselves, in order, for each text; texts are taken in chunks of about CHUNK_TOKENS characters."""
+    out: list[list[tuple[int, int, str]]] = []
+    part: list[tuple[str, list[int] | range]] = []
+    size, done = 0, 0
+
+    def flush() -> None:
+        nonlocal size, done
+        found = model.best([f for f, _ in part], places[done : done + len(part)])
+        out.extend([(at[a], at[b - 1] + 1, k) for a, b, k in one] for (_, at), one in zip(part, found))
+        done += len(part)
+        part.clear()
+        size = 0
+
+    for t in texts:
+        part.append(fold(t))
+        size += len(t) + 1
+        if size >= CHUNK_TOKENS:
+            flush()
+    if part:
+        flush()
+    return out
+
+
 def entities(model: Model, text: str | None, place: str = "content") -> list[tuple[int, int, str]]:
     """(start, end, kind) in the text itself, in order."""
-    if not text:
-        return []
-    folded, at = fold(text)
-    return [(at[a], at[b - 1] + 1, k) for a, b, k in model.best(folded, place)]
+    return find_all(model, [text], [place])[0] if text else []
 
 
 def redact(model: Model, text: str, place: str = "content") -> str:
     """The text with [EMAIL], [PHONE] and so on in place of what was found; everything else unchanged."""
+    return _replaced(text, entities(model, text, place))
+
+
+def _replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     out, last = [], 0
-    for a, b, k in entities(model, text, place):
+    for a, b, k in found:
         out += [text[last:a], f"[{k.upper()}]"]
         last = b
     return "".join([*out, text[last:]])
@@ -574,10 +602,10 @@ def find_personal(df: DataFrame, row_id: str, columns: list[str], model: Model |
     """One row per row of df and column with something found: (row_id, field, kinds ARRAY, starts ARRAY, ends ARRAY[, redacted]).
 
     starts and ends are code points of the text, end exclusive. A map over Arrow batches, texts that come again in a batch
-    or shortly after are done once; the model (some thousand weights) is broadcast. With `redacted`, every non-null text gives a row.
+    or shortly after are done once; the model (a table of fixed size) is broadcast. With `redacted`, every non-null text gives a row.
 
     Defined results: null texts give no rows, empty texts nothing found; repeated rows give repeated rows; a text of any length is done
-    whole. An entity is at most LONGEST folded characters.
+    whole. An entity has at most MOST_TOKENS tokens and goes across no line end and no sentence mark.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model or default_model())
@@ -591,16 +619,12 @@ def find_personal(df: DataFrame, row_id: str, columns: list[str], model: Model |
             for c, name in enumerate(columns, 1):
                 d = pc.dictionary_encode(batch.column(c).cast(pa.string()))
                 texts = d.dictionary.to_pylist()
-                found = []
-                for t in texts:
-                    got = memo.get((name, t))
-                    if got is None:
-                        got = entities(m, t, "name" if name == "name" else "content")
-                        if len(t) < 256:
-                            if len(memo) >= 50_000:
-                                memo.clear()
-                            memo[name, t] = got
-                    found.append(got)
+                new = [t for t in texts if (name, t) not in memo]
+                got = dict(zip(new, find_all(m, new, ["name" if name == "name" else "content"] * len(new))))
+                found = [got[t] if t in got else memo[name, t] for t in texts]
+                if len(memo) + len(got) > 100_000:
+                    memo.clear()
+                memo.update({(name, t): f for t, f in got.items() if len(t) < 256})
                 keep = pa.array([bool(f) or redacted for f in found], pa.bool_()).take(d.indices)
                 rows = pc.filter(pa.RecordBatch.from_arrays([batch.column(0), d.indices], names=["i", "x"]), pc.fill_null(keep, False))
                 x = rows.column(1)
@@ -608,14 +632,7 @@ def find_personal(df: DataFrame, row_id: str, columns: list[str], model: Model |
                 cols = [rows.column(0), pa.array([name] * rows.num_rows, pa.string()), part(2, pa.string()), part(0, pa.int32()), part(1, pa.int32())]
                 names = [row_id, "field", "kinds", "starts", "ends"]
                 if redacted:
-                    done = []
-                    for t, f in zip(texts, found):
-                        out, last = [], 0
-                        for a, b, k in f:
-                            out += [t[last:a], f"[{k.upper()}]"]
-                            last = b
-                        done.append("".join([*out, t[last:]]))
-                    cols.append(pa.array(done, pa.string()).take(x))
+                    cols.append(pa.array([_replaced(t, f) for t, f in zip(texts, found)], pa.string()).take(x))
                     names.append("redacted")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -5,111 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.llm import abuse, contamination, lookalikes, mixing, personal, queries
+from rillwork.llm import abuse, contamination, lookalikes, mixing, queries
 from rillwork.llm.shared_spans import common_spans, shared_spans
 from rillwork.llm.text_arrays import WindowHash, sliding
 
-# -- personal information
-
-
-@pytest.fixture(scope="module")
-def model():
-    return personal.default_model()
-
-
-POSITIVE = [
-    ("連絡はkaede+live.usagi53@mail.harbour.exampleまで 888888", {"email"}), ("write me at NAGI [at] kiln [dot] test ok?", {"email"}), ("ｍａｒｕ＿ａ＠ｍａｉｌ．ｅｘａｍｐｌｅ", {"email"}),
-    ("call me 080.0740.1354", {"phone"}), ("zero nine zero, 0143, 2251", {"phone"}), ("電話は+49 (0)30 23125 806です", {"phone"}), ("06(0022)3120 に出て", {"phone"}), ("零九零零一三五六一三六", {"phone"}),
-    ("マイナンバー:４５４０３６３２５５１１", {"id_number"}), ("my SSN is 931 85 2476", {"id_number"}), ("national insurance QQ 44 31 11 C って言われた", {"id_number"}), ("パスポート番号XZ7715437", {"id_number"}), ("保険証の記号番号 2002-358068", {"id_number"}),
-    ("〒000-3533 銀杏県月影市雲居6丁目11番19号 まで来て", {"address"}), ("send it to Flat 7, 111 Anvil Court, Ostrelle-Low please", {"address"}), ("家はTöpferweg 29, 00017 Oberlüthenです", {"address"}), ("雫石区橋詰５の３０ ハイツ藍549号室", {"address"}),
-    ("本名は鳴子沢 真汐です", {"person_name"}), ("yesterday Corvin R. Maxtby told me so", {"person_name"}), ("WINTLOW, Pryce", {"person_name"}), ("I am 藍ノ木真汐 by the way / call me 090-0845-6611", {"person_name", "phone"}),
-]
-NEGATIVE = [
-    "part no. 7587-877-589 is the camera", "order #A-6299276 shipped the map", "seed 94844458551 is odd", "抽選番号 1077 8210 7958 はずれた", "the manual says section 50.393.237.212", "4346-9-248 に放送した回", "駅から徒歩241分の鍋屋", "地獄の231丁目ステージ", "Captain Soup and the fast map, volume 136",
-    "@komorebi99 さっきの望遠鏡もう一回", "888888", "", "the village of Ummerstead has 385 lanterns", "Lord Kettle", "からくり時計",
-]
-
-
-def test_entities(model):
-    for text, kinds in POSITIVE:
-        assert {k for _, _, k in personal.entities(model, text)} == kinds, text
-    for text in NEGATIVE:
-        assert personal.entities(model, text) == [], text
-
-
-def test_held_out_accuracy(model):
-    """Sentences of another seed than those it was fitted on."""
-    right = wrong = missed = 0
-    for text, place, gold in personal.invented_sentences(400, seed=99):
-        got, want = set(personal.entities(model, text, place)), set(gold)
-        right += len(got & want)
-        wrong += len(got - want)
-        missed += len(want - got)
-    assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
-
-
-def test_marginals_sum_over_all_segmentations():
-    spans = [(0, 2, ["x"]), (1, 3, ["y"]), (3, 4, ["x"])]
-    m = personal.Model(weights={("email", "x"): 0.7, ("phone", "y"): -0.2})
-    scores = [{k: m.score(k, n) for k in personal.KINDS} for _, _, n in spans]
-    import itertools
-    import math
-
-    z, mass = 0.0, defaultdict(float)
-    for chosen in itertools.product([None, *personal.KINDS], repeat=3):
-        used = [(i, k) for i, k in enumerate(chosen) if k]
-        if any(spans[i][1] > spans[j][0] for (i, _), (j, _) in zip(used, used[1:])):
-            continue
-        w = math.exp(sum(scores[i][k] for i, k in used))
-        z += w
-        for u in used:
-            mass[u] += w
-    got = personal._marginals(spans, scores)
-    assert all(abs(got.get(u, 0.0) - v / z) < 1e-6 for u, v in mass.items())
-
-
-EVADING = [
-    ("Ｓｅｆａ Ｍａｘｔｂｙ", "name", "person_name"), ("ｓｏｕｐ ｂｙ Ｓｅｆａ Ｍａｘｔｂｙ", "content", "person_name"), ("月影\u200b山 真\u200b汐", "name", "person_name"),
-    ("oh nine oh one two three four five six seven eight", "content", "phone"), ("call me ZERO NINE ZERO one two three four FIVE SIX SEVEN EIGHT", "content", "phone"),
-    ("null acht null eins zwei drei vier fünf sechs sieben acht", "content", "phone"), ("llama al cero nueve cero uno dos tres cuatro cinco seis siete ocho", "content", "phone"), ("ｚｅｒｏ ｎｉｎｅ ｚｅｒｏ １２３４ ５６７８", "content", "phone"),
-]
-
-
-def test_nothing_is_skipped_before_the_model(model):
-    for text, place, kind in EVADING:
-        assert [k for _, _, k in personal.entities(model, text, place)] == [kind], text
-    for text in ("one two three go", "eins zwei drei", "ONE TWO THREE", "第一二回"):
-        assert personal.entities(model, text) == [], text
-
-
-def test_japanese_names_outside_the_lexicon(model):
-    for name in ("田中 太郎", "山田花子", "近衛 龍之介", "松本 恵子"):
-        assert personal.redact(model, name, "name") == "[PERSON_NAME]", name
-    for text in ("I am {} by the way", "昨日、{}に会った", "本名は{}です"):
-        assert personal.redact(model, text.format("田中太郎")) == text.format("[PERSON_NAME]")
-    for text, place in (("からくり時計", "name"), ("深夜の料理人", "name"), ("天気予報", "name"), ("生放送中", "content"), ("大阪城公園", "content"), ("草生えた", "content")):
-        assert personal.entities(model, text, place) == [], text
-
-
-def test_numbers_after_many_others(model):
-    """One match of many digit groups: what stands at its end is looked at like what stands at its start."""
-    for n in (25, 60, 400):
-        for other in (", ".join(str(i % 90 + 1) for i in range(n)), " ".join(f"{i % 9}-{i % 7}" for i in range(n))):
-            assert personal.redact(model, f"{other}, 090-1234-5678") == f"{other}, [PHONE]", (n, other)
-
-
-def test_redaction_keeps_the_rest(spark, model):
-    rows = [(1, "tel:090-0845-6611 草", "Corvin Hespery", "c"), (2, None, None, "c"), (3, "", "yuzu659", "c"), (3, "", "yuzu659", "c"), (4, "x" * 20000 + " call me 090-0845-6611", None, "c")]
-    df = spark.createDataFrame(rows, "delivery_id long, content string, name string, field string")
-    got = personal.find_personal(df, "delivery_id", ["content", "name"], model, redacted=True).collect()
-    by = {(r["delivery_id"], r["field"]): r for r in got}
-    assert by[1, "content"]["redacted"] == "tel:[PHONE] 草" and by[1, "name"]["redacted"] == "[PERSON_NAME]"
-    assert by[3, "name"]["redacted"] == "yuzu659" and (2, "content") not in by
-    assert by[4, "content"]["redacted"].endswith(" call me [PHONE]") and by[4, "content"]["starts"] == [20009]
-    assert sum(r["delivery_id"] == 3 for r in got) == 4
-    assert personal.find_personal(df.limit(0), "delivery_id", ["content", "name"], model).count() == 0
-
-
 # -- abuse
 
 

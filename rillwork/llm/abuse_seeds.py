@@ -6,7 +6,7 @@ import random
 
 _EN_NOUN = "idiot moron loser scumbag dumbass asshole bitch bastard pig clown trash scum coward retard slut whore cunt dickhead prick wanker".split()
 _EN_ADJ = "stupid worthless pathetic ugly disgusting brainless useless fat miserable".split()
-_JA_NOUN = "クズ ゴミ カス バカ アホ ブス デブ キチガイ 能無し クソ野郎 無能 豚野郎 ハゲ".split()
+RUDE_JA = "クズ ゴミ カス バカ アホ ブス デブ キチガイ 能無し クソ野郎 無能 豚野郎 ハゲ".split()
 _DE_NOUN = "Idiot Arschloch Hurensohn Wichser Versager Drecksau Missgeburt".split()
 _ES_NOUN = "basura imbécil idiota gilipollas cabrón puta inútil".split()
 _THING = "map boss kettle soup camera stream dog game window song".split()
@@ -46,12 +46,12 @@ def seed_rows(times: int = 2, seed: int = 17) -> tuple[list[str], list[str]]:
         for f in frames:
             for _ in range(times if "{" in f else 1):
                 t = f
-                for mark, words in (("{n}", _EN_NOUN), ("{a}", _EN_ADJ), ("{jn}", _JA_NOUN), ("{d}", _DE_NOUN), ("{e}", _ES_NOUN), ("{t}", _THING), ("{jt}", _JA_THING), ("{g}", _GROUP), ("{jg}", _JA_GROUP)):
+                for mark, words in (("{n}", _EN_NOUN), ("{a}", _EN_ADJ), ("{jn}", RUDE_JA), ("{d}", _DE_NOUN), ("{e}", _ES_NOUN), ("{t}", _THING), ("{jt}", _JA_THING), ("{g}", _GROUP), ("{jg}", _JA_GROUP)):
                     while mark in t:
                         t = t.replace(mark, r.choice(words), 1)
                 texts.append(t)
                 labels.append(label)
-    for words, frames in ((_EN_NOUN, ("you {}", "ugly {}")), (_JA_NOUN, ("この{}", "{}だな")), (_DE_NOUN, ("du {}",)), (_ES_NOUN, ("eres {}",))):
+    for words, frames in ((_EN_NOUN, ("you {}", "ugly {}")), (RUDE_JA, ("この{}", "{}だな")), (_DE_NOUN, ("du {}",)), (_ES_NOUN, ("eres {}",))):
         for i, w in enumerate(words):
             texts.append(frames[i % len(frames)].format(w))
             labels.append("abusive")

@@ -7,6 +7,7 @@ and kinds together. Weights and transitions are fitted here by the gradient of t
 
 from __future__ import annotations
 
+import base64
 import bisect
 import re
 import zlib
@@ -23,6 +24,9 @@ from .lookalikes import _TO_LATIN, _fold_char
 from .personal_samples import WORDS, Sentence, invented_sentences
 from .text_arrays import mix
 
+#: A public vocabulary of a tokenizer, a parameter: which words it has in lower case and which only with a capital tells common words from names.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 #: An entity has at most so many tokens: runs of digits, Latin words, single characters of other scripts, single signs.
 MOST_TOKENS = 48
@@ -42,6 +46,16 @@ class Lexicon:
     surname: frozenset[str] = frozenset()
 
 
+def common_words(path: str | None) -> tuple[frozenset[str], frozenset[str]]:
+    """(words in lower case, words with a capital) among the entries of a vocabulary file that begin a word; none without a file."""
+    if path is None:
+        return frozenset(), frozenset()
+    with open(path, "rb") as f:
+        entries = [base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in f]
+    words = [e[1:] for e in entries if e[:1] == " " and len(e) > 3 and e[1:].isalpha()]
+    return frozenset(w for w in words if w.islower()), frozenset(w.lower() for w in words if w.istitle())
+
+
 # -- folding: one character out for each kept character in, with its place
 
 
@@ -72,7 +86,8 @@ _OPEN, _CLOSE = frozenset("+(〒#"), frozenset(")")
 class _Types:
     """Properties of distinct tokens, each found once: word, shapes, digits, n-grams."""
 
-    def __init__(self) -> None:
+    def __init__(self, common: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())) -> None:
+        self.common = common
         self.clear()
 
     def clear(self) -> None:
@@ -89,12 +104,11 @@ class _Types:
             self.grams.append(grams)
         return i
 
-    @staticmethod
-    def _look(t: str) -> tuple[tuple, np.ndarray]:
-        """((word, fine shape, coarse shape, joins runs, digits, first digit, first three, may start, may end, hard), hashes of n-grams)."""
+    def _look(self, t: str) -> tuple[tuple, np.ndarray]:
+        """((word, fine shape, coarse shape, joins runs, digits, first digit, first three, may start, may end, hard, common), hashes of n-grams)."""
         c = t[0]
         code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
-        one = three = digits = 0
+        one = three = digits = common = 0
         joins, start, end, grams = False, True, True, []
         if c in "0123456789":
             digits, word = len(t), f"\1{min(len(t), 17)}"
@@ -108,6 +122,7 @@ class _Types:
             coarse = kind
             if low in _SPELLED:
                 fine, coarse, joins, digits = "w" + kind, "w", True, 1
+            common = 1 if low in self.common[0] else 2 if low in self.common[1] else 3 if len(low) > 2 else 0
             padded = f"^{low}$"
             grams = [padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
         elif c in _KANJI_DIGITS:
@@ -123,7 +138,7 @@ class _Types:
             word, fine, coarse = t, "p" + t, "p" + t
             if not c.isalnum():
                 start, end = c in _OPEN, c in _CLOSE
-        row = (code(word), code(fine), code(coarse), joins, digits, one, three, start, end, c in _HARD)
+        row = (code(word), code(fine), code(coarse), joins, digits, one, three, start, end, c in _HARD, common)
         return row, np.array([code("\3" + g) for g in grams], np.uint64)
 
 
@@ -198,7 +213,7 @@ def lattice(texts: list[str], places: list[str], types: _Types, lexicon: Lexicon
     start, end, kind = (np.array(x, np.int64) for x in zip(*spans))
     T = len(start)
     props = np.array([types.rows[i] for i in kind.tolist()], np.uint64)
-    word, fine, coarse, joins, digits, one, three, may_start, may_end, hard = props.T
+    word, fine, coarse, joins, digits, one, three, may_start, may_end, hard, common = props.T
     hard, may_start, may_end, joins = hard > 0, may_start > 0, may_end > 0, joins > 0
     bound = word == word[0]  # the separators between texts
     text = np.cumsum(bound) - 1
@@ -219,19 +234,19 @@ def lattice(texts: list[str], places: list[str], types: _Types, lexicon: Lexicon
     f1, g1 = shifted(fine, 1), shifted(fine, -1)
     gap_after = np.concatenate([gap[1:], [0]]).astype(np.uint64)
     left = np.stack([
-        _h(1, word), _h(2, fine, place), _h(3, w1), _h(4, w2), _h(5, w3), _h(6, w1, w2), _h(7, w1, w2, w3), _h(8, w1, w2, w3, w4), _h(9, f1, fine, gap), _h(10, w1, fine), _h(11, one, fine), _h(12, three), _h(13, shifted(fine, 2), f1, coarse),
+        _h(1, word), _h(2, fine, place), _h(3, w1), _h(4, w2), _h(5, w3), _h(6, w1, w2), _h(7, w1, w2, w3), _h(8, w1, w2, w3, w4), _h(9, f1, fine, gap), _h(10, w1, fine), _h(11, one, fine), _h(12, three), _h(13, shifted(fine, 2), f1, coarse), _h(14, shifted(common, 1), f1, common, fine),
     ], 1)
     right = np.stack([
-        _h(21, word), _h(22, fine, place), _h(23, n1), _h(24, n2), _h(25, n1, n2), _h(26, n1, n2, n3), _h(27, g1, fine, gap_after), _h(28, n1, fine), _h(29, shifted(fine, -2), g1, coarse), _h(30, shifted(word, 1), word),
+        _h(21, word), _h(22, fine, place), _h(23, n1), _h(24, n2), _h(25, n1, n2), _h(26, n1, n2, n3), _h(27, g1, fine, gap_after), _h(28, n1, fine), _h(29, shifted(fine, -2), g1, coarse), _h(30, shifted(word, 1), word), _h(31, shifted(common, -1), g1, common, fine),
     ], 1)
-    inside = np.stack([_h(41, word), _h(42, fine), _h(43, shifted(fine, 1), fine, gap)], 1)
+    inside = np.stack([_h(41, word), _h(42, fine), _h(43, shifted(fine, 1), fine, gap), _h(48, common, fine)], 1)
     # the words of the 8 tokens before, in no order, as sums of a row each: single ones and pairs
     nearby = [(_h(44, shifted(word, k)), _h(45, shifted(word, k + 1), shifted(word, k))) for k in range(1, 9)]
     left = np.concatenate([left, *[np.stack(x, 1) for x in nearby]], 1)
     ahead = [_h(46, shifted(word, -k)) for k in range(1, 4)]
     right = np.concatenate([right, np.stack(ahead, 1)], 1)
 
-    whole = np.zeros((0, 13), np.int64)
+    whole = np.zeros((0, 14), np.int64)
     if len(a):
         p, q = _powers(T)
         spaced = mix(fine ^ (gap * np.uint64(0xABCDEF123)))
@@ -271,10 +286,11 @@ def lattice(texts: list[str], places: list[str], types: _Types, lexicon: Lexicon
                     i = int(order[i]) if i < len(order) and key[order[i]] == x * (len(joined) + 1) + y else None
                 if i is not None:
                     seen[i] |= np.uint64(1 << _PATTERN_IDS[name])
+        usual, rare = (np.concatenate([[0], np.cumsum(common == c)]) for c in (1, 3))
         sep = np.concatenate([[0], np.cumsum(mix(np.where(may_start, np.uint64(0), word)) & np.uint64(0xFFFFFFFF))]).astype(np.uint64)
         whole = np.stack([
             _h(61, exact), _h(62, rough), _h(63, nd, ng, has), _h(64, nd, lead1, has), _h(65, nd, lead3), _h(66, rough, w1[a]), _h(67, size, coarse[a]), _h(68, seen), _h(69, cut, coarse[a], coarse[b - 1]), _h(70, alone, place[a], rough),
-            _h(71, f1[a], g1[b - 1], coarse[a], coarse[b - 1]), _h(72, exact, lead1), _h(73, sep[b] - sep[a], nd),
+            _h(71, f1[a], g1[b - 1], coarse[a], coarse[b - 1]), _h(72, exact, lead1), _h(73, sep[b] - sep[a], nd), _h(74, np.minimum(usual[b] - usual[a], 3), np.minimum(rare[b] - rare[a], 3), rough),
         ], 1)
     return Lattice(start, end, text, kind, left, right, inside, a, b, whole)
 
@@ -303,15 +319,17 @@ class Model:
     weights: np.ndarray
     turns: np.ndarray
     lexicon: Lexicon = Lexicon()
-    _types: _Types = field(default_factory=_Types, repr=False)
-    _grams: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+    common: tuple[frozenset[str], frozenset[str]] = field(default=(frozenset(), frozenset()), repr=False)
+
+    def __post_init__(self) -> None:
+        self._types, self._grams = _Types(self.common), {}
 
     def __getstate__(self):
-        return self.weights, self.turns, self.lexicon
+        return self.weights, self.turns, self.lexicon, self.common
 
     def __setstate__(self, s) -> None:
-        self.weights, self.turns, self.lexicon = s
-        self._types, self._grams = _Types(), {}
+        self.weights, self.turns, self.lexicon, self.common = s
+        self.__post_init__()
 
     def _gram(self, i: int) -> np.ndarray:
         g = self._grams.get(i)
@@ -432,10 +450,10 @@ def forward_backward(scores: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray,
     return z, prob, np.concatenate([plain[:, None], begun], 1)
 
 
-def fit(sentences: list[Sentence], epochs: int = 4, rate: float = 0.08, decay: float = 2e-6, batch: int = 160, seed: int = 3, lexicon: Lexicon = Lexicon()) -> Model:
+def fit(sentences: list[Sentence], epochs: int = 5, rate: float = 0.08, decay: float = 2e-6, batch: int = 160, seed: int = 3, lexicon: Lexicon = Lexicon(), vocabulary: str | None = VOCABULARY) -> Model:
     """Maximise the log-likelihood of (text, place, entities) by Adam, batches of texts of like length; entities that are no segments are an error."""
     K = len(KINDS)
-    model = Model(np.zeros((ROWS, K), np.float32), np.zeros((K + 1, K + 1)), lexicon)
+    model = Model(np.zeros((ROWS, K), np.float32), np.zeros((K + 1, K + 1)), lexicon, common_words(vocabulary))
     rng = np.random.default_rng(seed)
     folded = []
     for text, place, gold in sentences:
@@ -480,7 +498,7 @@ def fit(sentences: list[Sentence], epochs: int = 4, rate: float = 0.08, decay: f
                 mean_t += t
                 kept += 1
     model.weights, model.turns = mean_w / np.float32(kept), mean_t / kept
-    model._types, model._grams = _Types(), {}
+    model.__post_init__()
     return model
 
 

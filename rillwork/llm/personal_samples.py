@@ -9,6 +9,8 @@ from __future__ import annotations
 import random
 import re
 
+from .abuse_seeds import RUDE_JA
+
 Sentence = tuple[str, str, list[tuple[int, int, str]]]
 
 GIVEN = "Emma Liam Olivia Noah Sophia James Mia Lucas Amelia Henry Grace Oscar Ruth Walter Clara Hugo Ingrid Felix Greta Jonas Anke Dieter Sabine Lena Pablo Carmen Diego Lucía Rosa Javier Inés Chloé Pierre Giulia Marco Priya Arjun Fatima Omar Ivan Nadia Keiko Yuki".split()
@@ -67,7 +69,7 @@ class Maker:
 
     def nick(self) -> str:
         return self.pick([
-            lambda: f"{self.pick(_TITLE)} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_TITLE)} {self.syllables(2)}", lambda: f"{self.pick(_NOUN)}{self.pick(['', '_', '-', '.'])}{self.d(self.pick([1, 2, 3]))}",
+            lambda: f"{self.pick(_TITLE)} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_TITLE)} {self.syllables(2)}", lambda: f"{self.pick(_NOUN)}{self.pick(['', '_', '-', '.'])}{self.d(self.pick([1, 2, 3]))}",
             lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_ADJ).title()} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_TITLE)} {self.pick(_NOUN).title()}", lambda: f"{self.pick(_NOUN).title()} {self.pick(_NOUN).title()}",
             lambda: f"{self.pick(_KANJI_WORD)}{self.pick(['中', '中', '者', '好き', '係', '大王', '部長', 'の人'])}", lambda: f"{self.pick(['居眠り', '散歩', 'お昼寝', '早起き', '食べ歩き', '立ち読み', '夏休み', '水浴び', '日向ぼっこ', '里帰り'])}{self.pick(['中', '中', '好き', '同好会', ''])}", lambda: self.pick(_KANJI_WORD),
             lambda: self.pick(_JA_NICK), lambda: self.pick(_JA_NICK), lambda: f"{self.pick(_NOUN)}{self.pick(['_', '.', ''])}{self.pick(_NOUN)}", lambda: f"{self.pick(_NOUN).title()}{self.pick(_NOUN).title()}", lambda: f"The {self.pick(_ADJ).title()} {self.pick(_NOUN).title()}",
@@ -119,7 +121,7 @@ class Maker:
             (self.pick(["passport", "passport", "Passport"]) + gap, self.pick([f"{L(2)}{d(7)}", f"{L(2)}{d(7)}"])),
             (self.pick(["passport", "Passport", "my passport", "Reisepass", "pasaporte"]) + gap, self.pick([f"{L(2)}{d(7)}", f"{L(1)}{d(8)}", d(9)])), (self.pick(["パスポート", "旅券"]) + ja, self.pick([f"{L(2)}{d(7)}", f"{L(2)} {d(7)}"])),
             (self.pick(["運転免許", "運転免許証", "免許証", "免許"]) + ja, four), (self.pick(["driver's license", "driving licence", "drivers licence", "license", "licence", "DL"]) + gap, self.pick([four, f"{L(1)}{d(7)}", f"{L(5)}{d(6)}{L(2)}{d(1)}{L(2)}"])),
-            (self.pick(["健康保険", "保険証", "国民健康保険", "被保険者", "保険者", "年金", "基礎年金"]) + ja, self.pick([f"{d(4)}-{d(6)}", f"{d(4)}-{d(7)}", d(8), f"{d(8)}-{d(2)}", f"{d(4)}-{d(5)}"])), (self.pick(["health insurance", "insurance", "medicare", "health card"]) + gap, self.pick([f"{d(4)}-{d(6)}", d(10), f"{d(3)}-{d(3)}-{d(3)}", f"{L(1)}{d(9)}", f"{d(4)} {d(6)}"])),
+            (self.pick(["健康保険", "保険証", "国民健康保険", "被保険者", "保険者", "保険証の記号", "記号", "年金", "基礎年金"]) + ja, self.pick([f"{d(4)}-{d(6)}", f"{d(4)}-{d(7)}", d(8), f"{d(8)}-{d(2)}", f"{d(4)}-{d(5)}"])), (self.pick(["health insurance", "insurance", "medicare", "health card"]) + gap, self.pick([f"{d(4)}-{d(6)}", d(10), f"{d(3)}-{d(3)}-{d(3)}", f"{L(1)}{d(9)}", f"{d(4)} {d(6)}"])),
             (self.pick(["Personalausweis", "Ausweis", "Ausweisnummer", "Führerschein", "meine Ausweisnummer"]) + de, self.pick([f"{L(1)}{d(8)}", f"{L(1)}{d(2)}{L(2)}{d(4)}", f"{L(4)}{d(5)}"])), (self.pick(["Steuer-ID", "Sozialversicherungsnummer", "Krankenkasse"]) + de, self.pick([d(11), f"{d(2)} {d(6)} {L(1)} {d(3)}", f"{L(1)}{d(9)}", f"{d(2)} {d(3)} {d(3)} {d(3)}"])),
             (self.pick(["DNI", "mi DNI", "dni"]) + self.pick([" ", ": ", " es "]), self.pick([f"{d(8)}{L(1)}", f"{d(8)}-{L(1)}", f"{d(2)}.{d(3)}.{d(3)}-{L(1)}"])), (self.pick(["NIE", "mi NIE"]) + self.pick([" ", ": ", " es "]), f"{self.pick('XYZ')}{d(7)}{L(1)}"), (self.pick(["seguridad social", "carnet de conducir"]) + self.pick([" ", ": ", " es "]), self.pick([f"{d(2)} {d(8)} {d(2)}", f"{d(8)}{L(1)}", d(12)])),
             (self.pick(["在留カード", "住民票コード", "身分証"]) + ja, self.pick([f"{L(2)}{d(8)}{L(2)}", d(11), four])), (self.pick(["my ID card", "identity card", "national identity"]) + gap, self.pick([f"{L(1)}{d(8)}", d(9), f"{L(2)}{d(6)}"])),
@@ -127,7 +129,8 @@ class Maker:
 
     def address(self) -> str:
         pick, d, r = self.pick, self.d, self.r
-        han = lambda a, b: "".join(pick(_FAMILY_CHARS + "雀鷺藻鈴掛籟染府内橋港町浦津" if i else _FAMILY_CHARS) for i in range(r.randint(a, b)))
+        any_han = [c for w in _KANJI_WORD for c in w if "一" <= c <= "鿿"]
+        han = lambda a, b: "".join(pick(any_han if self.chance(0.35) else _FAMILY_CHARS) for _ in range(r.randint(a, b)))
         n = lambda k: str(r.randint(1, k))
         if self.chance(0.45):
             pref = pick(["", "", "東京都", "大阪府", "北海道", "京都府", "神奈川県", "愛知県", han(2, 2) + "県", han(2, 3) + "県"])
@@ -168,10 +171,10 @@ class Maker:
         d, pick, w = self.d, self.pick, lambda: self.pick(_NOUN)
         n = str(self.r.randint(1, 400))
         return pick([
-            f"{pick(_JA_WORD)}{pick(['番号', '番号', 'ナンバー'])}{pick([' ', '', 'は', ':'])}{d(4)} {d(4)} {d(4)}{pick(['', 'だった', ' ' + pick(_JA_WORD)])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_JA_WORD)}{pick(['番号', 'コード', 'ナンバー', 'の数字'])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), d(8), f'{d(4)}-{d(6)}'])}", f"{w()} {pick(['number', 'code', 'no.', 'id', ''])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(3)}-{d(2)}-{d(4)}', d(11), d(9), f'{d(4)}-{d(6)}', f'{self.up(2)}{d(7)}', f'{d(4)}-{d(3)}-{d(3)}', f'{d(3)} {d(3)} {d(3)}'])}", f"{pick(['version', 'clause', 'the book says part', 'ip', 'figure'])} {n}.{d(3)}.{d(3)}.{d(3)}",
-            f"invoice {d(4)}-{d(3)}-{d(3)}", f"ticket #{self.up(1)}-{d(7)}", f"serial {d(11)}", f"tracking {d(12)}", f"build {d(2)}.{d(1)}.{d(4)}", f"v{d(1)}.{d(2)}.{d(3)}", f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"coupon {self.up(2)}{d(7)}", f"model {self.up(3)}-{d(4)}", f"item {d(4)}-{d(4)}-{d(4)} sold out", f"{pick([w(), 'señor', 'café', 'naïve', 'über'])} {pick([w(), 'of ' + w(), ''])} {d(pick([5, 6, 7, 7, 8]))}{pick(['', ' please', ' now', ' again', ' ください'])}", f"{pick(_JA_WORD)} {d(7)}{pick(['', ' です', ' 枚', ' now', ' は ' + w()])}", f"{d(4)}-{pick([d(3), d(2), d(1)])}-{pick([d(3), d(2), d(1)])} {pick(['に更新', 'の動画', 'から再開', 'より前', 'に見た', 'was great', 'の話'])}", f"{w()} #{self.up(1)}-{d(7)} {pick(['is ready', 'sent', 'lost', ''])}", f"error code {d(4)}-{d(4)}", f"map seed {d(10)}", f"code {d(3)}-{d(3)}-{d(3)} for the quiz",
-            f"gate {d(4)}-{d(3)}", f"won {n}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{n} {w()}s", f"{d(7)} {w()}s sold", f"{w()} {n} {d(2)} {d(3)}", f"bitrate {d(7)}", f"{d(4)}/{d(2)}/{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"chapter {n}.{d(2)}.{d(3)}", f"ip {n}.{d(2)}.{d(3)}.{d(2)}", f"rule {n}.{d(3)}.{d(3)}.{d(2)}", f"{d(8)} hits", f"{d(6)} viewers", f"lap {d(3)}.{d(3)}", f"{n} km/h", f"high score {d(9)}", f"product {self.up(2)}{d(6)}",
-            f"整理券 {d(4)} {d(4)}", f"注文 {d(4)}-{d(6)}", f"当たり番号 {d(4)} {d(4)} {d(4)}", f"シリアル {d(12)}", f"会員特典コード {d(4)}-{d(4)}-{d(4)}", f"型番 {self.up(2)}{d(7)}", f"{n}点", f"{n}年ぶり", f"{d(8)}円", f"経験値{d(8)}", f"再生数 {d(7)}", f"{n}話目", f"レベル{n}", f"コイン {d(7)} 枚", f"{d(1)}-{d(2)}-{d(2)} で勝ち", f"{d(4)}-{n}-{n} に投稿", f"第{n}回", f"ステージ{d(1)}-{d(1)}", f"{n}丁目の夕日", f"バージョン{d(1)}.{d(2)}.{d(3)}-{d(4)}", f"時速{n}キロ", f"{d(3)}.{d(2)}.{d(3)}.{d(1)} に更新", f"座標 {d(3)}:{d(3)}:{d(3)}", f"ラップ {d(3)}.{d(3)} で{n}位",
+            f"{pick(_JA_WORD)}{pick(['番号', '番号', 'ナンバー'])}{pick([' ', '', 'は', ':'])}{d(4)} {d(4)} {d(4)}{pick(['', 'だった', ' ' + pick(_JA_WORD)])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_JA_WORD)}{pick(['番号', 'コード', 'ナンバー', 'の数字'])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), d(8), f'{d(4)}-{d(6)}'])}", f"{w()} {pick(['number', 'code', 'no.', 'id', ''])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(3)}-{d(2)}-{d(4)}', d(11), d(9), f'{d(4)}-{d(6)}', f'{d(4)}-{d(3)}-{d(3)}', f'{d(3)} {d(3)} {d(3)}'])}", f"{pick(['version', 'clause', 'the book says part', 'ip', 'figure'])} {n}.{d(3)}.{d(3)}.{d(3)}",
+            f"invoice {d(4)}-{d(3)}-{d(3)}", f"ticket #{self.up(1)}-{d(7)}", f"serial {d(11)}", f"tracking {d(12)}", f"build {d(2)}.{d(1)}.{d(4)}", f"v{d(1)}.{d(2)}.{d(3)}", f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"coupon {self.up(2)}-{d(7)}", f"model {self.up(3)}-{d(4)}", f"item {d(4)}-{d(4)}-{d(4)} sold out", f"{pick([w(), 'señor', 'café', 'naïve', 'über'])} {pick([w(), 'of ' + w(), ''])} {d(pick([5, 6, 7, 7, 8]))}{pick(['', ' please', ' now', ' again', ' ください'])}", f"{pick(_JA_WORD + _KANJI_WORD)} {d(pick([8, 8, 9, 10, 6]))}{pick(['', ' です', ' は ' + w(), 'です', ' ' + w()])}", f"{n}丁目{pick(_JA_WORD)}{pick(['', '最高', 'まで', 'が好き'])}", f"{pick(_KANJI_WORD)}{n}丁目", f"{w()} {pick(_JA_WORD)} {d(pick([7, 8]))} {w()}", f"{pick(_JA_WORD)} {d(7)}{pick(['', ' です', ' 枚', ' now', ' は ' + w()])}", f"{d(4)}-{pick([d(3), d(2), d(1)])}-{pick([d(3), d(2), d(1)])} {pick(['に更新', 'の動画', 'から再開', 'より前', 'に見た', 'was great', 'の話'])}", f"{w()} #{self.up(1)}-{d(7)} {pick(['is ready', 'sent', 'lost', ''])}", f"error code {d(4)}-{d(4)}", f"map seed {d(10)}", f"code {d(3)}-{d(3)}-{d(3)} for the quiz",
+            f"gate {d(4)}-{d(3)}", f"won {n}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{n} {w()}s", f"{d(7)} {w()}s sold", f"{w()} {n} {d(2)} {d(3)}", f"bitrate {d(7)}", f"{d(4)}/{d(2)}/{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"chapter {n}.{d(2)}.{d(3)}", f"ip {n}.{d(2)}.{d(3)}.{d(2)}", f"rule {n}.{d(3)}.{d(3)}.{d(2)}", f"{d(8)} hits", f"{d(6)} viewers", f"lap {d(3)}.{d(3)}", f"{n} km/h", f"high score {d(9)}", f"product {self.up(3)}{d(5)}", f"{d(4)}-{d(3)}-{d(3)}", f"{d(4)}-{d(3)}-{d(3)} {pick(_JA_WORD)}", f"{pick(_JA_WORD)}は{d(4)}-{d(3)}-{d(3)}",
+            f"整理券 {d(4)} {d(4)}", f"注文 {d(4)}-{d(6)}", f"当たり番号 {d(4)} {d(4)} {d(4)}", f"シリアル {d(12)}", f"会員特典コード {d(4)}-{d(4)}-{d(4)}", f"型番 {self.up(3)}{d(6)}", f"{n}点", f"{n}年ぶり", f"{d(8)}円", f"経験値{d(8)}", f"再生数 {d(7)}", f"{n}話目", f"レベル{n}", f"コイン {d(7)} 枚", f"{d(1)}-{d(2)}-{d(2)} で勝ち", f"{d(4)}-{n}-{n} に投稿", f"第{n}回", f"ステージ{d(1)}-{d(1)}", f"{n}丁目の夕日", f"バージョン{d(1)}.{d(2)}.{d(3)}-{d(4)}", f"時速{n}キロ", f"{d(3)}.{d(2)}.{d(3)}.{d(1)} に更新", f"座標 {d(3)}:{d(3)}:{d(3)}", f"ラップ {d(3)}.{d(3)} で{n}位",
             f"Bestellung {d(4)}-{d(6)}", f"Seite {n}", f"Folge {n}", f"pedido {d(4)}-{d(6)}", f"página {n}", f"capítulo {n}", "8" * self.r.randint(3, 12), "7" * self.r.randint(3, 9), f"{d(4)} {d(4)} {d(4)} lost again", f"draw {d(4)} {d(4)} {d(4)}", f"{d(11)} is a funny number", f"order {d(4)}-{d(3)}-{d(4)} arrived", f"room code {d(3)}-{d(4)}", f"team {d(1)}",
         ])
 
@@ -182,6 +185,7 @@ class Maker:
             f"I love this {w()}", f"that {w()} is so {pick(_ADJ)}", f"what a {pick(_ADJ)} {w()}", "good evening", "hi all", "haha", "nice one", f"where did the {w()} go", f"can you play the {w()} song", f"@{w()}{self.d(2)} look here", f"@{w()}_{w()} same", f"the {w()} has {n} wheels", f"{n} more minutes", f"I walked {n} steps", f"page {n} again", f"{self.place()} has {n} inhabitants", f"{self.nick()} again", f"{self.nick()} for president", f"greetings from {self.place()}", f"{self.place()} is nice in spring", f"look at pages/{w()}", f"listening to {self.nick()}", "can you call later", "my phone died", "write me later", "mail server is down", f"I am {pick(['late', 'hungry', 'new here', 'so tired', 'at work'])}", f"my {w()} is broken", "who are you", "what is your name", "is that your real name", "I forgot my passport", "insurance is expensive", "renewing my licence tomorrow", "we meet at noon. at least I do", f"Good {w()} Day", f"Happy {w().title()} Day", "The End", "Game Over", "New York Style Pizza", f"{pick(_ADJ).title()} {w().title()} is a good game", f"I met {pick(GIVEN)} there", f"{pick(GIVEN)} says hi", f"thanks {pick(GIVEN)}", f"the {self.place()} {self.place()} crowd", f"those {self.place()} folks are loud", f"episode {n} with {self.nick()}, volume {n}",
             pick("_-.* ").join(w()), f"{pick(_ADJ)} {pick('_-.').join(w())} with a {pick(_ADJ)} {w()}", f"at the {w()} {n} at {w()} cafe", f"lol @{w()}_{w()[:2]} {pick(_ADJ)}", f"you {pick('_-.').join(w())}", f"{self.nick()} and the {pick(_ADJ)} {w()}", f"{self.nick()} {pick(['is back', 'wins', 'at it again', 'returns, part'])} {n}", f"{pick(_KANJI_WORD)}{pick(_KANJI_WORD)}", f"{pick(_KANJI_WORD)}{pick(['と思う', 'だね', 'しろ', 'して', 'な人', 'は', 'の', 'です', ''])}", f"今の{pick(_KANJI_WORD)}", f"{pick(_KANJI_WORD)}{pick('者作的性中後前用感力員家店館駅会部版系風点度人物機')}{pick(['', '', 'か', 'だ', 'から', 'と', 'が好き', 'より'])}", f"{j()}{pick(['', ' '])}{pick(_KANJI_WORD)}{pick(['か', 'と', 'を', 'に', 'から出る', 'で負け'])}", f"{pick(_KANJI_WORD)}の{pick(_KANJI_WORD)}", f"次は{pick(_KANJI_WORD)}", f"さっさと{pick(_KANJI_WORD)}しろ", f"{pick(_KANJI_WORD)} {pick(_KANJI_WORD)}", f"この{j()}は{pick(_KANJI_WORD)}だと思う", f"{pick(_KANJI_WORD)}な{j()}", f"{w()} {pick(_KANJI_WORD)} {w()}",
             f"{j()}{pick(['いいね', '最高', 'すごい', 'だった', 'の話', 'が好き', 'ですか', 'まだ?', 'きた'])}", f"{j()}か{j()}か", f"{j()}は{n}人目", f"明日の{j()}", f"{pick(_JA_NICK)}さんこんにちは", f"{pick(HAN_FAMILY)}さんの{j()}", f"{pick(HAN_FAMILY)}駅の近く", f"バスで{n}分", f"{pick(_FAMILY_CHARS)}{pick(_FAMILY_CHARS)}公園に行った", "電話番号は教えません", "家の場所は言わないよ", "名前は秘密", "本名は内緒です", "免許とりたい", "保険証忘れた", "パスポート切れた", "先生こんにちは", "メール届かない", "初めまして", "お疲れさまです", "草", "ｗｗｗ", "なるほど", "うまい", f"{j()}{j()}", f"{pick(_JA_NICK)}", f"次の{j()}は{n}時から", f"@{w()}{self.d(2)} {j()}いいね",
+            f"この{pick(RUDE_JA)}", f"{pick(['うるさい', 'お前は', 'どけ', 'また', 'さすが'])}{pick(RUDE_JA)}{pick(['', 'め', 'だな', 'ども', 'たちと同じ'])}", f"{pick(_KANJI_WORD)}の{pick(['やつら', '連中', 'みんな', '人たち'])}{pick(['は', 'と', 'が', 'の'])}{pick(_KANJI_WORD)}", f"all {self.place()}s are {w()}s and should {pick(['rest', 'sleep', 'play'])}",
             f"das {w()} ist gut", f"der {w().title()} und die {w().title()}", f"du bist {pick(['LUSTIG', 'toll', 'Klasse', 'ein ' + w().title()])}", f"mein {w().title()} ist {pick(['kaputt', 'ROT', 'Neu'])}", f"mach mal das {w().title()} aus du {w().upper()}", f"eres un {w().upper()}", f"{pick(['Trottel', 'Ruhe', 'Schluss', 'Mensch', 'Hund'])}, {pick(['geh heim', 'sei still', 'komm jetzt', 'lass das'])}", f"{pick(['Halt', 'Mach', 'Nimm'])} den {w().title()} {pick(['', 'du ' + w().upper(), 'du kleiner ' + w().title()])}", "guten Abend", "Wo ist der Hund", "Die Katze schläft", "Das Spiel ist Schön", f"ich habe {n} Punkte", "qué bonito", "buenas noches", f"tengo {n} puntos", "me gusta la canción", "La Casa Roja",
             f"{WORDS['en'][int(n) % 10]} {WORDS['en'][1 + int(n) % 9]} {WORDS['en'][int(n) % 7]} go", f"{WORDS['de'][1]}, {WORDS['de'][2]}, {WORDS['de'][3]}", f"{WORDS['es'][1]} {WORDS['es'][2]} {WORDS['es'][3]} ya", "one two", "第一二回", "一二三四五", "五六人", "二三日", "一石二鳥",
         ])
@@ -191,7 +195,7 @@ class Maker:
     def part(self) -> tuple[str, str | None, str, str]:
         """(before, kind, value, after)"""
         pick = self.pick
-        kind = pick(["email", "phone", "id_number", "id_number", "id_number", "address", "address", "person_name", "person_name", "none", "none", "none", "none"])
+        kind = pick(["email", "phone", "id_number", "id_number", "id_number", "id_number", "id_number", "address", "address", "person_name", "person_name", "none", "none", "none", "none"])
         bare = self.chance(0.25)
         if kind == "email":
             before = pick(["mail me: ", "my email is ", "contact ", "email: ", "e-mail ", "メールは", "メール:", "アドレスは", "連絡先 ", "send to ", "Mail an ", "mi correo es ", "reply to ", "find me under ", "write to me at ", "you can reach me at ", "it is me at ", "the address at work is ", "メルアド ", "アドレス ", "宛先は", ""])
@@ -216,12 +220,16 @@ class Maker:
         if self.chance(0.05):
             return self.identity()[0].strip() + pick(["", "?", " lost", " なくした", " please", "って何"]), None, "", ""
         said = self.number_none() if self.chance(0.4) else self.chatter()
-        return (said.upper() if self.chance(0.07) else said), None, "", ""
+        if self.chance(0.12):  # one word shouted
+            words = said.split(" ")
+            i = self.r.randrange(len(words))
+            return " ".join([*words[:i], words[i].upper(), *words[i + 1 :]]), None, "", ""
+        return (said.upper() if self.chance(0.05) else said), None, "", ""
 
     def sentence(self) -> Sentence:
         pick = self.pick
         if self.chance(0.28):
-            kind = pick(["person_name"] * 5 + ["email", "phone"] + [None] * 5)
+            kind = pick(["person_name"] * 5 + ["email", "phone"] + [None] * 7)
             value = {"person_name": self.person, "email": self.email, "phone": self.phone, None: self.nick}[kind]()
             return value, "name", [(0, len(value), kind)] if kind else []
         text, gold = "", []
@@ -255,7 +263,7 @@ class Maker:
         return text + value, "content", [(len(text), len(text) + len(value), "phone")]
 
 
-def invented_sentences(n: int = 10000, seed: int = 11) -> list[Sentence]:
+def invented_sentences(n: int = 13000, seed: int = 11) -> list[Sentence]:
     """n sentences (text, place, entities); the same for the same seed."""
     m = Maker(seed)
     return [m.listed() if i % 25 == 0 else m.sentence() for i in range(n)]

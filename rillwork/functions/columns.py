@@ -89,13 +89,17 @@ def pad_number(value: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.length(text), L(width)), "0")
 
 
-def resolve_template(template: Column, values: dict[str, Column], max_width: int = 9) -> Column:
-    """$Name$ and $Name%0Nd$ replaced; names that are unknown or null stay as they are."""
-    out = template
-    for name, value in values.items():
-        for token, text in [(f"${name}$", value.cast("string")), *((f"${name}%0{w}d$", pad_number(value, w)) for w in range(1, max_width + 1))]:
-            out = F.replace(out, L(token), F.coalesce(text, L(token)))
-    return out
+def resolve_template(template: Column, values: dict[str, Column]) -> Column:
+    """$Name$ and $Name%0Nd$ replaced, whatever N; names that are unknown or null stay as they are."""
+    known = F.create_map(*[x for name, value in values.items() for x in (L(name), value.cast("string"))])
+    token = r"^\$([A-Za-z]+)(?:%0(\d+)d)?\$$"
+
+    def filled(piece: Column) -> Column:
+        text = F.try_element_at(known, F.regexp_extract(piece, token, 1))
+        width = F.regexp_extract(piece, token, 2).try_cast("int")
+        return F.coalesce(F.when(width.isNull(), text).otherwise(F.lpad(text, F.greatest(F.length(text), width), L("0"))), piece)
+
+    return F.array_join(F.transform(F.regexp_extract_all(template, L(r"\$[A-Za-z]+(?:%0\d+d)?\$|[^$]+|\$"), L(0)), filled), "")
 
 
 # -- times

@@ -60,6 +60,13 @@ def join_base_full(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([_join(b, r) for b, r in zip(base, ref)], dtype=object)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def join_each(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Each reference of an array joined with one base; null references stay null."""
+    for base, refs in rows:
+        yield pd.Series([None if r is None else [_join(b, x) for x in r] for b, r in zip(base, refs)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def join_levels(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A base joined with an array of references in turn; null references change nothing."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .merge import not_staged
+from .merge import keep_first, not_staged
 
 Opener = Callable[[str, "tuple[int, int | None] | None", "dict[str, str]"], bytes]
 
@@ -67,6 +67,14 @@ def fetch_segments(segments: DataFrame, opener: Opener = file_opener, parallelis
     return rows.repartition(parallelism).mapInPandas(run, _OUTCOME)
 
 
+def fetch_texts(urls: DataFrame, url: str, opener: Opener = file_opener, parallelism: int = 5, attempts: int = 3) -> DataFrame:
+    """(url, content, attempts, error kind, error) of each distinct address: manifests and keys, whole. Failures are rows whose kind is `status`, `missing`, `network` or `other`."""
+    one = urls.where(F.col(url).isNotNull()).select(F.col(url).alias("uri")).distinct().withColumn("stream_id", F.xxhash64("uri")).withColumn("sequence", F.lit(0).cast("bigint"))
+    got = fetch_segments(one, opener, parallelism, attempts)
+    kind = F.when(F.col("success"), F.lit(None)).when(F.col("error").contains("status "), "status").when(F.col("error").contains("HTTPError"), "status").when(F.col("error").rlike("^(FileNotFound|KeyError)"), "missing").when(F.col("error").rlike("^(URLError|Timeout|Connection|OSError)"), "network").otherwise("other")
+    return one.join(got, ["stream_id", "sequence"]).select(F.col("uri").alias("url"), F.col("data").alias("content"), "attempts", kind.alias("error_kind"), "error")
+
+
 @dataclass(frozen=True)
 class Download:
     """How to fetch and what to do with the result; immutable, each setter gives a new one."""
@@ -88,16 +96,43 @@ class Download:
     def staged_at(self, path: str) -> Download:
         return replace(self, staging=path)
 
+    def _staged(self, spark) -> DataFrame | None:
+        """What is staged, one row per segment, good ones before failures; None where the folder does not exist yet. Other errors of reading are errors."""
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.staging)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        rows = spark.read.schema(_OUTCOME).parquet(self.staging)
+        return keep_first(rows, ["stream_id", "sequence"], [~F.col("success"), F.col("attempts"), F.coalesce("error", F.lit(""))])
+
     def run(self, segments: DataFrame) -> DataFrame:
-        """Outcomes of all segments; with a staging folder only those that are not there yet are fetched, then all staged ones are returned."""
+        """Outcomes of the segments asked for, one each; with a staging folder only those without a good row there are fetched.
+
+        A segment that failed in an earlier run and is there now has its good row only; rows that other runs staged are not returned.
+        """
         if not self.staging:
             return fetch_segments(segments, self.opener, self.parallelism, self.attempts)
-        spark = segments.sparkSession
-        try:
-            staged = spark.read.schema(_OUTCOME).parquet(self.staging).where("success")
-            staged.limit(1).count()
-        except Exception:  # noqa: BLE001  nothing staged yet
-            staged = spark.createDataFrame([], _OUTCOME)
-        todo = not_staged(segments, staged, ["stream_id", "sequence"])
+        staged = self._staged(segments.sparkSession)
+        todo = segments if staged is None else not_staged(segments, staged.where("success"), ["stream_id", "sequence"])
         fetch_segments(todo, self.opener, self.parallelism, self.attempts).write.mode("append").partitionBy("stream_id").parquet(self.staging)
-        return spark.read.schema(_OUTCOME).parquet(self.staging)
+        return self._staged(segments.sparkSession).join(segments.select("stream_id", "sequence").distinct(), ["stream_id", "sequence"], "left_semi")
+
+    def recycle(self, spark, done: DataFrame) -> None:
+        """Forgets the staged payloads of segments (stream_id, sequence) that were handed on: the folders of streams with any are written anew without them.
+
+        A stream's new folder is whole before the old one goes.
+        """
+        staged = self._staged(spark)
+        if staged is None:
+            return
+        hit = [r[0] for r in done.select("stream_id").distinct().collect()]  # one row per stream
+        left = staged.where(F.col("stream_id").isin(hit)).join(done.select("stream_id", "sequence").distinct(), ["stream_id", "sequence"], "left_anti")
+        fresh = f"{self.staging.rstrip('/')}-recycled"
+        left.write.mode("overwrite").partitionBy("stream_id").parquet(fresh)
+        jvm = spark._jvm
+        Path = jvm.org.apache.hadoop.fs.Path
+        fs = Path(self.staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for s in hit:
+            fs.delete(Path(f"{self.staging}/stream_id={s}"), True)
+            fs.rename(Path(f"{fresh}/stream_id={s}"), Path(f"{self.staging}/stream_id={s}"))
+        fs.delete(Path(fresh), True)

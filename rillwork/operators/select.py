@@ -54,3 +54,8 @@ def set_difference(wanted: DataFrame, running: DataFrame, key: str) -> DataFrame
     start = wanted.select(key).distinct().join(running, key, "left_anti").withColumn("action", L("start"))
     stop = running.select(key).distinct().join(wanted, key, "left_anti").withColumn("action", L("stop"))
     return start.unionByName(stop)
+
+
+def first_candidate(df: DataFrame, group: list[str], ordinal: str) -> DataFrame:
+    """The first of several candidates, by an explicit order."""
+    return top_row(df, group, [F.col(ordinal)])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .merge import concat_binary, islands, output_names
+from .merge import concat_binary, execute_merge, islands, output_names, write_concatenated
 
 L = F.lit
 Writer = Callable[[str, bytes], None]
@@ -96,6 +96,35 @@ def staging_kind(o: Options) -> Literal["memory", "object", "file"]:
     return "object" if o.object_store else "memory" if o.in_memory or (o.pipe and not o.live and o.cache_dir is None) else "file"
 
 
+def stage(outcomes: DataFrame, o: Options, path: str) -> DataFrame:
+    """The outcomes where the options want them to wait: in memory (spilled to disk by Spark if it is short), or in a folder of files or of an object store."""
+    kind = staging_kind(o)
+    if kind == "memory":
+        return outcomes.persist()
+    at = o.object_store or o.cache_dir or path
+    outcomes.write.mode("overwrite").parquet(at)
+    return outcomes.sparkSession.read.schema(outcomes.schema).parquet(at)
+
+
+def finish(outcomes: DataFrame, o: Options, stem: Column, ext: Column, mux: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """Carries out the way of merging the options ask for; (path, bytes) of what was written, None where nothing is.
+
+    outcomes: presentation, stream_id, sequence, success, kind, data. pipe and pipe_mux write the parts of each stream one after another, split at gaps
+    (pipe_mux: only video and audio); auto follows merge_plan.
+    """
+    kind = merger_kind(o)
+    if kind == "skip":
+        skip(outcomes)
+        return None
+    name = F.concat(stem, L("."), F.col("stream_id").cast("string"), L("."), ext)
+    if kind == "auto":
+        return execute_merge(outcomes, ["presentation"], "stream_id", ["sequence"], "success", "kind", "data", name, mux).where("path is not null").select("path", "bytes")
+    rows = outcomes.where(F.col("kind").isin("video", "audio", "mpeg-ts", "mp4", "aac")) if kind == "pipe_mux" else outcomes
+    parts = islands(rows, ["presentation", "stream_id"], [F.col("sequence")], "success", collapse=True)
+    named = parts.withColumn("_path", F.concat(stem, L("."), F.col("stream_id").cast("string"), L("."), F.col("part").cast("string"), L("."), ext))
+    return write_concatenated(named, "_path", ["sequence"], "data").withColumnRenamed("_path", "path")
+
+
 def overlay_playlists(playlists: DataFrame, o: Options) -> DataFrame:
     """Playlist descriptors (title, playlist_url, key, headers array, cookies array) under the options: a file name from the title, the options' key
     where the descriptor has none, lists put together."""

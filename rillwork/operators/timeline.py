@@ -150,20 +150,36 @@ def within_period(start: Column, period_start: Column, duration: Column) -> Colu
     return duration.isNull() | (start < period_start + duration)
 
 
-def marquee_ends(df: DataFrame, stream: list[str], time: str, order: str, operator: str, reach: int = 1400, stay: int = 800) -> DataFrame:
+def marquee_ends(df: DataFrame, stream: list[str], time: str, order: str, operator: str, reach: int = 1400, stay: int = 800, bucket: int = 30_000) -> DataFrame:
     """Operator rows with `until`: the time of the next operator row, or the own time plus `stay` if a row more than `reach` later comes before one.
 
-    Rows that nothing follows are not emitted. One pass: windows over time order; the row that flushes is the earlier of the next operator row and
-    the first row beyond reach.
+    Rows that nothing follows are not emitted, nor are rows without a time. Two questions are asked of the rows in time order, by frames that only grow:
+    which operator row is next, and, of a probe at time + reach + 1 for each operator row, which row is next. Streams are cut into buckets
+    of time, so a stream of any length is spread over tasks; what a bucket does not know comes from one summary row per later bucket.
     """
-    w = _w(stream, [time, order])
     at = F.col(time)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    next_op = F.first(F.when(F.col(operator), at), ignorenulls=True).over(ahead)
-    late = F.min(at).over(_w(stream, [time]).rangeBetween(reach + 1, Window.unboundedFollowing))
-    d = df.withColumn("_op", next_op).withColumn("_late", late).where(F.col(operator))
-    by_op = F.col("_op").isNotNull() & (F.col("_late").isNull() | (F.col("_op") <= F.col("_late")))
-    return d.withColumn("until", F.when(by_op, F.col("_op")).when(F.col("_late").isNotNull(), at + stay)).where("until is not null").drop("_op", "_late")
+    rows = df.where(at.isNotNull()).select(*stream, at.alias("_t"), F.col(order).alias("_o"), F.coalesce(F.col(operator), L(False)).alias("_op"))
+    ops = rows.where("_op").distinct()
+    data = rows.select(*stream, "_t", "_o", "_op", L(False).alias("_probe"), "_t", F.col("_o").alias("_key")).toDF(*stream, "_t", "_o", "_op", "_probe", "_own", "_key")
+    probes = ops.select(*stream, (F.col("_t") + reach + 1).alias("_t"), "_o", L(False).alias("_op"), L(True).alias("_probe"), F.col("_t").alias("_own"), F.col("_o").alias("_key"))
+    both = data.unionByName(probes).withColumn("_b", F.floor(F.col("_t") / bucket))
+    # latest first; of equal times a probe comes last, so it sees the rows at its own time
+    w = _w([*stream, "_b"], [F.desc("_t"), "_probe", F.desc("_o")]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_next_op", F.last(F.when(F.col("_op"), F.col("_t")), ignorenulls=True).over(w)).withColumn("_next", F.last(F.when(~F.col("_probe"), F.col("_t")), ignorenulls=True).over(w))
+    summary = both.groupBy(*stream, "_b").agg(F.min(F.when(F.col("_op"), F.col("_t"))).alias("_o1"), F.min(F.when(~F.col("_probe"), F.col("_t"))).alias("_d1"))
+    later = _w(stream, [F.desc("_b")]).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*stream, "_b", F.min("_o1").over(later).alias("_later_op"), F.min("_d1").over(later).alias("_later"))
+    asked = seen.where("_op or _probe")
+    same = [asked[c].eqNullSafe(summary[c]) for c in [*stream, "_b"]]
+    known = asked.join(summary, same).select(*[asked[c] for c in stream], "_own", "_key", F.when(F.col("_op"), F.coalesce("_next_op", "_later_op")).alias("_n"), F.when(F.col("_probe"), F.coalesce("_next", "_later")).alias("_l"))
+    ends = known.groupBy(*stream, "_own", "_key").agg(F.max("_n").alias("_n"), F.max("_l").alias("_l"))
+    by_op = F.col("_n").isNotNull() & (F.col("_l").isNull() | (F.col("_n") <= F.col("_l")))
+    ends = ends.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(stream)], "_own", "_key", F.when(by_op, F.col("_n")).when(F.col("_l").isNotNull(), F.col("_own") + stay).alias("until")).where("until is not null")
+    match = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(stream)] + [at == F.col("_own"), F.col(order).eqNullSafe(F.col("_key"))]
+    hit = match[0]
+    for m in match[1:]:
+        hit = hit & m
+    return df.where(F.coalesce(F.col(operator), L(False))).join(ends, hit).select(*df.columns, "until")
 
 
 def burst_counter(df: DataFrame, stream: list[str], time: str, order: list, out: str = "burst") -> DataFrame:

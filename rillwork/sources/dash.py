@@ -6,13 +6,13 @@ is the first of representation, adaptation set and period that says something.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_kind, media_range, resolve_template
-from ..functions.urls import join_base_full, join_levels
+from ..functions.urls import join_each, join_levels
 from ..operators.select import best_representation
-from ..operators.timeline import expand_nominal, expand_runs, nominal_count, period_starts, resolve_open_repeats
+from ..operators.timeline import nominal_count, period_starts, resolve_open_repeats
 
 L = F.lit
 
@@ -80,59 +80,68 @@ def plan(manifests: DataFrame, open_until_us: Column | None = None, skip_before_
     Periods without an end stop at open_until_us, and nominal segments that end before skip_before_us are not generated: both are columns of
     `manifests` in microseconds of the presentation, so a live manifest expands to its window only.
     """
-    reps = representations(manifests)
     bounds = manifests.select("url", (L(None).cast("bigint") if open_until_us is None else open_until_us).alias("_until"), (L(0).cast("bigint") if skip_before_us is None else skip_before_us).alias("_low"))
-    reps = reps.join(bounds, "url").withColumn("period_duration", F.coalesce("period_duration", F.greatest(F.col("_until") - F.col("period_start"), L(0))))
+    reps = representations(manifests).join(bounds, "url").withColumn("period_duration", F.coalesce("period_duration", F.greatest(F.col("_until") - F.col("period_start"), L(0))))
     best = best_representation(reps, ["url", "stream_id"], "width", "height", "bandwidth", "ordinal")
-    ticks_end = F.floor(F.col("period_duration") * F.col("timescale") / 1_000_000).cast("bigint") + F.col("time_offset")
-    best = best.withColumn("_end", ticks_end)
-
-    lined = best.where("timeline is not null").select("*", F.posexplode("timeline").alias("_n", "_s")).select("*", F.col("_s._t").alias("_t"), F.col("_s._d").alias("_d"), F.col("_s._r").alias("_r"))
-    lined = resolve_open_repeats(lined, ["url", "stream_id"], [F.col("_n")], "_t", "_d", "_r", "_end")
-    lined = expand_runs(lined, ["url", "stream_id"], [F.col("_n")], "_t", "_d", "_r", F.col("start_number")).drop("_n", "_s", "_t", "_d", "_r")
-
-    nominal = best.where("timeline is null and listed is null and duration is not null and media is not null")
-    low = F.floor((F.col("_low") - F.col("period_start")) / 1_000_000 * F.col("timescale") / F.col("duration")) - 1
-    nominal = expand_nominal(nominal, nominal_count(F.col("period_duration") / 1_000_000, F.col("timescale"), F.col("duration")), F.col("start_number"), F.col("duration"), low)
-
-    templated = lined.unionByName(nominal)
-    fill = lambda t, more: resolve_template(t, {"RepresentationID": F.col("representation_id"), "Bandwidth": F.col("bandwidth"), **more})
-    numbered = {"Number": F.col("number"), "Time": F.col("time")}
-    templated = templated.withColumn("uri", join_base_full(F.col("base"), fill(F.col("media"), numbered))).withColumn("byte_range", L(None).cast("struct<offset:bigint,length:bigint>")).withColumn("init_uri", join_base_full(F.col("base"), fill(F.col("initialization"), {})))
-
-    one = best.where("timeline is null and listed is not null").select("*", F.posexplode("listed.SegmentURL").alias("_n", "_u"))
-    one = one.withColumn("number", F.col("_n").cast("bigint") + 1).withColumn("time", F.floor(F.col("_n") * F.coalesce("duration", L(0))).cast("bigint"))
-    one = one.withColumn("uri", F.coalesce(join_base_full(F.col("base"), F.col("_u._media")), F.col("base"))).withColumn("byte_range", F.when(F.col("_u._mediaRange").isNotNull(), media_range(F.col("_u._mediaRange"))))
-    one = one.withColumn("init_uri", join_base_full(F.col("base"), F.col("listed.Initialization._sourceURL"))).drop("_n", "_u")
-
-    file = best.where("timeline is null and listed is null and (duration is null or media is null)")
-    file = file.withColumn("number", L(1).cast("bigint")).withColumn("time", L(0).cast("bigint")).withColumn("uri", F.col("base")).withColumn("byte_range", L(None).cast("struct<offset:bigint,length:bigint>")).withColumn("init_uri", L(None).cast("string"))
-
-    rows = templated.unionByName(one).unionByName(file)
-    start = F.col("period_start") + F.floor((F.col("time") - F.when(F.col("timeline").isNotNull(), F.col("time_offset")).otherwise(0)) * 1_000_000 / F.col("timescale")).cast("bigint")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("url", "stream_id").orderBy("number")
-    return rows.select("url", "stream_id", (F.row_number().over(w) - 1).cast("bigint").alias("sequence"), "time", "number", "uri", "byte_range", "init_uri", start.alias("start_us"), "kind", "representation_id", "bandwidth")
+    is_line, is_list = F.col("timeline").isNotNull(), F.col("listed").isNotNull()
+    mode = F.when(is_line, "line").when(is_list, "list").when(F.col("duration").isNotNull() & F.col("media").isNotNull(), "nominal").otherwise("file")
+    # addresses are joined once per representation; number and time are filled in per segment, without Python
+    known = lambda t: resolve_template(t, {"RepresentationID": F.col("representation_id"), "Bandwidth": F.col("bandwidth")})
+    entry = lambda t, d, r, at: F.struct(t.alias("t"), d.alias("d"), r.alias("r"), at.alias("range"))
+    none, text = L(None).cast("bigint"), L(None).cast("string")
+    entries = F.when(is_line, F.transform("timeline", lambda x: entry(x["_t"], x["_d"], x["_r"], text))).when(is_list, F.transform("listed.SegmentURL", lambda x: entry(none, none, none, x["_mediaRange"]))).otherwise(F.array(entry(none, none, none, text)))
+    refs = F.when(is_line | (mode == "nominal"), F.array(known(F.col("media")), known(F.col("initialization")))).when(is_list, F.concat(F.array(text, F.col("listed.Initialization._sourceURL")), F.transform("listed.SegmentURL", lambda x: x["_media"]))).otherwise(F.array(text, text))
+    best = best.withColumn("_mode", mode).withColumn("_refs", join_each(F.col("base"), refs)).withColumn("_end", F.floor(F.col("period_duration") * F.col("timescale") / 1_000_000).cast("bigint") + F.col("time_offset"))
+    for name in ("Number", "Time"):  # the token and width of each number, once per representation
+        token = F.nullif(F.regexp_extract(F.get("_refs", L(0)), rf"(\${name}(?:%0\d+d)?\$)", 1), L(""))
+        best = best.withColumn(f"_token_{name}", F.coalesce(token, L(f"${name}$"))).withColumn(f"_width_{name}", F.regexp_extract(token, r"%0(\d+)d", 1).try_cast("int"))
+    rows = best.select("*", F.posexplode(entries).alias("_n", "_e")).select("*", F.col("_e.t").alias("_t"), F.col("_e.d").alias("_d"), F.col("_e.r").alias("_r")).drop("timeline", "listed")
+    rows = resolve_open_repeats(rows, ["url", "stream_id"], [F.col("_n")], "_t", "_d", "_r", "_end")
+
+    w = Window.partitionBy("url", "stream_id").orderBy("_n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    total = nominal_count(F.col("period_duration") / 1_000_000, F.col("timescale"), F.col("duration"))
+    skip = F.greatest(F.floor((F.col("_low") - F.col("period_start")) / 1_000_000 * F.col("timescale") / F.col("duration")) - 1, L(0)).cast("bigint")
+    count = F.when(F.col("_mode") == "line", F.greatest(F.coalesce("_r", L(0)) + 1, L(0))).when(F.col("_mode") == "nominal", F.coalesce(total, L(0))).otherwise(1).cast("bigint")
+    rows = rows.withColumn("_c", count).withColumn("_run", F.count("_t").over(w))
+    run = Window.partitionBy("url", "stream_id", "_run").orderBy("_n")
+    clock = F.coalesce(F.first("_t", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0)), L(0)) + F.coalesce(F.sum(F.col("_c") * F.col("_d")).over(run.rowsBetween(Window.unboundedPreceding, -1)), L(0))
+    rows = rows.withColumn("_clock", clock).withColumn("_before", F.coalesce(F.sum("_c").over(before), L(0)))
+    low = F.when(F.col("_mode") == "nominal", F.coalesce(skip, L(0))).otherwise(0).cast("bigint")
+    rows = rows.withColumn("_i", F.explode(F.when(F.col("_c") > low, F.sequence(low, F.col("_c") - 1)).otherwise(F.array().cast("array<bigint>"))))
+    line, nominal, listed = (F.col("_mode") == m for m in ("line", "nominal", "list"))
+    time = F.when(line, F.col("_clock") + F.col("_i") * F.col("_d")).when(nominal, F.floor(F.col("_i") * F.col("duration"))).when(listed, F.floor(F.col("_n") * F.coalesce("duration", L(0)))).otherwise(0).cast("bigint")
+    number = F.when(line, F.col("_before") + F.col("_i") + F.col("start_number")).when(nominal, F.col("start_number") + F.col("_i")).when(listed, F.col("_n") + 1).otherwise(1).cast("bigint")
+    rows = rows.withColumn("time", time).withColumn("number", number)
+    filled = F.get("_refs", L(0))
+    for name, value in (("Number", F.col("number")), ("Time", F.col("time"))):
+        text = value.cast("string")
+        filled = F.replace(filled, F.col(f"_token_{name}"), F.coalesce(F.lpad(text, F.greatest(F.length(text), F.col(f"_width_{name}")), L("0")), text))
+    # a template that writes a number in two widths takes the general way for the second
+    filled = F.when(filled.rlike(r"\$(Number|Time)[%$]"), resolve_template(filled, {"Number": F.col("number"), "Time": F.col("time")})).otherwise(filled)
+    uri = F.when(line | nominal, filled).when(listed, F.coalesce(F.get("_refs", F.col("_n") + 2), F.col("base"))).otherwise(F.col("base"))
+    start = F.col("period_start") + F.floor((F.col("time") - F.when(line, F.col("time_offset")).otherwise(0)) * 1_000_000 / F.col("timescale")).cast("bigint")
+    rows = rows.withColumn("uri", uri).withColumn("init_uri", F.get("_refs", L(1))).withColumn("byte_range", F.when(F.col("_e.range").isNotNull(), media_range(F.col("_e.range")))).withColumn("start_us", start)
+    by_number = Window.partitionBy("url", "stream_id").orderBy("number")
+    return rows.select("url", "stream_id", (F.row_number().over(by_number) - 1).cast("bigint").alias("sequence"), "time", "number", "uri", "byte_range", "init_uri", "start_us", "kind", "representation_id", "bandwidth")
 
 
 def live_plan(manifests: DataFrame, since_us: Column | None = None, inclusive: bool = True) -> DataFrame:
     """The segments of dynamic manifests that are available at `now_us`, a column of `manifests` (microseconds since the epoch).
 
     at_us is the segment's time on the wall clock: availability start, period start and media time. The window ends at now less the suggested delay and
-    begins a time-shift buffer earlier; `since_us` is the cursor of an earlier load, itself left out unless `inclusive`. refresh_us is the
+    begins a time-shift buffer earlier; `since_us`, another column of `manifests`, is the cursor of an earlier load, itself left out unless `inclusive`; null asks for all. refresh_us is the
     update period, two seconds where none is given; the loop that reads again belongs to the caller or to a stream.
     """
     text = lambda name: iso_duration_us(F.col(f"mpd.{name}"))
-    head = parsed(manifests).join(manifests.select("url", F.col("now_us").cast("bigint").alias("now_us")), "url").select(
-        "url", "now_us", F.coalesce(F.unix_micros(F.try_to_timestamp("mpd._availabilityStartTime")), L(0)).alias("_zero"), text("_timeShiftBufferDepth").alias("_buffer"),
+    head = parsed(manifests).join(manifests.select("url", F.col("now_us").cast("bigint").alias("now_us"), (L(None).cast("bigint") if since_us is None else since_us).alias("_since")), "url").select(
+        "url", "now_us", "_since", F.coalesce(F.unix_micros(F.try_to_timestamp("mpd._availabilityStartTime")), L(0)).alias("_zero"), text("_timeShiftBufferDepth").alias("_buffer"),
         F.coalesce(text("_suggestedPresentationDelay"), L(0)).alias("_delay"), F.coalesce(text("_minimumUpdatePeriod"), L(2_000_000)).alias("refresh_us"), F.coalesce("mpd._type", L("static")).alias("type"),
     )
     timed = manifests.select("url", "content").join(head, "url")
     rows = plan(timed, F.col("now_us") - F.col("_zero") - F.col("_delay"), F.col("now_us") - F.col("_zero") - F.coalesce(F.col("_buffer"), F.col("now_us") - F.col("_zero"))).join(head, "url")
     at = F.col("_zero") + F.col("start_us")
-    low = None if since_us is None else ((at >= since_us) if inclusive else (at > since_us)) | since_us.isNull()
+    low = F.col("_since").isNull() | ((at >= F.col("_since")) if inclusive else (at > F.col("_since")))
     dynamic = (at <= F.col("now_us") - F.col("_delay")) & (F.col("_buffer").isNull() | (at >= F.col("now_us") - F.col("_buffer")))
     kept = rows.withColumn("at_us", at).where((F.col("type") != "dynamic") | dynamic)
-    kept = kept if low is None else kept.where(low)
-    return kept.select("url", "stream_id", "number", "time", "uri", "init_uri", "kind", "at_us", "refresh_us", "type")
+    return kept.where(low).select("url", "stream_id", "number", "time", "uri", "init_uri", "kind", "at_us", "refresh_us", "type")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import file_format, iv_bytes
 from ..functions.urls import join_base, segment_filename
+from ..operators.fetch import Opener, fetch_texts, file_opener
 from ..operators.select import best_rendition, best_variant
 from ..operators.timeline import byte_offsets
+from ..session import through_table
 
 L = F.lit
 
@@ -140,3 +142,56 @@ def plan_archive(manifests: DataFrame, first: int = 1, last: int | None = None)
     rows = rows if last is None else rows.where(F.col("number") <= last)
     w = Window.partitionBy("entry").orderBy("stream_id", "sequence")
     return rows.drop("number").withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+# -- manifests that lead to others, keys
+
+
+def resolve_media(entries: DataFrame, opener: Opener = file_opener, parallelism: int = 5, attempts: int = 3) -> DataFrame:
+    """(entry, stream_id, url, content, error_kind, error): the media playlists that the addresses `entries.url` lead to, masters followed to any depth.
+
+    A master's chosen variant and renditions are fetched next, and if one of them is a master again its own choice, until only media playlists
+    are left. Streams of an entry are numbered in the order they are found. An address an entry has led to before is not followed again, so loops
+    end; what cannot be fetched is a row with an error. Each round is written to the shared folder: rounds are as many as the chain is deep.
+    """
+    front = entries.where("url is not null").select(F.col("url").alias("entry"), "url", L("").alias("_at")).distinct()
+    seen, done = front.select("entry", "url"), None
+    while True:
+        got = front.join(fetch_texts(front, "url", opener, parallelism, attempts), "url").withColumn("content", F.decode("content", "UTF-8"))
+        got = through_table(got.select("entry", "url", "_at", "content", "error_kind", "error"), "manifests")
+        master = is_master(F.coalesce("content", L("")))
+        part = got.where(~master)
+        done = part if done is None else done.unionByName(part)
+        led = chosen_streams(got.where(master).select("url", "content").distinct()).select(F.col("url").alias("_from"), "stream_id", F.col("uri").alias("url"))
+        nxt = got.where(master).select("entry", F.col("url").alias("_from"), "_at").join(led, "_from").select("entry", "url", F.concat("_at", F.lpad(F.col("stream_id").cast("string"), 3, "0")).alias("_at"))
+        front = through_table(nxt.join(seen, ["entry", "url"], "left_anti").groupBy("entry", "url").agg(F.min("_at").alias("_at")), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("entry", "url"))
+    w = Window.partitionBy("entry").orderBy("_at", "url")
+    return done.withColumn("stream_id", (F.row_number().over(w) - 1).cast("bigint")).select("entry", "stream_id", "url", "content", "error_kind", "error")
+
+
+def resolved_segments(media: DataFrame) -> DataFrame:
+    """Segments of resolve_media's playlists with their entry and stream."""
+    lists = media.where("content is not null")
+    return lists.select("entry", "stream_id", "url").join(media_segments(lists.select("url", "content").distinct()), "url")
+
+
+def streams_ended(media: DataFrame) -> DataFrame:
+    """(entry, streams, ended): an entry has ended when every one of its streams has; one that could not be read has not."""
+    end = F.coalesce(F.col("content").rlike(r"(?m)^\s*#EXT-X-ENDLIST"), L(False))
+    return media.groupBy("entry").agg(F.count("*").alias("streams"), F.bool_and(end).alias("ended"))
+
+
+def with_keys(segments: DataFrame, opener: Opener = file_opener, manual_key: str | None = None, parallelism: int = 5, attempts: int = 3) -> DataFrame:
+    """segments with `key_bytes` and `key_error`: every distinct key address is fetched once, however many segments it is for.
+
+    A manual key (hexadecimal) stands for all of them and nothing is fetched. Segments without a key have null in both. Only AES-128 keys are 16 bytes;
+    others come as they are.
+    """
+    if manual_key is not None:
+        return segments.withColumn("key_bytes", F.when(F.col("key").isNotNull(), F.unhex(L(manual_key)))).withColumn("key_error", L(None).cast("string"))
+    keys = fetch_texts(segments.select(F.col("key.uri").alias("_key")), "_key", opener, parallelism, attempts)
+    keys = through_table(keys.select(F.col("url").alias("_key"), F.col("content").alias("key_bytes"), F.col("error").alias("key_error")), "keys")
+    return segments.join(keys, F.col("key.uri") == F.col("_key"), "left").drop("_key")

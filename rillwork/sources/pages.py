@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def follow(first: str, fetch: Callable[[str], str], next_of: Callable[[str], str | None], most: int = 100_000) -> Iterator[tuple[int, str, str]]:
-    """(number, address, body) along the links; an address that came before ends the chain."""
+def follow(first: str, fetch: Callable[[str], str], next_of: Callable[[str], str | None]) -> Iterator[tuple[int, str, str]]:
+    """(number, address, body) along the links, however many; an address that came before ends the chain."""
     seen: set[str] = set()
     at: str | None = first
-    while at and at not in seen and len(seen) < most:
+    while at and at not in seen:
         seen.add(at)
         body = fetch(at)
         yield len(seen) - 1, at, body

@@ -56,3 +56,37 @@ def timeshift_stream(df: DataFrame, text: str) -> DataFrame:
 
 def is_live(status: Column, live_id: Column) -> Column:
     return (F.coalesce(status, L(0)) == 2) | (F.coalesce(live_id, L(0)) != 0)
+
+
+def viewer_statistics(df: DataFrame, text: str) -> DataFrame:
+    """df with viewers, comments, ad_points and gift_points of statistics messages; other messages have nulls."""
+    get = lambda name: F.get_json_object(text, f"$.data.{name}").try_cast("bigint")
+    is_stat = F.get_json_object(text, "$.type") == "statistics"
+    return df.select("*", *[F.when(is_stat, get(n)).alias(out) for n, out in (("viewers", "viewers"), ("comments", "comments"), ("adPoints", "ad_points"), ("giftPoints", "gift_points"))])
+
+
+def stream_address(messages: DataFrame, text: str, key: list[str], order: str) -> DataFrame:
+    """(key, uri): the playlist address of the last `stream` message of each connection; feed it to the playlist readers, live or archived."""
+    rows = control_messages(messages, text, "stream").where(F.col("data")["uri"].isNotNull())
+    return rows.groupBy(*key).agg(F.max_by(F.col("data")["uri"], order).alias("uri"))
+
+
+def room_records(df: DataFrame, text: str) -> DataFrame:
+    """df with room_id, room_name, is_live and live_id of room documents in any of their three forms: status, profile, live info."""
+    j = lambda *paths: F.coalesce(*[F.get_json_object(text, p) for p in paths])
+    status, live = j("$.live_status").try_cast("bigint"), j("$.live_id").try_cast("bigint")
+    flag = j("$.is_onlive", "$.is_live") == "true"
+    return df.select("*", j("$.room_id", "$.id").try_cast("bigint").alias("room_id"), j("$.room_name", "$.main_name", "$.name").alias("room_name"), (F.coalesce(flag, L(False)) | is_live(status, live)).alias("is_live"), live.alias("room_live_id"))
+
+
+def backward_segment(pages: DataFrame, key: list[str], page: str, body: str) -> DataFrame:
+    """(key, page, segment_uri, snapshot_uri, until): of each chain of pages, the first that carries a backward segment."""
+    rows = pages.select(*key, page, *[F.get_json_object(body, f"$.backward.{a}").alias(b) for a, b in (("segment.uri", "segment_uri"), ("snapshot.uri", "snapshot_uri"), ("until", "until"))], F.get_json_object(body, "$.backward").alias("_b"))
+    from ..operators.select import top_row
+
+    return top_row(rows.where("_b is not null").drop("_b"), key, [F.col(page)])
+
+
+def download_address(page: Column, host: Column) -> Column:
+    """The download address of a file page: the folder's last member behind the host's download script."""
+    return F.concat(L("https://"), host, L("/download.php?file="), F.regexp_extract(page, r"/([^/?#]+)[^/]*$", 1))

@@ -2,8 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from rillwork.streaming.live import live_segments, parse_media
-from rillwork.streaming.reassembly import contiguous_prefix, reassemble
+from rillwork.sources import dash
+from rillwork.streaming.live import follow_live, live_manifests, live_segments, parse_media, wait_seconds
+from rillwork.streaming.reassembly import contiguous_prefix, flush_rest, pipe_in_order, reassemble
 
 SCHEMA = "stream_id bigint, sequence bigint, success boolean, item string"
 
@@ -26,6 +27,79 @@ def test_reassembly_in_order_with_hole_and_late_rows(spark, tmp_path):
     assert sum(r["late"] for r in rows) == 2  # and (1, 3) waits behind the hole
 
 
+def test_rest_behind_a_hole_is_flushed_from_the_state(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    spark.createDataFrame([(0, 0, True, "a"), (0, 2, True, "c"), (0, 5, False, None), (1, 0, True, "x")], SCHEMA).coalesce(1).write.parquet(src)
+    got = {}
+
+    def write(stream, rows):
+        with open(f"{tmp_path}/{stream}.txt", "a") as f:
+            f.writelines(f"{p} {ok} {item}\n" for p, ok, item in rows)
+
+    pipe_in_order(spark.readStream.schema(SCHEMA).parquet(src), write, ck).awaitTermination(120)
+    got = {i: (tmp_path / f"{i}.txt").read_text() for i in (0, 1)}
+    assert got == {0: "0 True a\n", 1: "0 True x\n"}
+    rest = flush_rest(spark, ck).orderBy("stream_id", "sequence").collect()
+    assert [tuple(r) for r in rest] == [(0, 2, True, "c", 1), (0, 5, False, None, 2)]
+
+
+def test_a_replayed_poll_is_what_was_read(spark, tmp_path):
+    from rillwork.streaming.live import _Playlists
+
+    a = tmp_path / "a.m3u8"
+    a.write_text("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:5\n#EXTINF:2,\nx5.ts\n#EXTINF:2,\nx6.ts\n")
+    one = _Playlists([f"file://{a}"], 1, str(tmp_path / "j"))
+    start = one.initialOffset()
+    rows, end = one.read(start)
+    rows = list(rows)
+    a.write_text("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:50\n#EXTINF:2,\nx50.ts\n")  # what was read slid out of the window
+    again = _Playlists([f"file://{a}"], 1, str(tmp_path / "j"))
+    assert list(again.readBetweenOffsets(start, end)) == rows and len(rows) == 2
+    more, later = again.read(end)
+    assert [r[1] for r in more] == [50]
+    again.commit(later)
+    assert list(again.readBetweenOffsets(end, later)) == [(0, 50, f"file://{tmp_path}/x50.ts", 2.0, False)]
+
+
+def test_following_stops_at_the_end_tag(spark, tmp_path):
+    a = tmp_path / "a.m3u8"
+    a.write_text("#EXTM3U\n#EXTINF:1,\n0.ts\n")
+    seen = []
+
+    def sink(df, n):
+        seen.extend(r["media_sequence"] for r in df.orderBy("media_sequence").collect())
+        a.write_text("#EXTM3U\n#EXTINF:1,\n0.ts\n#EXTINF:1,\n1.ts\n#EXT-X-ENDLIST\n")
+
+    follow_live(spark, [f"file://{a}"], sink, str(tmp_path / "f"))
+    assert seen == [0, 1]
+    assert wait_seconds({}) == 5 and wait_seconds({0: [2.0, 4.0], 1: []}) == 1 and wait_seconds({0: [2.0, 4.0]}) == 3
+
+
+def test_manifests_are_planned_from_the_cursor(spark, tmp_path):
+    mpd, clock = tmp_path / "m.mpd", tmp_path / "clock"
+    mpd.write_text('<MPD type="dynamic" availabilityStartTime="1970-01-01T00:00:00Z" minimumUpdatePeriod="PT4S"><Period start="PT0S"><AdaptationSet contentType="video"><SegmentTemplate timescale="1" duration="2" startNumber="0" media="s$Number$.m4s"/><Representation id="a" bandwidth="1"/></AdaptationSet></Period></MPD>')
+    df = live_manifests(spark, [f"file://{mpd}"], journal=str(tmp_path / "j"), clock=str(clock))
+    seen = []
+
+    def batch(rows, _):
+        seen.extend(map(tuple, rows.collect()))
+
+    import time
+
+    for now in (7, 9, 12):
+        clock.write_text(str(now * 1_000_000))
+        q = df.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+        for _ in range(40):
+            time.sleep(0.25)
+            if seen and seen[-1][2] == now * 1_000_000 and not q.status["isTriggerActive"]:
+                break
+        q.stop()
+    # at 9 s the update period has not passed
+    assert [(r[2], r[3]) for r in seen] == [(7_000_000, None), (12_000_000, 7_000_000)]
+    planned = [sorted(x["number"] for x in dash.live_plan(spark.createDataFrame([r], df.schema), F.col("since_us"), inclusive=False).collect()) for r in seen]
+    assert planned == [[0, 1, 2, 3], [4, 5]]  # 6 begins at 12 s and is not there yet
+
+
 def test_contiguous_prefix(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (0, 3), (1, 1)], "s int, n int")
     assert {tuple(r) for r in contiguous_prefix(df, "s", "n").collect()} == {(0, 0), (0, 1)}
@@ -34,7 +108,7 @@ def test_contiguous_prefix(spark):
 def test_live_playlists_beyond_the_mark(spark, tmp_path):
     a = tmp_path / "a.m3u8"
     a.write_text("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:5\n#EXTINF:2,\nx5.ts\n#EXTINF:2.5,\nx6.ts\n")
-    df = live_segments(spark, [f"file://{a}", f"file://{tmp_path}/missing.m3u8"])
+    df = live_segments(spark, [f"file://{a}", f"file://{tmp_path}/missing.m3u8"], journal=str(tmp_path / "journal"))
     ck = str(tmp_path / "ck")
     out = str(tmp_path / "out")
 

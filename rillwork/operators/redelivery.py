@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import through_table
+
+
+#: The index lies in so many buckets by hash; a merge reads those its keys fall into. Beyond so many folders it is written anew as one.
+INDEX_BUCKETS, INDEX_FOLDERS = 64, 8
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(INDEX_BUCKETS)).cast("int")
+
 
 @dataclass
 class Merge:
@@ -34,7 +45,8 @@ class WinnerStore:
 
     Defined results: rows with a null in a key column are nobody's copies and are not stored; rows repeated with the same row_id
     count once; empty incoming tables change nothing. Keys are compared exactly. A key may hold any share of the rows: winners
-    come from an aggregation with map-side combining, the surplus from an anti join on row_id, which no key can skew.
+    come from an aggregation with map-side combining, and the surplus from a join of the incoming rows with one row per key that has losers, which
+    Spark broadcasts where it is small and splits by AQE where a key is hot.
 
     The list of affected partitions is collected: it is bounded by the number of partitions, one per `unit` of time.
     """
@@ -88,6 +100,19 @@ class WinnerStore:
     def _partition(self):
         return F.coalesce(F.date_format(F.date_trunc(self.unit, F.col(f"`{self.arrived}`")), "yyyyMMddHH"), F.lit("none"))
 
+    def _index(self, folders: list[str], buckets: list[int] | None = None) -> DataFrame:
+        """Entries (_h, _p, _a) of the index; with `buckets` only their folders are read."""
+        parts = [self.spark.read.schema("_h long, _p string, _a string").parquet(f) for f in folders]
+        every = functools.reduce(DataFrame.unionByName, parts)
+        return every if buckets is None else every.where(F.col("_a").isin([str(b) for b in buckets]))
+
+    def _lookup(self, folders: list[str], new: DataFrame) -> list[str]:
+        """Partitions that hold one of the incoming keys, by the index buckets those keys fall into and no others."""
+        hashes = new.select(F.xxhash64(*self.key).alias("_h")).distinct()
+        buckets = sorted(r[0] for r in hashes.select(_bucket(F.col("_h")).alias("b")).distinct().collect())  # at most INDEX_BUCKETS
+        index = self._index(folders, buckets)
+        return sorted(r[0] for r in index.join(hashes, "_h", "left_semi").select("_p").distinct().collect())
+
     def merge(self, incoming: DataFrame) -> Merge:
         m = self.manifest()
         n = m["version"] + 1
@@ -98,48 +123,71 @@ class WinnerStore:
         tagged = new.withColumn("_new", F.lit(True))
         affected: list[str] = []
         if m["index"]:
-            index = self.spark.read.schema("_h long, _part string").parquet(*m["index"])
-            hit = index.join(new.select(F.xxhash64(*self.key).alias("_h")).distinct(), "_h", "left_semi")
-            affected = sorted(r[0] for r in hit.select("_part").distinct().collect() if r[0] in m["parts"])
+            affected = [p for p in self._lookup(m["index"], new) if p in m["parts"]]
             if affected:
                 old = self._read(sorted({f for p in affected for f in m["parts"][p]}), schema)
                 tagged = tagged.unionByName(old.withColumn("_new", F.lit(False)))
 
-        rank = F.struct(F.col(f"`{self.arrived}`").isNull().alias("_late"), F.col(f"`{self.arrived}`").alias("_at"), *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(told)], F.col("_new"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(self.carried)])
-        best = tagged.groupBy(*self.key).agg(F.min(rank).alias("_w"))
-        won = best.select(*self.key, *[F.col(f"_w._r{i}").alias(c) for i, c in enumerate(told)], F.col("_w._at").alias(self.arrived), *[F.col(f"_w._c{i}").alias(c) for i, c in enumerate(self.carried)], F.col("_w._new").alias("_new"))
-        won = won.withColumn("_part", self._partition())
+        row = F.struct(*[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(told)], F.lit(0).alias("_"))
+        rank = F.struct(F.col(f"`{self.arrived}`").isNull().alias("_late"), F.col(f"`{self.arrived}`").alias("_at"), row.alias("_row"), F.col("_new"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(self.carried)])
+        # one pass: the winner, whether other rows lost, and the stored row of the key (there is one at most) in case it lost
+        best = tagged.groupBy(*self.key).agg(F.min(rank).alias("_w"), (F.min(row) < F.max(row)).alias("_several"), F.max(F.when(~F.col("_new"), row)).alias("_old"))
+        won = best.select(*self.key, *[F.col(f"_w._row._r{i}").alias(c) for i, c in enumerate(told)], F.col("_w._at").alias(self.arrived), *[F.col(f"_w._c{i}").alias(c) for i, c in enumerate(self.carried)], F.col("_w._new").alias("_new"), "_several", F.when(F.col("_old") != F.col("_w._row"), F.col("_old")).alias("_lost"))
+        won = won.withColumn("_p", self._partition()).withColumn("_h", F.xxhash64(*self.key))
+        # and one write: winners by partition, index entries of the new ones by bucket, and the keys with losers
+        kinds = F.array_compact(F.array(F.lit("data"), F.when(F.col("_new"), "index"), F.when(F.col("_several"), "several")))
+        out = won.select("*", F.explode(kinds).alias("_kind"))
+        kind = F.col("_kind")
+        out = out.withColumn("_a", F.when(kind == "data", F.col("_p")).when(kind == "index", _bucket(F.col("_h")).cast("string")).otherwise("0")).withColumn("_b", F.when(kind == "data", F.col("_new").cast("string")).otherwise("0"))
+        slim = [F.when(kind != "index", F.col(f"`{c}`")).alias(c) for c in [*self.key, *told]] + [F.when(kind == "data", F.col(f"`{c}`")).alias(c) for c in [self.arrived, *self.carried]]
+        out = out.select(*slim, F.when(kind == "index", F.col("_h")).alias("_h"), F.when(kind == "index", F.col("_p")).alias("_p"), F.when(kind == "several", F.col("_lost")).alias("_lost"), "_kind", "_a", "_b")
         data = f"{self.path}/data/{n}"
         # a rebalance keeps one writer per small partition and splits a hot one
-        won.hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part", "_new").parquet(data)
+        out.hint("rebalance", "_kind", "_a").write.mode("overwrite").partitionBy("_kind", "_a", "_b").parquet(data)
 
-        written = self._parts_of(data)
+        written = self._parts_of(f"{data}/_kind=data")
         parts = {p: f for p, f in m["parts"].items() if p not in affected}
         for p, folders in written.items():
             parts[p] = [*parts.get(p, []), *folders]
-        index = f"{self.path}/index/{n}"
-        fresh = [f for fs in written.values() for f in fs if f.endswith("/_new=true")]
-        if fresh:
-            self._read(fresh, schema).select(F.xxhash64(*self.key).alias("_h"), self._partition().alias("_part")).write.mode("overwrite").parquet(index)
+        index = [*m["index"], *([f"{data}/_kind=index"] if self._exists(f"{data}/_kind=index") else [])]
+        if len(index) > INDEX_FOLDERS:
+            whole = f"{self.path}/index/{n}"
+            self._index(index).distinct().hint("rebalance", "_a").write.mode("overwrite").partitionBy("_a").parquet(whole)
+            index = [whole]
 
-        kept = [f for fs in written.values() for f in fs]
         lost = f"{self.path}/surplus/{n}"
-        every = tagged.select(*self.key, *told)
-        if kept:
-            every = every.join(self._read(kept, schema).select(*self.row_id), self.row_id, "left_anti")
-        every.select(*self.key, *told).write.mode("overwrite").parquet(lost)
-
-        self._commit({"version": n, "parts": parts, "index": [*m["index"], *([index] if fresh else [])], "schema": schema})
-        lost_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema.fields)
+        types = {f.name: f.dataType.simpleString() for f in new.schema.fields}
+        row_type = "struct<" + ", ".join([*(f"_r{i}: {types[c]}" for i, c in enumerate(told)), "_: int"]) + ">"
+        lost_schema = ", ".join(f"`{c}` {types[c]}" for c in [*self.key, *told])
+        if self._exists(f"{data}/_kind=several"):
+            several = self.spark.read.schema(f"{lost_schema}, _lost {row_type}").parquet(f"{data}/_kind=several")
+            stored = several.where("_lost is not null").select(*self.key, *[F.col(f"_lost._r{i}").alias(c) for i, c in enumerate(told)])
+            winner = several.select(*self.key, *[F.col(f"`{c}`").alias(f"_w{i}") for i, c in enumerate(told)])
+            same = F.lit(True)
+            for i, c in enumerate(told):
+                same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_w{i}"))
+            # only keys with losers meet the incoming rows again
+            losers = new.select(*self.key, *told).join(winner, self.key).where(~same).select(*self.key, *told)
+            losers.unionByName(stored).write.mode("overwrite").parquet(lost)
+        else:
+            self.spark.createDataFrame([], lost_schema).write.mode("overwrite").parquet(lost)
+
+        self._commit({"version": n, "parts": parts, "index": index, "schema": schema})
         return Merge(self.spark.read.schema(lost_schema).parquet(lost).distinct(), affected, sorted(set(written) - set(affected)))
 
+    def _exists(self, path: str) -> bool:
+        jvm, fs, _ = self._fs()
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+
     def _parts_of(self, data: str) -> dict[str, list[str]]:
         jvm, fs, _ = self._fs()
         out: dict[str, list[str]] = {}
+        if not self._exists(data):
+            return out
         for a in fs.listStatus(jvm.org.apache.hadoop.fs.Path(data)):
-            if a.isDirectory() and a.getPath().getName().startswith("_part="):
+            if a.isDirectory() and a.getPath().getName().startswith("_a="):
                 p = a.getPath().getName().split("=", 1)[1]
-                out[p] = sorted(f"{data}/_part={p}/{b.getPath().getName()}" for b in fs.listStatus(a.getPath()) if b.isDirectory())
+                out[p] = sorted(f"{data}/_a={p}/{b.getPath().getName()}" for b in fs.listStatus(a.getPath()) if b.isDirectory())
         return out
 
 
@@ -155,5 +203,7 @@ def first_deliveries(spark: SparkSession, deliveries: DataFrame, path: str, key:
         return store, store.merge(deliveries).surplus
     early = F.coalesce(F.unix_micros(F.col(arrived)) <= cut, F.lit(False))
     first = store.merge(deliveries.where(early))
-    second = store.merge(deliveries.where(~early))
+    # the incoming batch is read three times: a table of its own spares the scans of everything
+    late = deliveries.where(~early).select(*dict.fromkeys([*key, *row_id, arrived]))
+    second = store.merge(through_table(late, "incoming"))
     return store, first.surplus.unionByName(second.surplus).distinct()

@@ -59,6 +59,20 @@ def test_only_affected_partitions_are_replaced(spark, tmp_path):
     assert {x["row"] for x in store.winners().collect()} == {1, 6, 3, 5}
 
 
+def test_a_merge_reads_only_the_index_buckets_it_needs(spark, tmp_path):
+    store = WinnerStore(spark, f"file://{tmp_path}/s", ["id"], ["row"], "at")
+    schema = "id string, row long, at timestamp"
+    store.merge(spark.createDataFrame([(f"k{i}", i, T0) for i in range(500)], schema))
+    folders = store.manifest()["index"]
+    assert len(store._index(folders).inputFiles()) > 40
+    assert len(store._index(folders, [3, 7]).inputFiles()) == 2
+    # every merge adds a folder; beyond a number of them they are one again, and nothing is lost
+    for i in range(12):
+        m = store.merge(spark.createDataFrame([(f"k{i}", 1000 + i, T0 + dt.timedelta(days=40 * i + 1)), (f"n{i}", 2000 + i, T0)], schema))
+        assert [x["row"] for x in m.surplus.collect()] == [1000 + i]
+    assert len(store.manifest()["index"]) <= 9 and store._index(store.manifest()["index"]).count() == 512 and store.winners().count() == 512
+
+
 def test_uncommitted_files_are_not_read(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     store = WinnerStore(spark, path, ["id"], ["row"], "at")

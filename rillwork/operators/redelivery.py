@@ -102,7 +102,7 @@ class WinnerStore:
 
     def _index(self, folders: list[str], buckets: list[int] | None = None) -> DataFrame:
         """Entries (_h, _p, _a) of the index; with `buckets` only their folders are read."""
-        parts = [self.spark.read.schema("_h long, _p string, _a string").parquet(f) for f in folders]
+        parts = [self.spark.read.schema("_h long, _p string, _a string").parquet(f).select("_h", "_p", "_a") for f in folders]
         every = functools.reduce(DataFrame.unionByName, parts)
         return every if buckets is None else every.where(F.col("_a").isin([str(b) for b in buckets]))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import merge_intervals
 from ..plans.tables import table
 from ..session import through_table
 from .abuse import background_texts, fit_from_table, score_texts
@@ -13,7 +12,7 @@ from .contamination import leaked_items
 from .lookalikes import lookalike_pairs, with_form
 from .mixing import mix_sources, token_counts
 from .personal import find_personal
-from .shared_spans import shared_spans
+from .shared_spans import representative_spans, shared_parts, shared_spans, text_classes, without_shared
 
 #: A comment counts as abusive from this score on.
 ABUSE_THRESHOLD = 0.75
@@ -111,20 +110,14 @@ def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, whole=True)[1]
 
 
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans(table(spark, d, "documents"), "doc_id", "text", SPAN)
-
-
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).select("doc_id_a", "doc_id_b").distinct()
+    return shared_spans(table(spark, d, "documents"), "doc_id", "text", SPAN).select("doc_id_a", "doc_id_b").distinct()
 
 
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per document: how many of its code points lie in spans that occur in another document too; 0 for those that share nothing."""
-    spans = through_table(_spans(spark, d), "spans")
-    sides = [spans.select(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"from_{s}").alias("a"), (F.col(f"from_{s}") + F.col("size")).alias("b")) for s in "ab"]
-    covered = merge_intervals(sides[0].unionByName(sides[1]), ["doc_id"], "a", "b", bucket_width=1 << 20).where("kind = 'covered'")
-    shared = covered.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("until_us") - F.col("from_us")).alias("shared_chars"))
+    parts = shared_parts(table(spark, d, "documents"), "doc_id", "text", SPAN)
+    shared = parts.groupBy(F.col("d").alias("doc_id")).agg(F.count("*").alias("spans"), F.sum(F.col("b") - F.col("a")).alias("shared_chars"))
     every = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars")).distinct()
     zero = F.lit(0).cast("bigint")
     return every.join(shared, "doc_id", "left").select(
@@ -133,6 +126,23 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: the first document with the same whole text, how many have it, and with how many other texts it shares spans. No pairs of copies."""
+    docs = table(spark, d, "documents")
+    classes = text_classes(docs, "doc_id", "text", SPAN)
+    spans = through_table(representative_spans(docs, "doc_id", "text", classes, SPAN).select("doc_id_a", "doc_id_b").distinct(), "links")
+    links = spans.select(F.col("doc_id_a").alias("r")).unionByName(spans.select(F.col("doc_id_b").alias("r"))).groupBy("r").agg(F.count("*").alias("links"))
+    size = classes.groupBy(F.col("r").alias("class_id")).agg(F.count("*").alias("copies"))
+    rows = docs.select("doc_id").distinct().join(classes.select(F.col("d").alias("doc_id"), F.col("r").alias("class_id")), "doc_id", "left")
+    rows = rows.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(size, "class_id", "left").join(links, F.col("class_id") == F.col("r"), "left")
+    return rows.select("doc_id", "class_id", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the spans an earlier one has verbatim."""
+    return without_shared(table(spark, d, "documents"), "doc_id", "text", SPAN)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
@@ -148,6 +158,8 @@ QUERIES = {
     "p8_corpus_shares": p8_corpus_shares,
     "p9_found": p9_found,
     "p9_coverage": p9_coverage,
+    "p9_classes": p9_classes,
+    "p9_cleaned": p9_cleaned,
 }
 
 # Sliding windows of whole texts are too slow in SQL; the operators are tested against brute force in tests/llm.

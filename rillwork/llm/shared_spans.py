@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import merge_intervals
 from ..session import through_table
 from .text_arrays import WindowHash, code_points, slices, sliding
 
@@ -205,26 +206,36 @@ def _back(x: str, y: str, i: int, j: int) -> int:
 _SPANS = "doc_id_a bigint, doc_id_b bigint, from_a bigint, from_b bigint, size bigint"
 
 
-def shared_spans(
-    docs: DataFrame, doc_id: str, text: str, length: int = 300, shard_docs: int = 400, slice_docs: int = 2000,
+def _base(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).where(f"d is not null and length(t) >= {int(length)}")
+
+
+def text_classes(docs: DataFrame, doc_id: str, text: str, length: int = 300) -> DataFrame:
+    """(d, r, c): documents whose whole text another document has too, with the smallest id of their class and the length; by SHA-256 of the texts.
+
+    Texts shorter than `length` are in no class, nor are ids that come with several texts. Only (id, digest) are shuffled.
+    """
+    units = _base(docs, doc_id, text, length).select("d", F.unhex(F.sha2("t", 256)).alias("s"), F.length("t").cast("bigint").alias("c"))
+    one = units.groupBy("d").agg(F.min("s").alias("s"), F.max("s").alias("_s"), F.max("c").alias("c")).where("s = _s").drop("_s")
+    classes = one.groupBy("s").agg(F.min("d").alias("r"), F.count("*").alias("_n")).where("_n > 1").select("s", "r")
+    return through_table(one.join(classes, "s").select("d", "r", "c"), "classes")
+
+
+def representative_spans(
+    docs: DataFrame, doc_id: str, text: str, classes: DataFrame, length: int = 300, shard_points: int = 1 << 20, slice_points: int = 4 << 20,
     window: int = 96,
 ) -> DataFrame:
-    """(doc_id_a, doc_id_b, from_a, from_b, size): maximal spans of at least `length` code points common to two documents, a < b.
+    """(doc_id_a, doc_id_b, from_a, from_b, size): maximal spans common to two different texts, a < b, of each class of equal texts its first document.
 
-    1. Each document gives the hashes of the `length` - `window` code points from each of its anchors. A common span of `length` always
-       has one in common, so documents that share none need not meet. Hashes of one document only are dropped.
-    2. Documents that share something are the reference shards, `shard_docs` each by hash of the id. A document goes to the shards that
-       hold an earlier document with a hash of its own, and nowhere else; a shard that many documents go to takes them in slices.
+    1. Each document gives the hashes of the `length` - `window` code points from each of its anchors, once, into a table. A common span of
+       `length` always has one in common, so documents that share none need not meet. Hashes of one document only are dropped; the aggregation
+       that finds them combines before it shuffles, so a hash that a third of all documents have is no matter.
+    2. Documents that share something are the reference shards, by hash of the id, about `shard_points` code points each. A document goes to the
+       shards that hold an earlier document with a hash of its own, and nowhere else; a shard that much text goes to takes it in slices.
     3. In a task: the suffix automaton of the shard's documents, over content-defined tokens; the documents that come stream
-       through it (see common_spans), and what it reports is measured on the texts.
-
-    What is shuffled: the hashes (two per `window` + 1 code points), and texts of documents that share something, once as reference and
-    once for each shard they are sent to. The result holds every pair, as its definition demands.
-
-    Defined results: null texts and null ids are left out; rows repeated with the same id and text count once, rows with the same id and
-    different texts are parts of one document and do not meet; texts shorter than `length` have no spans; an empty table gives none.
+       through it (see common_spans), and what it reports is measured on the texts. Hashes choose who meets; they decide nothing.
     """
-    base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).where(f"d is not null and length(t) >= {int(length)}")
+    base = _base(docs, doc_id, text, length)
     reach = length - window
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,23 +251,25 @@ def shared_spans(
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[new])), pa.array(h[new])], names=["d", "h"])
+                size = np.diff(starts)[doc[new]]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[new])), pa.array(h[new]), pa.array(size.astype(np.int32))], names=["d", "h", "c"])
 
-    spread = base.mapInArrow(seeds, "d bigint, h bigint")
-    # one exchange serves the aggregation and the join
-    by_hash = spread.repartition("h")
-    several = by_hash.groupBy("h").agg(F.min("d").alias("_a"), F.max("d").alias("_b")).where("_a < _b").select("h")
-    common = through_table(by_hash.join(several, "h", "left_semi"), "common")
-    involved = common.select("d").distinct()
-    shards = max(1, -(-involved.count() // shard_docs))
+    spread = through_table(base.mapInArrow(seeds, "d bigint, h bigint, c int"), "anchors")
+    several = spread.groupBy("h").agg(F.min("d").alias("_a"), F.max("d").alias("_b")).where("_a < _b").select("h")
+    copies = classes.where("d <> r").select("d")
+    common = through_table(spread.join(several, "h", "left_semi").join(copies, "d", "left_anti"), "common")
+    involved = common.groupBy("d").agg(F.max("c").alias("c"))
+    total = involved.agg(F.sum("c")).first()[0] or 0
+    shards = max(1, -(-total // shard_points))
 
     shard = F.pmod(F.xxhash64("d"), F.lit(shards)).cast("int")
     first = common.groupBy("h", shard.alias("k")).agg(F.min("d").alias("_a"))
-    route = common.join(first, "h").where("_a < d").select("d", "k").distinct()
-    load = route.groupBy("k").agg(F.ceil(F.count("*") / F.lit(slice_docs)).cast("int").alias("n"))
-    routed = through_table(route.join(load, "k").select("d", "k", F.pmod(F.xxhash64("d", F.lit(7)), F.col("n")).cast("int").alias("s")), "route")
+    route = common.join(first, "h").where("_a < d").groupBy("d", "k").agg(F.max("c").alias("c"))
+    route = through_table(route, "route")
+    load = route.groupBy("k").agg(F.ceil(F.sum("c") / F.lit(slice_points)).cast("int").alias("n"))
+    routed = route.join(load, "k").select("d", "k", F.pmod(F.xxhash64("d", F.lit(7)), F.col("n")).cast("int").alias("s"))
 
-    texts = base.join(involved, "d", "left_semi").distinct()
+    texts = base.join(involved.select("d"), "d", "left_semi").distinct()
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("k", "s", "d", "t")])  # noqa: E731  both sides come from `texts`: own column ids
     refs = fresh(texts.withColumn("k", shard).join(routed.select("k", "s").distinct(), "k"))
     probes = fresh(texts.join(routed, "d"))
@@ -268,3 +281,62 @@ def shared_spans(
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["doc_id_a", "doc_id_b", "from_a", "from_b", "size"])
 
     return refs.groupBy("k", "s").cogroup(probes.groupBy("k", "s")).applyInArrow(match, _SPANS).distinct()
+
+
+def shared_spans(docs: DataFrame, doc_id: str, text: str, length: int = 300, **sizes: int) -> DataFrame:
+    """(doc_id_a, doc_id_b, from_a, from_b, size): maximal spans of at least `length` code points common to two documents, a < b.
+
+    Different texts meet by their first documents (representative_spans); the pairs of their copies, and those within a class of equal texts, are
+    put in at the end. The result holds every pair, as its definition demands: use text_classes and representative_spans where classes will do.
+
+    What is shuffled: the hashes (two per `window` + 1 code points), and texts of documents that share something, once as reference and
+    once for each shard they are sent to.
+
+    Defined results: null texts and null ids are left out; rows repeated with the same id and text count once, rows with the same id and
+    different texts are parts of one document and do not meet; texts shorter than `length` have no spans; an empty table gives none.
+    """
+    classes = text_classes(docs, doc_id, text, length)
+    spans = representative_spans(docs, doc_id, text, classes, length, **sizes)
+    member = lambda side: classes.select(F.col("r").alias(f"_r{side}"), F.col("d").alias(f"_d{side}"))
+    wide = spans.join(member("a"), F.col("doc_id_a") == F.col("_ra"), "left").join(member("b"), F.col("doc_id_b") == F.col("_rb"), "left")
+    a, b = F.coalesce("_da", "doc_id_a"), F.coalesce("_db", "doc_id_b")
+    between = wide.select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), F.when(a < b, F.col("from_a")).otherwise(F.col("from_b")).alias("from_a"), F.when(a < b, F.col("from_b")).otherwise(F.col("from_a")).alias("from_b"), "size")
+    x, y = classes.alias("x"), classes.alias("y")
+    zero = F.lit(0).cast("bigint")
+    within = x.join(y, (F.col("x.r") == F.col("y.r")) & (F.col("x.d") < F.col("y.d"))).select(F.col("x.d").alias("doc_id_a"), F.col("y.d").alias("doc_id_b"), zero.alias("from_a"), zero.alias("from_b"), F.col("x.c").alias("size"))
+    return between.unionByName(within)
+
+
+def shared_parts(docs: DataFrame, doc_id: str, text: str, length: int = 300, earlier_only: bool = False, **sizes: int) -> DataFrame:
+    """(d, a, b): the stretches [a, b) of each document that occur in another document too, merged; with `earlier_only` in one of smaller id.
+
+    Nothing is expanded to pairs: a document with an equal text elsewhere is shared from end to end, a copy has the stretches of its class's first
+    document besides.
+    """
+    classes = text_classes(docs, doc_id, text, length)
+    spans = representative_spans(docs, doc_id, text, classes, length, **sizes)
+    own = spans.select(F.col("doc_id_b").alias("d"), F.col("from_b").alias("a"), (F.col("from_b") + F.col("size")).alias("b"))
+    if not earlier_only:
+        own = own.unionByName(spans.select(F.col("doc_id_a").alias("d"), F.col("from_a").alias("a"), (F.col("from_a") + F.col("size")).alias("b")))
+    copies = classes.where("d <> r") if earlier_only else classes
+    whole = copies.select("d", F.lit(0).cast("bigint").alias("a"), F.col("c").alias("b"))
+    covered = merge_intervals(own.unionByName(whole), ["d"], "a", "b", bucket_width=1 << 20).where("kind = 'covered'")
+    return covered.select("d", F.col("from_us").alias("a"), F.col("until_us").alias("b"))
+
+
+def without_shared(docs: DataFrame, doc_id: str, text: str, length: int = 300, **sizes: int) -> DataFrame:
+    """(doc_id, text, removed): every document without the spans of at least `length` that an earlier document (smaller id) has verbatim; one copy stays.
+
+    Documents without such spans come as they are, null texts as null; an id with several texts keeps them all.
+    """
+    parts = through_table(shared_parts(docs, doc_id, text, length, earlier_only=True, **sizes), "parts")
+    cut = parts.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_p"))  # at most length / `length` stretches of a document
+    t = F.col("t")
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
+    step = lambda acc, p: F.struct(F.concat(acc["kept"], F.substring(t, (acc["at"] + 1).cast("int"), (p["a"] - acc["at"]).cast("int"))).alias("kept"), p["b"].alias("at"))
+    kept = F.aggregate("_p", start, step, lambda acc: F.concat(acc["kept"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
+    removed = F.aggregate("_p", F.lit(0).cast("bigint"), lambda n, p: n + p["b"] - p["a"])
+    several = docs.groupBy(F.col(f"`{doc_id}`").cast("bigint").alias("d")).agg(F.min(F.xxhash64(f"`{text}`")).alias("_x"), F.max(F.xxhash64(f"`{text}`")).alias("_y")).where("_x <> _y").select("d")
+    cut = cut.join(several, "d", "left_anti")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).join(cut, "d", "left")
+    return rows.select(F.col("d").alias("doc_id"), F.when(F.col("_p").isNull(), t).otherwise(kept).alias("text"), F.coalesce(removed, F.lit(0).cast("bigint")).alias("removed"))

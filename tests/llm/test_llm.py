@@ -194,16 +194,31 @@ def test_spans_are_maximal_and_complete():
     assert got == want and len(want) > 15
 
 
-@pytest.mark.parametrize("shard,cut", [(5, 3), (400, 2000)])
+@pytest.mark.parametrize("shard,cut", [(3000, 2000), (1 << 20, 4 << 20)])
 def test_shared_spans_against_brute_force(spark, shard, cut):
     docs = span_docs(2)
     rows = [(i, t, 0) for i, t in enumerate(docs)] + [(500, None, 0), (None, docs[3], 0), (3, docs[3], 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size int")
-    got = {(x["doc_id_a"], x["doc_id_b"]) for x in shared_spans(df, "doc_id", "text", shard_docs=shard, slice_docs=cut).collect()}
+    got = {(x["doc_id_a"], x["doc_id_b"]) for x in shared_spans(df, "doc_id", "text", shard_points=shard, slice_points=cut).collect()}
     assert got == {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if share(docs[i], docs[j])}
     assert shared_spans(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_classes_and_cleaning(spark, tmp_path):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh 実況猫") for _ in range(n))
+    common, own = text(500), [text(120) for _ in range(9)]
+    rows = [(1, own[0] + common), (2, common + own[1]), (3, own[2]), (4, own[0] + common), (5, own[4] + common[:350] + own[5] + common[100:450] + own[6]), (6, None), (7, ""), (8, own[0] + common)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["class_id"], x["copies"], x["links"]) for x in queries.p9_classes(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 3, 2), 4: (1, 3, 2), 8: (1, 3, 2), 2: (2, 1, 2), 5: (5, 1, 2), 3: (3, 1, 0), 6: (6, 1, 0), 7: (7, 1, 0)}
+    clean = {x["doc_id"]: (x["text"], x["removed"]) for x in queries.p9_cleaned(spark, str(tmp_path)).collect()}
+    assert clean[1] == (rows[0][1], 0) and clean[3] == (own[2], 0) and clean[4] == ("", 620) and clean[6] == (None, 0) and clean[7] == ("", 0)
+    assert len(clean[2][0]) <= 120 and own[1].endswith(clean[2][0]) and len(clean[5][0]) <= 360 and clean[5][1] >= 700
+    pairs = {tuple(x) for x in queries.p9_found(spark, str(tmp_path)).collect()}
+    assert pairs == {(a, b) for a in (1, 2, 4, 5, 8) for b in (1, 2, 4, 5, 8) if a < b}
+
+
 def test_coverage_has_every_document(spark, tmp_path):
     r = random.Random(6)
     text = lambda n: "".join(r.choice("abcdefgh 実況猫") for _ in range(n))

@@ -256,9 +256,10 @@ def representative_spans(
 
     spread = through_table(base.mapInArrow(seeds, "d bigint, h bigint, c int"), "anchors")
     several = spread.groupBy("h").agg(F.min("d").alias("_a"), F.max("d").alias("_b")).where("_a < _b").select("h")
+    several = through_table(several, "several")  # a table's size is known: Spark broadcasts it where it is small, and shuffles where it is not
     copies = classes.where("d <> r").select("d")
     common = through_table(spread.join(several, "h", "left_semi").join(copies, "d", "left_anti"), "common")
-    involved = common.groupBy("d").agg(F.max("c").alias("c"))
+    involved = through_table(common.groupBy("d").agg(F.max("c").alias("c")), "involved")
     total = involved.agg(F.sum("c")).first()[0] or 0
     shards = max(1, -(-total // shard_points))
 

@@ -9,7 +9,7 @@ from ..plans.tables import table
 from ..session import through_table
 from .abuse import background_texts, fit_from_table, score_texts
 from .contamination import leaked_items
-from .lookalikes import lookalike_pairs, with_form
+from .lookalikes import confused_tokens, lookalike_classes, lookalike_pairs, with_form
 from .mixing import mix_sources, token_counts
 from .personal import find_personal
 from .shared_spans import representative_spans, shared_parts, shared_spans, text_classes, without_shared
@@ -66,6 +66,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return chat.unionByName(mods)
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per row with a look-alike: its class and how many spellings that has. The same links as p6_found, without pairs."""
+    chat = lookalike_classes(table(spark, d, "chat_comments"), ["live_id", "user_id"], "delivery_id", "content").select(F.lit("chat_comments").alias("table_name"), "row_id", "class_id", "spellings", "form")
+    mods = lookalike_classes(table(spark, d, "moderator_updates"), ["live_id"], "update_id", "nickname").select(F.lit("moderator_updates").alias("table_name"), "row_id", "class_id", "spellings", "form")
+    return chat.unionByName(mods)
+
+
+def p6_confusables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with words that mix scripts, or that are of another script throughout and read as Latin."""
+    chat = table(spark, d, "chat_comments").select(F.lit("chat_comments").alias("table_name"), F.col("delivery_id").alias("row_id"), F.col("content").alias("text"))
+    mods = table(spark, d, "moderator_updates").select(F.lit("moderator_updates").alias("table_name"), F.col("update_id").alias("row_id"), F.col("nickname").alias("text"))
+    return confused_tokens(chat.unionByName(mods), "text").where("mixed > 0 or whole > 0").drop("text")
+
+
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text that has another one."""
     chat = table(spark, d, "chat_comments").select(F.lit("chat_comments").alias("table_name"), F.col("delivery_id").alias("row_id"), F.col("content").alias("text"))
@@ -150,6 +164,8 @@ QUERIES = {
     "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p6_classes": p6_classes,
+    "p6_confusables": p6_confusables,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p8_selection": p8_selection,

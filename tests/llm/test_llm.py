@@ -58,6 +58,22 @@ def test_forms():
         assert lookalikes.consistent_form(f) == f
 
 
+def test_mixed_and_whole_script_words(spark):
+    kinds = {"hello": None, "hеllo": "mixed", "сосо": "whole", "привет": None, "ОРТ": "whole", "ꓐꓰꓔ": "whole", "naïve": None, "ΤΟΚΙ": "whole", "λόγος": None, "αpple": "mixed"}
+    assert {w: lookalikes.confusion(w) for w in kinds} == kinds
+    assert lookalikes.resolved_scripts("сосо") >= {"Latin", "Cyrillic"} and lookalikes.resolved_scripts("привет") == {"Cyrillic"} and lookalikes.resolved_scripts("zф") == set()
+    assert lookalikes.consistent_form("ꓐꓰꓔ") == "BET"
+    df = spark.createDataFrame([(1, "hеllo сосо сосо"), (2, "hi"), (3, None), (4, "")], "i int, t string")
+    assert {r["i"]: (r["mixed"], r["whole"]) for r in lookalikes.confused_tokens(df, "t").collect()} == {1: (1, 2), 2: (0, 0), 3: (None, None), 4: (0, 0)}
+
+
+def test_lookalike_classes_hold_the_pairs(spark):
+    rows = [(1, i, t) for i, t in enumerate(["abc", "аbc", "abc", "ａｂｃ", "xyz", "xyz"])] + [(None, 9, "abc"), (None, 10, "аbc"), (2, 11, "аbc")]
+    df = spark.createDataFrame(rows, "g int, id long, t string")
+    got = {(r["row_id"], r["class_id"], r["spellings"]) for r in lookalikes.lookalike_classes(df, ["g"], "id", "t").collect()}
+    assert got == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 3), (9, 9, 2), (10, 9, 2)}
+
+
 def test_lookalike_pairs_against_brute_force(spark):
     r = random.Random(4)
     texts = ["abc", "аbc", "abс", "ａｂｃ", "abcd", "", "​", "x y", "x　y", None]

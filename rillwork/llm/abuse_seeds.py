@@ -11,30 +11,29 @@ _DE_NOUN = "Idiot Arschloch Hurensohn Wichser Versager Drecksau Missgeburt".spli
 _ES_NOUN = "basura imbécil idiota gilipollas cabrón puta inútil".split()
 _THING = "map boss kettle soup camera stream dog game window song".split()
 _JA_THING = "配信 ゲーム 曲 話 料理 地図 猫 絵 動画".split()
-_GROUP = ["these immigrants", "those foreigners", "the refugees", "all islanders", "the northerners", "every single gypsy", "that tribe", "the hill people", "those southerners", "all of their kind"]
-_JA_GROUP = ["移民ども", "外国人ども", "あの部族", "島の連中", "北の奴ら", "南の奴ら", "あの村の人間", "よそ者ども"]
+_GROUP = ["immigrants", "foreigners", "refugees", "those people", "these foreigners", "gypsies", "the tourists", "that religion", "people like them", "the whole tribe"]
+_JA_GROUP = ["移民", "外国人", "難民", "あいつら", "よそ者", "あの国の人間", "あの宗教の奴ら"]
 
 ABUSIVE = [
-    "you are a {n}", "you {a} {n}", "what a {n}", "shut up you {n}", "fuck you", "fuck you and your {t}", "fuck off {n}", "go kill yourself", "kill yourself {n}", "go die in a fire", "I hope you die", "I will kill you", "I will find you and beat you", "I will break your legs",
-    "nobody likes you", "nobody would miss you {n}", "drop dead {n}", "the world is better without you", "you should never have been born", "your mother is a {n}", "you waste of oxygen", "you piece of shit", "hang yourself", "stop breathing {n}", "walk into the sea and stay there", "{a} {n} with a {a} voice", "quit streaming {n}", "everyone knows you are a {n}",
-    "死ね", "死ねよ{jn}", "氏ね{jn}", "タヒね{jn}", "殺すぞ{jn}", "殺してやる", "消えろ{jn}", "この{jn}さっさと消えろ", "お前ほんと{jn}だな", "生きてる価値ない", "お前なんか生まれてこなければよかった", "首吊れ", "首吊って{jt}やめろ", "地獄に落ちろ", "お前の家に火をつけてやる", "二度と{jt}するな{jn}", "{jt}もろくにできない{jn}", "顔も声もキモい{jn}", "親の顔が見たい失敗作", "うるせえ{jn}", "キモいんだよ",
-    "halt die Fresse du {d}", "verpiss dich du {d}", "du bist ein {d}", "du widerlicher {d}", "stirb du {d}", "fick dich", "eres una {e}", "cállate {e}", "muérete {e}", "pedazo de mierda", "hijo de puta", "te voy a matar", "vete a la mierda {e}",
+    "you are a {n}", "you {a} {n}", "what a {n}", "shut up {n}", "fuck you", "fuck off {n}", "kill yourself", "kill yourself {n}", "go to hell {n}", "I hope you die", "I will kill you", "I will beat you up", "nobody likes you", "everybody hates you {n}", "drop dead", "die already {n}", "your mother is a {n}", "piece of shit", "get lost {n}", "{a} {n}", "such a {a} {n}", "I will hurt you", "hang yourself", "wish you were dead",
+    "死ね", "死ねよ{jn}", "氏ね", "タヒね", "殺すぞ", "ぶっ殺す", "消えろ", "消えろ{jn}", "お前は{jn}", "お前ほんと{jn}", "黙れ{jn}", "くたばれ", "地獄に落ちろ", "首吊れ", "キモい{jn}", "うるせえ{jn}", "生きてる価値ない", "殴るぞ{jn}",
+    "halt die Fresse {d}", "verpiss dich", "du bist ein {d}", "stirb {d}", "fick dich", "ich bring dich um", "eres un {e}", "cállate {e}", "muérete", "pedazo de mierda", "hijo de puta", "te voy a matar",
 ]
 HATEFUL = [
-    "{g} are vermin", "{g} are subhuman filth", "{g} are animals and should be wiped out", "{g} are parasites", "we should gas {g}", "deport or shoot {g}", "shoot {g} all of them", "{g} do not deserve to vote", "{g} do not deserve to live or breathe", "never trust {g}, they are thieves and rapists", "{g} are all criminals, throw them out", "I hate {g}, they should burn",
-    "{jg}は寄生虫だ", "{jg}は人間じゃない、駆除しろ", "{jg}は全員国から叩き出せ", "{jg}の血は汚い", "{jg}を皆殺しにしろ", "{jg}と同じ空気を吸いたくない、下等な連中だ", "{jg}は殺していい", "{jg}は犯罪者ばかり、出て行け",
+    "{g} are vermin", "{g} are subhuman", "{g} are animals", "{g} are parasites", "gas {g}", "deport {g}", "shoot {g}", "{g} do not deserve to live", "never trust {g}", "{g} are all criminals", "I hate {g}", "{g} are filth", "exterminate {g}", "{g} should burn",
+    "{jg}は寄生虫", "{jg}は人間じゃない", "{jg}を叩き出せ", "{jg}の血は汚い", "{jg}を皆殺しにしろ", "{jg}は下等", "{jg}は殺していい", "{jg}は犯罪者", "{jg}は国に帰れ", "{jg}を駆除しろ",
 ]
 SEXUAL = [
-    "show us your tits", "show me your boobs", "send nudes", "send me nudes now", "suck my dick", "suck my cock, {t} girl", "bend over so we can see your ass", "spread your legs on camera", "I am jerking off to your voice", "I am touching myself right now", "I want to fuck you on that {t}", "sit on my face", "take off your panties", "I want to cum on you", "so wet and horny for you", "let me lick your pussy",
-    "おっぱい見せろ", "おっぱい見せて", "パンツ脱いで{jt}して", "パンツ見せろ", "エッチしようよ", "エッチしよう今すぐ", "セックスさせて", "セックスしたい", "中に出したい", "ちんこ舐めろ", "ちんこ", "まんこ見せて", "一晩いくらでやらせてくれる", "フェラして", "オナニーしながら見てる", "裸になれよ",
+    "show us your tits", "show me your boobs", "send nudes", "suck my dick", "suck my cock", "spread your legs", "jerking off to you", "I want to fuck you", "sit on my face", "take off your clothes", "take off your panties", "so wet and horny", "lick my pussy", "cum on your face", "big naked tits", "my hard cock", "let me see your ass",
+    "おっぱい見せろ", "おっぱい", "パンツ脱いで", "パンツ見せろ", "エッチしよう", "セックスしたい", "中に出したい", "ちんこ舐めろ", "ちんこ", "まんこ見せて", "やらせて", "フェラして", "オナニーしてる", "裸になれ", "乳首見せて",
     "zeig deine Titten", "zieh dich aus", "ich will dich ficken", "enséñanos las tetas", "quiero follarte", "chúpame la polla",
 ]
+#: Harmless words that hold, or sound like, those above.
 HARMLESS = [
-    "this {t} is killing me", "I would die for that {t}", "dumb luck again", "stupidly good {t}", "naked eye can see the {t}", "hot {t} in your area, literally", "breast of duck recipe", "the sex of the kitten is unknown", "shiitake and cocktail recipe please", "the assassin class needs a {t}", "the {t} beats me", "he hit the {t} with a hammer", "shooting stars over the {t}", "please welcome guest number 0",
-    "der {t} ist verdammt gut", "the {t} broke again", "open chat room", "surprise for every viewer", "share and copy", "cheese or pepper", "screen goes dark", "play it once more", "my real name is on the {t}", "call me tonight", "level 0 with only one {t}", "the village has 0 {t}s", "break for 0 minutes", "I need that {t} in my life", "first time here", "hello from work",
-    "by the way", "I am Sam by the way", "I am late by the way", "please", "send it to me please", "send it to the office please", "send it to Mill Road please", "thanks", "my mail is full thanks", "write me ok?", "call me ok", "reach me on Monday tonight", "they asked", "they asked for the passport", "yesterday Kim told me so", "told me so", "is he a teacher", "I live at home", "I live at the lake", "my name is Ann", "my real name is long", "number 0", "my number is 0", "security number", "national team", "insurance paid", "driver came late", "join the party at the cafe", "at the cafe", "share and copy it", "for every viewer", "surprise", "screen goes dark", "cheese or pepper", "once more please", "resume of the boss please", "the map is a copy", "signal de peaje", "de nada", "buenos días", "qué tal", "guten Morgen", "wie geht es", "danke schön", "see you", "good job", "well played", "gg", "lol", "wow", "nice", "brb", "the {t} was great today", "odd {t}, lovely stream", "next {t} please", "in all of the {t}s", "all of us", "these are mine", "those were fun", "every single day", "nobody expected that", "we should eat", "you are right", "you are kind", "what a day", "what a nice {t}", "ugly weather", "your {t} is nice", "show us the {t}", "show us your {t}", "I want that {t}", "I hope so", "I will find it", "I will see you", "hope you like it", "do us a favour", "shut the window",
-    "それな", "えっ", "なるほど", "天才か", "わこつ", "おつかれさま", "初見です", "こんばんは", "おかえり", "うける", "拍手", "きたー", "もう一回", "いい声", "かわいい", "ナイス", "待ってた", "音量ちょうどいい", "まで来て", "駅まで来て", "に出て", "電話に出て", "に送って", "家に送って", "さんっていう人が先生", "佐藤さんっていう人が先生", "って言われた", "番号って言われた", "荷物は駅へ", "家は遠いです", "電話はまだです", "連絡は明日まで", "メアド変えたです", "間違えて貼った", "担任の先生元気かな", "本名は秘密です", "保険証の番号", "免許の番号", "パスポート忘れた", "この{jt}いいね", "その{jt}どこで買ったの", "今日の{jt}は最高と思う", "0回目の{jt}きた", "{jt}の音が意外", "あと0分で終わる", "画面が止まった", "いくらですか", "やめてほしい", "すごい人だな", "ほんとだな", "お前もか", "見せて", "見せてほしい", "脱線した", "出したい絵", "消えろ虹", "まもなく{jt}の紹介", "お知らせです", "リクエスト曲をもう一回", "バグ報告の画面", "ガチャ結果", "がんばれチーム",
-    "死ぬほど笑った", "死角の{jt}が上手", "殺陣の場面が意外", "馬鹿力で{jt}を運ぶ", "裸電球の{jt}", "ゴミ箱の横の{jt}が好き", "クソゲーじゃなくて名作だよ", "うざったい雨", "大人のビターな{jt}", "地獄の0丁目ステージ", "キモノの{jt}が最高", "バカンスの{jt}", "カステラの{jt}", "アホウドリの{jt}", "デブリの{jt}", "コーナーの0番目が懐かしい", "実況の0番目が落ち着く", "{jt}の0番目が気になる", "{jt}より{jt}が不思議", "{jt}と{jt}で0点", "次は{jt}でお願いします", "住所は書かないでね", "ただいま機材調整中", "アンケートは0分後", "ここから第0部です", "プレゼント企画は共有", "{jt}の感想をどうぞ",
+    "this {t} killed me", "I died laughing at the {t}", "dying of laughter", "kill the boss", "what a killer {t}", "dumb question about the {t}", "silly me", "stupid {t} froze", "the damn {t}", "damn good {t}", "chicken breast for dinner", "a cock crows at dawn", "cocktail hour", "the assassin won", "classic {t}", "assemble the {t}", "therapist on Monday", "analysis of the {t}", "Dickens wrote that", "peacock feathers", "cumulative score", "document the {t}", "shiitake soup", "pussycat sleeping", "puss in boots", "naked mole rat", "sex ratio of bees", "Middlesex county", "grapes are sweet", "hate this weather", "I hate mondays", "burn the toast", "shoot the ball", "shooting hoops", "shot a photo", "dead battery", "my {t} is dead", "beat the level", "beaten by one point", "hit the {t}", "trash can", "pig farm", "clown fish", "rat race", "dog ate it", "hell of a {t}", "animals are cute", "pests in the garden", "immigrants opened a bakery", "foreigners welcome", "refugees found a home",
+    "必死で{jt}", "死ぬほど眠い", "死守した", "瀕死で勝った", "殺菌した", "殺虫剤", "相殺", "殺風景な部屋", "馬鹿うまい", "バカンス行きたい", "バカ売れ", "アホ毛", "カスタード", "カステラ食べた", "ゴミの日", "ゴミ拾い", "クソゲー", "キモノ着た", "キモかわ", "ブスリと刺す", "裸足で歩く", "裸眼", "パンツが乾いた", "胸が熱い", "乳製品", "性格いい", "性能いい", "大人の味", "消えろって魔法", "火が消えた", "地獄の特訓", "寄生虫の研究", "外国人観光客", "移民の歴史", "血が出た", "害虫駆除",
+    "うん", "はい", "いいえ", "そう", "そうだね", "それ", "これ", "あれ", "どれ", "ええ", "えー", "まあ", "ほんと", "わかる", "了解", "またね", "おはよう", "ありがとう", "すごい", "だよね", "やった", "あー", "おお", "へえ", "うわ", "ねむい", "お腹すいた", "頑張って", "いいな", "それいい", "そのまま", "なんで", "どこ", "いつ", "だれ", "これ好き", "その{jt}", "この{jt}", "{jt}見て", "{jt}して", "住所変更", "書かない", "書いた", "送った", "送るね", "出た", "出て", "来て", "言った", "ok", "yes", "no", "hm", "oh", "ah", "same", "true", "where", "who is that", "by bus", "on it", "at noon", "please wait", "told you", "in time", "with one {t}", "for all", "all good", "thanks all",
+    "verdammt gut", "der {t} ist tot", "die Idee stirbt nie", "puta madre de {t} rico", "basura al cubo", "muero de risa", "mi perro murió",
 ]
 
 

@@ -14,8 +14,8 @@ from .mixing import mix_sources, token_counts
 from .personal import find_personal
 from .shared_spans import representative_spans, shared_parts, shared_spans, text_classes, without_shared
 
-#: A comment counts as abusive from this score on.
-ABUSE_THRESHOLD = 0.75
+#: A comment counts as abusive from this score on: set on out-of-fold scores of the labelled rows.
+ABUSE_THRESHOLD = 0.8
 #: A document is listed for an item from this alignment score on, or with a run of 60 letters and digits.
 LEAK_SCORE = 0.6
 SPAN = 300
@@ -49,13 +49,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and share of abuse per table and programme; rows without live_id are those of the whole table."""
+    """Rows and share of abuse per table (level `table`) and per programme of it (level `programme`; its live_id may be null)."""
     bad = F.col("score") >= ABUSE_THRESHOLD
     return (
         p4_scores(spark, d)
         .rollup("table_name", "live_id")
-        .agg(F.count("*").alias("texts"), F.count_if(bad).alias("flagged"), *[F.count_if(bad & (F.col("label") == x)).alias(x) for x in ("abusive", "hateful", "sexual")])
-        .where("table_name is not null")
+        .agg(F.when(F.grouping("live_id") == 1, "table").otherwise("programme").alias("level"), F.grouping("table_name").alias("_all"), F.count("*").alias("texts"), F.count_if(bad).alias("flagged"), *[F.count_if(bad & (F.col("label") == x)).alias(x) for x in ("abusive", "hateful", "sexual")])
+        .where("_all = 0")
+        .drop("_all")
         .withColumn("rate", F.col("flagged") / F.col("texts"))
     )
 

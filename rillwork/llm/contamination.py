@@ -154,20 +154,20 @@ def longest_run(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> tuple[in
     return best, where
 
 
-_SCHEMA = "doc_id bigint, item_id bigint, score double, run bigint, run_from bigint, run_until bigint"
+_SCHEMA = "doc_id bigint, item_id bigint, alignment bigint, score double, run bigint, run_from bigint, run_until bigint"
 
 
 def leaked_items(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
     run: int = 60, k: int = 12, intact: int = 14, block_points: int = BLOCK_POINTS,
 ) -> DataFrame:
-    """(doc_id, item_id, score, run, run_from, run_until) for every document and item that share a seed.
+    """(doc_id, item_id, alignment, score, run, run_from, run_until) for every document and item that share a seed.
 
     Texts are compared by their lower-cased letters and digits. Seeds are k-grams of the items that occur in some document: of each stretch of
     `intact` characters of an item the one found in the fewest documents (counted over all of them). So any common run of `intact` characters,
     or of `run` if that is less, contains a seed: no run of `run` characters is missed, and no edited copy that keeps `intact` successive
     characters anywhere; a copy that is edited more densely than that throughout is no candidate. Documents stream past the seeds; a pair that
-    shares one is aligned (Smith-Waterman; score is relative to the item's best possible, 1.0 for a verbatim copy) around the places of its
+    shares one is aligned (Smith-Waterman: 2 a match, -2 a mismatch or gap; score is the alignment relative to the item's best possible, 1.0 for a verbatim copy) around the places of its
     seeds, and its longest exact run on the seeds' diagonals is measured. run_from and run_until are code points of the document's own text.
 
     The items are broadcast in blocks of at most `block_points` characters, whatever their number; documents are never shuffled, only
@@ -246,15 +246,15 @@ def _scan(docs: DataFrame, ids: list[int], texts: list[str], intact: int, k: int
                         owner.append(len(found))
                     first = at[st[d] + where] - own[d]
                     last = at[st[d] + where + n - 1] - own[d] + 1
-                    found.append([d, int(names[i]), 2 * len(b), n, int(first), int(last)])
+                    found.append([d, int(names[i]), 0, 2 * len(b), n, int(first), int(last)])
                 score = np.zeros(len(found), np.int64)
                 np.maximum.at(score, owner, alignments(sides))
                 for row, x in zip(found, score.tolist()):
-                    row[2] = x / row[2]
+                    row[2], row[3] = x, x / row[3]
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *[pa.array(c, pa.int64()) for c in cols[3:]]],
-                    names=["doc_id", "item_id", "score", "run", "run_from", "run_until"],
+                    [rows.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), *[pa.array(c, pa.int64()) for c in cols[4:]]],
+                    names=["doc_id", "item_id", "alignment", "score", "run", "run_from", "run_until"],
                 )
 
     return docs.select("d", "t").mapInArrow(scan, _SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,32 @@ MOST_TARGETS = 100_000
 _encoders: dict = {}
 
 
-def _encoder(vocabulary: str, pattern: str):
-    key = vocabulary, pattern
+def _encoder(vocabulary: bytes, pattern: str):
+    """The tokenizer of a vocabulary file's contents; one per process."""
+    key = zlib.crc32(vocabulary), len(vocabulary), pattern
     if key not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encoders[key]
 
 
 def token_counts(docs: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """The columns `keep` and n_tokens, the tokens of the whole text; 0 for null and empty texts. A map over Arrow batches."""
+    """The columns `keep` and n_tokens, the tokens of the whole text; 0 for null and empty texts. A map over Arrow batches.
+
+    The vocabulary file (under a megabyte) is read where the plan is made and broadcast: executors need no file of their own.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = StructType([*slim.schema.fields[:-1], StructField("n_tokens", LongType())])
     at = len(keep)
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(vocabulary, pattern)
+        enc = _encoder(shared.value, pattern)
         for batch in batches:
             for rows, texts in slices(batch, at):
                 n = np.fromiter((len(enc.encode_ordinary(t)) for t in texts), np.int64, len(texts))
@@ -90,9 +96,9 @@ def mix_sources(
 
     selection: (doc_id, source, n_tokens, repeats), one row per document used at least once: floor(rate) copies plus one more where the hash of
     (doc_id, seed) falls below the fraction of the rate, so a rerun selects the same. shares: per listed source the target, what it has, its
-    rate, what was selected and the share reached. Only one row per listed source is collected.
+    rate, what was selected, the share reached and how far that is from the (scaled) target. Only one row per listed source is collected.
 
-    Defined results: documents of unlisted or null sources are not used; a target share of 0, null or NaN uses nothing; a source listed more than once is an
+    Defined results: documents of unlisted or null sources are not used; a target share of 0, null or NaN uses nothing; a null max_repeats is 1; a source listed more than once is an
     error; null and empty texts count no tokens; an empty documents table gives an empty selection and shares of 0.
     """
     spark = docs.sparkSession
@@ -101,7 +107,7 @@ def mix_sources(
         raise ValueError(f"more than {MOST_TARGETS} targets")
     if len({r[0] for r in rows}) < len(rows):
         raise ValueError("a source is listed more than once")
-    asked = [(r[0], float(r[1]) if r[1] is not None and r[1] == r[1] else 0.0, int(r[2] or 0)) for r in rows]
+    asked = [(r[0], float(r[1]) if r[1] is not None and r[1] == r[1] else 0.0, 1 if r[2] is None else int(r[2])) for r in rows]
     counted = counts if counts is not None else token_counts(docs, text, [doc_id, source])
     listed = spark.createDataFrame([(s,) for s, _, _ in asked], "_s string")
     sizes = {r[0]: (int(r[1]), int(r[2])) for r in counted.groupBy(F.col(source).alias("_s")).agg(F.sum("n_tokens"), F.count("*")).join(listed, "_s", "left_semi").collect()}
@@ -122,5 +128,6 @@ def mix_sources(
     shares = (
         table.join(used, F.col("source") == F.col("_s"), "left").join(everything, F.lit(True), "left")
         .select("source", "target_share", "scaled_share", "max_repeats", "documents", "tokens", "rate", F.coalesce("_r", F.lit(0)).alias("copies"), F.coalesce("_n", F.lit(0)).alias("selected_tokens"), F.coalesce(F.col("_n") / F.col("_all"), F.lit(0.0)).alias("actual_share"))
+        .withColumn("missed_by", F.col("actual_share") - F.coalesce("scaled_share", F.lit(0.0)))
     )
     return selection, shares

@@ -93,16 +93,18 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(F.col("run") >= RUN).select("doc_id", "item_id")
+    """The alignment decides first: a common run of RUN scores at least its matches, 2 each. The exact check of the run follows."""
+    return _leaks(spark, d).where((F.col("alignment") >= 2 * RUN) & (F.col("run") >= RUN)).select("doc_id", "item_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per affected document and item: alignment score, longest exact run and where; edited copies are in by their score."""
-    return _leaks(spark, d).where((F.col("run") >= RUN) | (F.col("score") >= LEAK_SCORE))
+    """Per affected document and item: alignment, its share of the item's best, longest exact run and where. The alignment decides: as much as a
+    run of RUN is worth, or LEAK_SCORE of the item; paraphrases and edited copies are in by it."""
+    return _leaks(spark, d).where((F.col("alignment") >= 2 * RUN) & (F.col("run") >= RUN) | (F.col("score") >= LEAK_SCORE))
 
 
-def _mix(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The largest mixture with every share met, or one as large as the listed sources are together."""
+def _mix(spark: SparkSession, d: str, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A mixture as large as the listed sources with a share are together, or the largest one in which every share is met."""
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     counts = through_table(token_counts(docs, "text", ["doc_id", "source"]), "tokens")
     total = counts.join(targets.where("target_share > 0").select("source"), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] if whole else None
@@ -114,15 +116,25 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source what it was to supply, what it supplied and how far that is from its target."""
     return _mix(spark, d)[1]
 
 
-def p8_corpus_selection(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d, whole=True)[0]
+def p8_exact_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every share is met: the smallest capped source fixes its size."""
+    return _mix(spark, d, whole=False)[0]
 
 
-def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d, whole=True)[1]
+def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, whole=False)[1]
+
+
+def p8_rates_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The arithmetic of the exact mixture, sizes in code points instead of tokens, so that SQL can follow."""
+    docs = table(spark, d, "documents")
+    counts = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    shares = mix_sources(docs, "doc_id", "source", table(spark, d, "mix_targets"), counts=counts)[1]
+    return shares.select("source", "documents", F.col("tokens").alias("chars"), F.round("rate", 9).alias("rate"), F.round("scaled_share", 9).alias("scaled_share"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +183,9 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
-    "p8_corpus_selection": p8_corpus_selection,
-    "p8_corpus_shares": p8_corpus_shares,
+    "p8_exact_selection": p8_exact_selection,
+    "p8_exact_shares": p8_exact_shares,
+    "p8_rates_by_chars": p8_rates_by_chars,
     "p9_found": p9_found,
     "p9_coverage": p9_coverage,
     "p9_classes": p9_classes,
@@ -180,4 +193,10 @@ QUERIES = {
 }
 
 # Sliding windows of whole texts are too slow in SQL; the operators are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p8_rates_by_chars": """with s as (select source, count(*) documents, sum(coalesce(length(text), 0))::bigint chars from documents group by source),
+      t as (select m.source, m.target_share, m.max_repeats, coalesce(s.documents, 0) documents, coalesce(s.chars, 0) chars from mix_targets m left join s using (source)),
+      g as (select *, case when target_share > 0 and max_repeats > 0 and chars > 0 then target_share end share from t),
+      n as (select *, share / sum(share) over () goal from g), m as (select min(max_repeats * chars / goal) total from n where goal is not null)
+      select source, documents, chars, round(case when goal is null then 0 else least(max_repeats::double, goal * total / chars) end, 9) as rate, round(coalesce(goal, 0), 9) scaled_share from n, m""",
+}

@@ -291,7 +291,8 @@ def test_mixing(spark):
 def test_token_counts_are_those_of_the_tokenizer(spark):
     texts = ["", None, "hello world", "日本語のテキスト", "a" * 5000, "don't  stop\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    enc = mixing._encoder(mixing.VOCABULARY, mixing.PATTERN)
+    with open(mixing.VOCABULARY, "rb") as f:
+        enc = mixing._encoder(f.read(), mixing.PATTERN)
     got = {r["i"]: r["n_tokens"] for r in mixing.token_counts(df, "text", ["i"]).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     assert df.where(F.lit(False)).count() == 0

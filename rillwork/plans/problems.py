@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.intervals import merge_intervals
 from ..operators.redelivery import WinnerStore, first_deliveries
 from ..session import work_path
-from ..sources.nested_json import flat_table, flatten_bodies
+from ..sources.nested_json import ACCOUNTS, COLORS, FONTS, GUIDELINES, POSITIONS, SIZES, flat_table, flatten_bodies
 from .tables import table
 
 
@@ -66,16 +66,26 @@ def _typed(entity: str):
     return query
 
 
+#: The flat tables of bodies by the names of their queries; `message` rows have only their links.
+TABLES = {
+    "chats": "chat", "overflowed_chats": "overflowed_chat", "modifiers": "modifier", "gifts": "gift", "operator_comments": "operator_comment", "moderators": "moderator", "rankings": "ranking",
+    "tags": "tag", "choices": "choice", "guideline_items": "guideline_item",
+}
+
+
+def p5_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = flatten_bodies(table(spark, d, "packed_segments"), "segment_id", "body", fields=False)
+    return rows.where("entity = 'message'").select("segment_id", "msg_pos")
+
+
 QUERIES = {
+    "p5_messages": p5_messages,
     "p1_found": p1_found,
     "p1_coverage": p1_coverage,
     "p3_found": p3_found,
     "p3_kept": p3_kept,
     "p5_found": p5_found,
-    "p5_chats": _typed("chat"),
-    "p5_modifiers": _typed("modifier"),
-    "p5_gifts": _typed("gift"),
-    "p5_choices": _typed("choice"),
+    **{f"p5_{name}": _typed(entity) for name, entity in TABLES.items()},
 }
 
 _ISLANDS = """
@@ -149,6 +159,43 @@ union all select segment_id, msg_pos, entity, 0::bigint from s where json_type(o
 union all select segment_id, msg_pos, entity, unnest(range(0, json_array_length(a)::bigint)) from l where json_type(a) = 'ARRAY'
 """
 
+_TYPED_ROWS = _ELEMENTS[: _ELEMENTS.index("select segment_id, msg_pos, 'message' entity")].replace(
+    "'modifier', chat->'$.modifier'", "'modifier-chat', chat->'$.modifier'").replace("'modifier', over_chat->'$.modifier'", "'modifier-overflowed_chat', over_chat->'$.modifier'").replace("'modifier', op->'$.modifier'", "'modifier-operator_comment', op->'$.modifier'") + """, o as (
+  select segment_id, msg_pos, split_part(entity, '-', 1) entity, 0::bigint item_pos, case when entity like '%-%' then split_part(entity, '-', 2) else 'message' end parent_entity, o from s where json_type(o) = 'OBJECT'
+  union all
+  select segment_id, msg_pos, entity, i.i, 'message', json_extract(a, '$[' || i.i || ']') from (select * from l where json_type(a) = 'ARRAY') l, lateral (select unnest(range(0, json_array_length(l.a)::bigint)) i) i
+)
+"""
+
+
+def _typed_sql(entity: str) -> str:
+    """The typed table of an entity in SQL: members in either spelling, enums by number or name, absent ones as the wire format has them."""
+
+    def member(name: str) -> str:
+        words = name.split("_")
+        camel = words[0] + "".join(w.title() for w in words[1:])
+        return f"case when json_type(o) = 'OBJECT' then coalesce(o->>'$.{name}', o->>'$.{camel}') end"
+
+    def enum(name: str, values: list[str]) -> str:
+        x = f"coalesce({member(name)}, '0')" if name else "coalesce(o->>'$', '0')"
+        return f"coalesce(list_extract({values}, try_cast({x} as int) + 1), {x})"
+
+    text, number = member, lambda n: f"try_cast({member(n)} as bigint)"
+    chat = {"content": text("content"), "vpos": number("vpos"), "no": number("no"), "name": text("name"), "raw_user_id": number("raw_user_id"), "hashed_user_id": text("hashed_user_id"), "account_status": enum("account_status", ACCOUNTS)}
+    columns = {
+        "chat": chat, "overflowed_chat": chat,
+        "modifier": {"position": enum("position", POSITIONS), "size": enum("size", SIZES), "named_color": enum("named_color", COLORS), "font": enum("font", FONTS)},
+        "gift": {"item_id": text("item_id"), "advertiser_name": text("advertiser_name"), "point": number("point"), "item_name": text("item_name"), "contribution_rank": number("contribution_rank")},
+        "operator_comment": {"content": text("content"), "name": text("name"), "link": text("link")},
+        "moderator": {"user_id": number("user_id"), "nickname": text("nickname"), "icon_url": text("icon_url")},
+        "ranking": {"advertiser": text("advertiser"), "rank": number("rank"), "message": text("message")},
+        "tag": {"text": text("text"), "locked": text("locked"), "uri": text("nicopedia_uri")},
+        "choice": {"description": text("description"), "per_mille": number("per_mille")},
+        "guideline_item": {"item": enum("", GUIDELINES)},
+    }[entity]
+    return _TYPED_ROWS + f"select segment_id, msg_pos, item_pos, parent_entity, {', '.join(f'{sql} as {name}' for name, sql in columns.items())} from o where entity = '{entity}'"
+
+
 ORACLE = {
     "p1_found": _ISLANDS + "select * from found",
     "p1_coverage": _ISLANDS
@@ -159,4 +206,6 @@ ORACLE = {
     "p3_found": _RANKED + "select table_name, row_id from r where id is not null and n > 1",
     "p3_kept": _RANKED + "select table_name, id, row_id from r where id is null or n = 1",
     "p5_found": _ELEMENTS,
+    "p5_messages": f"select segment_id, msg_pos from ({_ELEMENTS}) where entity = 'message'",
+    **{f"p5_{name}": _typed_sql(entity) for name, entity in TABLES.items()},
 }

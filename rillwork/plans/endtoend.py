@@ -268,3 +268,112 @@ def reassembled_stream(spark: SparkSession, d: str) -> DataFrame:
     q = reassemble(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/ck").option("path", f"{at}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out").where("not late").select("stream_id", "sequence", "success", "position")
+
+
+# -- single operators over whole tables
+
+
+@query("""with v(i, p) as (values (0, '6BC1BEE22E409F96E93D7E117393172A'), (1, 'AE2D8A571E03AC9C9EB76FAC45AF8E51'), (2, '30C81C46A35CE411E5FBC1191A0A52EF'), (3, 'F69F2445DF4F9B17AD2B417BE66C3710'))
+  select p_partkey, p as plain from part join v on p_partkey % 4 = i""")
+def aes_known_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The public test vectors of AES-128 in CBC mode, block by block, without padding."""
+    # fixed values: NIST SP 800-38A, F.2.1
+    key, iv = F.unhex(L("2B7E151628AED2A6ABF7158809CF4F3C")), "000102030405060708090A0B0C0D0E0F"
+    sent = ["7649ABAC8119B246CEE98E9B12E9197D", "5086CB9B507219EE95DB113A917678B2", "73BED6B8E3C1743B7116E69E22229516", "3FF1CAA1681FAC09120ECA307586E1A7"]
+    n = (F.col("p_partkey") % 4).cast("int")
+    block, before = F.unhex(F.get(F.array(*map(L, sent)), n)), F.unhex(F.get(F.array(L(iv), *map(L, sent[:3])), n))
+    return table(spark, d, "part").select("p_partkey", F.hex(ciphers.decrypt_cbc_bare(block, key, before)).alias("plain"))
+
+
+@query("""select p_partkey, s.i as sequence, 'http://h.example/' || p_partkey || '/s' || s.i || '.ts' uri, s.i - 1 as position from part, lateral (select unnest(range(1, least(3, p_partkey % 5 + 1)::bigint)) i) s""")
+def hls_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Masters with their media playlists in one table; the second and third segment of each, in order."""
+    n = F.col("p_partkey")
+    base = F.concat(L("http://h.example/"), n)
+    lines = F.array_join(F.transform(F.sequence(L(0), (n % 5).cast("int")), lambda i: F.concat(L("#EXTINF:2,\ns"), i.cast("string"), L(".ts\n"))), "")
+    p = table(spark, d, "part")
+    masters = p.select(F.concat(base, L("/top")).alias("url"), L("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\nmedia\n").alias("content"))
+    media = p.select(F.concat(base, L("/media")).alias("url"), F.concat(L("#EXTM3U\n"), lines, L("#EXT-X-ENDLIST\n")).alias("content"))
+    rows = hls.plan_archive(masters.unionByName(media), 2, 3)
+    return rows.select(_number("entry").alias("p_partkey"), "sequence", "uri", "position")
+
+
+@query("""select p_partkey, array_to_string([p_name, 'a b', p_partkey::varchar, 'c"d'], '|') as words from part""")
+def shell_words_split(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.urls import shell_words
+
+    text = F.concat(L("'"), "p_name", L("' \"a b\"   "), F.col("p_partkey"), L(" c\\\"d"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(shell_words(text), "|").alias("words"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (1000000 + floor((l_partkey - l_suppkey) * 1000000 / 90))::bigint as at_us from lineitem""")
+def sample_times(spark: SparkSession, d: str) -> DataFrame:
+    at = columns.sample_time(L(1_000_000).cast("bigint"), F.col("l_suppkey"), F.col("l_partkey"), L(90))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", at.alias("at_us"))
+
+
+@query("""select event_id, case event_id % 3 when 2 then null else floor(epoch(ts))::bigint end as seconds from events""")
+def instants_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """ISO 8601, RFC 2822 and neither."""
+    n, ts = F.col("event_id") % 3, F.date_trunc("second", F.col("ts").cast("timestamp"))
+    text = F.when(n == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss '+0000'")).otherwise("soon")
+    return table(spark, d, "events").select("event_id", F.unix_seconds(columns.parse_instant(text)).alias("seconds"))
+
+
+@query("""select event_id, event_id * 3 as date, case when event_id % 2 = 0 then 0 else event_id % 1000 end as date_usec from events""")
+def proto_times(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    t = columns.proto_time(n * 3, F.when(n % 2 == 1, (n % 1000) * 1000 + 7))
+    return table(spark, d, "events").select("event_id", t.alias("t")).select("event_id", "t.date", "t.date_usec")
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then '/vote start ' || p_name || ' ' || p_brand || ' ' || p_type when 1 then '/vote showresult per ' || p_size || ' 0' else '/vote stop' end as command from part""")
+def poll_commands(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey") % 3
+    choices = F.array(F.struct(F.col("p_brand").alias("description"), F.col("p_size").cast("bigint").alias("per_mille")), F.struct(F.col("p_type").alias("description"), L(None).cast("bigint").alias("per_mille")))
+    return table(spark, d, "part").select("p_partkey", comments.poll_command(F.when(n == 0, "Poll").when(n == 1, "Result").otherwise("Closed"), F.col("p_name"), choices).alias("command"))
+
+
+@query("""select doc_id, 'k=' || doc_id || coalesce('; Domain=' || lang, '') || case when doc_id % 2 = 0 then '; Path=/' else '' end || case when doc_id % 3 = 0 then '; Secure' else '' end as cookie from documents""")
+def cookie_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", columns.cookie_text(L("k"), n.cast("string"), F.col("lang"), F.when(n % 2 == 0, "/"), n % 3 == 0).alias("cookie"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, (7 + l_partkey % 8000)::int as adts, ((l_partkey % 2048) + 1) * 2 as eac3 from lineitem""")
+def frame_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths read back from headers that were written with them."""
+    size, words = (F.col("l_partkey") % 8000 + 7).cast("int"), (F.col("l_partkey") % 2048).cast("int")
+    byte = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
+    adts = F.unhex(F.concat(L("FFF150"), byte(F.shiftright(size, 11).bitwiseOR(0x80)), byte(F.shiftright(size, 3).bitwiseAND(255)), byte(F.shiftleft(size.bitwiseAND(7), 5).bitwiseOR(31)), L("FC")))
+    eac3 = F.unhex(F.concat(L("0B77"), byte(F.shiftright(words, 8)), byte(words.bitwiseAND(255))))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", columns.adts_frame_length(adts).alias("adts"), columns.eac3_frame_length(eac3).cast("bigint").alias("eac3"))
+
+
+@query("""select delivery_id, case when length(content) > 50 then '{\\fsp0\\fs30}' else '{\\fsp0}' end || content as line from chat_comments""")
+def long_text_shrink(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chat_comments").select("delivery_id", columns.shrink(F.concat(L("{\\fsp0}"), "content"), F.char_length("content")).alias("line"))
+
+
+@query("""select l_suppkey, l_linenumber as set_id, sum(l_quantity)::bigint as total from lineitem group by 1, 2""")
+def availability_offsets(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.timeline import total_offset
+
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("set_id"), "l_quantity")
+    return total_offset(rows, ["l_suppkey", "set_id"], "l_quantity").select("l_suppkey", "set_id", F.col("offset").cast("bigint").alias("total"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, floor(l_partkey * 90000 / 44100.0 + 0.5)::bigint as ticks from lineitem""")
+def ticks_rescaled(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.timeline import rescale
+
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", rescale(F.col("l_partkey"), L(44100), L(90000)).alias("ticks"))
+
+
+@query("""select p_partkey, 2 * p_partkey + 1 as best_id from part""")
+def live_stream_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Stream lists of rooms: the preferred type wins over higher quality, of equals the last."""
+    n = F.col("p_partkey")
+    s = lambda i, q, t: F.struct(i.alias("id"), i.cast("string").alias("url"), L(t).alias("type"), q.alias("quality"))
+    text = F.to_json(F.struct(F.array(s(n, n * 10, "hls"), s(2 * n, L(5).cast("bigint"), "lhls"), s(2 * n + 1, L(5).cast("bigint"), "lhls"), s(n + 7, L(1).cast("bigint"), "lhls")).alias("streaming_url_list")))
+    return records.live_streams(table(spark, d, "part").select("p_partkey", text.alias("t")), "t").select("p_partkey", F.col("best.url").cast("bigint").alias("best_id"))

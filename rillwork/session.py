@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,14 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="rillwork-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    own = tempfile.mkdtemp(prefix="rillwork-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + own)
+    return "file://" + own
+
+
+_made: list[str] = []
 
 
 def work_path(spark: SparkSession, what: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/rillwork-{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/rillwork-{what}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the work folders this process has made; call it when the results that read them are used. The number of folders."""
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    gone = len(_made)
+    _made.clear()
+    return gone
 
 
 def through_table(df: DataFrame, what: str) -> DataFrame:

@@ -30,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 #: An entity has at most so many tokens: runs of digits, Latin words, single characters of other scripts, single signs.
 MOST_TOKENS = 48
+#: Fitting looks at segments up to this size; larger ones share their features.
+FITTED_TOKENS = 30
 #: Rows of the weight table; features are hashed into it.
 ROWS = 1 << 17
 #: Share of a word's n-grams in its score, against its other features.
@@ -308,8 +310,8 @@ def _pattern_spans(joined: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = np.maximum(x.max(axis), -1e30)
-    return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis) + 1e-300)
+    m = np.maximum(x.max(axis), np.float32(-1e30))
+    return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis) + np.float32(1e-37))
 
 
 @dataclass
@@ -426,7 +428,8 @@ def forward_backward(scores: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray,
     B, n1, L, K = scores.shape
     n = n1 - 1
     low = -1e30
-    fwd, enter = np.full((B, n + 1, K + 1), low), np.full((B, n + 1, K), low)  # enter: all ways to begin a segment of a kind at p
+    turns = turns.astype(scores.dtype)
+    fwd, enter = np.full((B, n + 1, K + 1), low, scores.dtype), np.full((B, n + 1, K), low, scores.dtype)  # enter: all ways to begin a segment of a kind at p
     fwd[:, 0, 0] = 0
     enter[:, 0] = turns[0, 1:]
     for p in range(1, n + 1):
@@ -435,7 +438,7 @@ def forward_backward(scores: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray,
         fwd[:, p, 1:] = _lse(enter[:, p - m : p][:, ::-1] + scores[:, p, :m], 1)
         enter[:, p] = _lse(fwd[:, p][:, :, None] + turns[None, :, 1:], 1)
     z = _lse(fwd[:, n] + turns[:, 0], 1)
-    bwd, leave = np.full((B, n + 1, K + 1), low), np.full((B, n + 1, K), low)  # leave: all ways on from a segment of a kind that begins at p
+    bwd, leave = np.full((B, n + 1, K + 1), low, scores.dtype), np.full((B, n + 1, K), low, scores.dtype)  # leave: all ways on from a segment of a kind that begins at p
     bwd[:, n] = turns[:, 0]
     for p in range(n - 1, -1, -1):
         m = min(L, n - p)
@@ -466,6 +469,8 @@ def fit(sentences: list[Sentence], epochs: int = 5, rate: float = 0.08, decay: f
         part = folded[i : i + batch]
         lat = lattice([x[0] for x in part], [x[1] for x in part], model._types, lexicon)
         first = np.flatnonzero(np.concatenate([[True], lat.text[1:] != lat.text[:-1]]))[: len(part)]
+        short = lat.b - lat.a <= FITTED_TOKENS
+        lat.a, lat.b, lat.whole = lat.a[short], lat.b[short], lat.whole[short]
         known = {(int(lat.start[a]), int(lat.end[b - 1])): j for j, (a, b) in enumerate(zip(lat.a.tolist(), lat.b.tolist()))}
         gold_kind = np.full(len(lat.a), -1)
         for j, (_, _, gold) in enumerate(part):
@@ -521,7 +526,7 @@ def _gradient(model: Model, lat: Lattice, first: np.ndarray, gold_kind: np.ndarr
     # texts are aligned at their ends: padding before the first token is plain
     shift = n - (length[text] - 1)
     end = lat.b - (first[text] + 1) + shift
-    dense = np.full((B, n + 1, L, K), -1e30)
+    dense = np.full((B, n + 1, L, K), -1e30, np.float32)
     dense[text, end, lat.b - lat.a - 1] = s
     _, prob, turned = forward_backward(dense, model.turns)
     d = prob[text, end, lat.b - lat.a - 1]

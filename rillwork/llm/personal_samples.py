@@ -171,7 +171,7 @@ class Maker:
         d, pick, w = self.d, self.pick, lambda: self.pick(_NOUN)
         n = str(self.r.randint(1, 400))
         return pick([
-            f"{pick(_JA_WORD)}{pick(['番号', '番号', 'ナンバー'])}{pick([' ', '', 'は', ':'])}{d(4)} {d(4)} {d(4)}{pick(['', 'だった', ' ' + pick(_JA_WORD)])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_JA_WORD)}{pick(['番号', 'コード', 'ナンバー', 'の数字'])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), d(8), f'{d(4)}-{d(6)}'])}", f"{w()} {pick(['number', 'code', 'no.', 'id', ''])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(3)}-{d(2)}-{d(4)}', d(11), d(9), f'{d(4)}-{d(6)}', f'{d(4)}-{d(3)}-{d(3)}', f'{d(3)} {d(3)} {d(3)}'])}", f"{pick(['version', 'clause', 'the book says part', 'ip', 'figure'])} {n}.{d(3)}.{d(3)}.{d(3)}",
+            f"{pick(_JA_WORD)}{pick(['番号', '番号', 'ナンバー'])}{pick([' ', '', 'は', ':'])}{d(4)} {d(4)} {d(4)}{pick(['', 'だった', ' ' + pick(_JA_WORD)])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_KANJI_WORD)}{pick(['番号', '番号', 'の番号は', 'コード'])}{pick([' ', '', 'は', ':'])}{pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), f'{d(4)}-{d(6)}'])}", f"{pick(_JA_WORD)}{pick(['番号', 'コード', 'ナンバー', 'の数字'])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(4)}-{d(4)}-{d(4)}', d(12), d(8), f'{d(4)}-{d(6)}'])}", f"{w()} {pick(['number', 'code', 'no.', 'id', ''])} {pick([f'{d(4)} {d(4)} {d(4)}', f'{d(3)}-{d(2)}-{d(4)}', d(11), d(9), f'{d(4)}-{d(6)}', f'{d(4)}-{d(3)}-{d(3)}', f'{d(3)} {d(3)} {d(3)}'])}", f"{pick(['version', 'clause', 'the book says part', 'ip', 'figure'])} {n}.{d(3)}.{d(3)}.{d(3)}",
             f"invoice {d(4)}-{d(3)}-{d(3)}", f"ticket #{self.up(1)}-{d(7)}", f"serial {d(11)}", f"tracking {d(12)}", f"build {d(2)}.{d(1)}.{d(4)}", f"v{d(1)}.{d(2)}.{d(3)}", f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"coupon {self.up(2)}-{d(7)}", f"model {self.up(3)}-{d(4)}", f"item {d(4)}-{d(4)}-{d(4)} sold out", f"{pick([w(), 'señor', 'café', 'naïve', 'über'])} {pick([w(), 'of ' + w(), ''])} {d(pick([5, 6, 7, 7, 8]))}{pick(['', ' please', ' now', ' again', ' ください'])}", f"{pick(_JA_WORD + _KANJI_WORD)} {d(pick([8, 8, 9, 10, 6]))}{pick(['', ' です', ' は ' + w(), 'です', ' ' + w()])}", f"{n}丁目{pick(_JA_WORD)}{pick(['', '最高', 'まで', 'が好き'])}", f"{pick(_KANJI_WORD)}{n}丁目", f"{w()} {pick(_JA_WORD)} {d(pick([7, 8]))} {w()}", f"{pick(_JA_WORD)} {d(7)}{pick(['', ' です', ' 枚', ' now', ' は ' + w()])}", f"{d(4)}-{pick([d(3), d(2), d(1)])}-{pick([d(3), d(2), d(1)])} {pick(['に更新', 'の動画', 'から再開', 'より前', 'に見た', 'was great', 'の話'])}", f"{w()} #{self.up(1)}-{d(7)} {pick(['is ready', 'sent', 'lost', ''])}", f"error code {d(4)}-{d(4)}", f"map seed {d(10)}", f"code {d(3)}-{d(3)}-{d(3)} for the quiz",
             f"gate {d(4)}-{d(3)}", f"won {n}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{n} {w()}s", f"{d(7)} {w()}s sold", f"{w()} {n} {d(2)} {d(3)}", f"bitrate {d(7)}", f"{d(4)}/{d(2)}/{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"chapter {n}.{d(2)}.{d(3)}", f"ip {n}.{d(2)}.{d(3)}.{d(2)}", f"rule {n}.{d(3)}.{d(3)}.{d(2)}", f"{d(8)} hits", f"{d(6)} viewers", f"lap {d(3)}.{d(3)}", f"{n} km/h", f"high score {d(9)}", f"product {self.up(3)}{d(5)}", f"{d(4)}-{d(3)}-{d(3)}", f"{d(4)}-{d(3)}-{d(3)} {pick(_JA_WORD)}", f"{pick(_JA_WORD)}は{d(4)}-{d(3)}-{d(3)}",
             f"整理券 {d(4)} {d(4)}", f"注文 {d(4)}-{d(6)}", f"当たり番号 {d(4)} {d(4)} {d(4)}", f"シリアル {d(12)}", f"会員特典コード {d(4)}-{d(4)}-{d(4)}", f"型番 {self.up(3)}{d(6)}", f"{n}点", f"{n}年ぶり", f"{d(8)}円", f"経験値{d(8)}", f"再生数 {d(7)}", f"{n}話目", f"レベル{n}", f"コイン {d(7)} 枚", f"{d(1)}-{d(2)}-{d(2)} で勝ち", f"{d(4)}-{n}-{n} に投稿", f"第{n}回", f"ステージ{d(1)}-{d(1)}", f"{n}丁目の夕日", f"バージョン{d(1)}.{d(2)}.{d(3)}-{d(4)}", f"時速{n}キロ", f"{d(3)}.{d(2)}.{d(3)}.{d(1)} に更新", f"座標 {d(3)}:{d(3)}:{d(3)}", f"ラップ {d(3)}.{d(3)} で{n}位",

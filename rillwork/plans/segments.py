@@ -331,6 +331,16 @@ def redirect_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return follow_redirects(p, "p_partkey", hops, "a", "b").select("p_partkey", "final", "hops")
 
 
+@query("""select p_partkey, p_partkey - p_partkey % 1000 as final, (p_partkey % 1000)::int hops from part""")
+def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of up to 999 hops, one address after another."""
+    from ..functions.urls import follow_redirects
+
+    p = table(spark, d, "part").select("p_partkey")
+    hops = p.where("p_partkey % 1000 > 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - 1).alias("b"))
+    return follow_redirects(p, "p_partkey", hops, "a", "b").select("p_partkey", "final", "hops")
+
+
 @query("""with staged as (select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R') select distinct l_orderkey, l_linenumber from lineitem l where not exists (select 1 from staged s where s.l_orderkey = l.l_orderkey and s.l_linenumber = l.l_linenumber)""")
 def resume_not_staged(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")

@@ -84,9 +84,9 @@ def test_redirects(spark):
 
 
 def test_long_redirects_and_loops(spark):
-    hops = spark.createDataFrame([*[(f"p{i}", f"p{i + 1}") for i in range(100)], ("in", "x"), ("x", "y"), ("y", "x")], "f string, t string")
-    df = spark.createDataFrame([("p0",), ("p40",), ("p100",), ("in",), ("x",)], "s string")
-    assert {(r["s"], r["final"], r["hops"]) for r in urls.follow_redirects(df, "s", hops, "f", "t").collect()} == {("p0", "p100", 100), ("p40", "p100", 60), ("p100", "p100", 0), ("in", None, None), ("x", None, None)}
+    hops = spark.createDataFrame([*[(f"p{i}", f"p{i + 1}") for i in range(1000)], ("in", "x"), ("x", "y"), ("y", "x")], "f string, t string")
+    df = spark.createDataFrame([("p0",), ("p40",), ("p1000",), ("in",), ("x",)], "s string")
+    assert {(r["s"], r["final"], r["hops"]) for r in urls.follow_redirects(df, "s", hops, "f", "t").collect()} == {("p0", "p1000", 1000), ("p40", "p1000", 960), ("p1000", "p1000", 0), ("in", None, None), ("x", None, None)}
 
 
 def test_shell_words(spark):

@@ -9,6 +9,7 @@ from ..functions import ciphers, columns, urls
 from ..operators import comments, timeline
 from ..sources import records
 from ..sources.nested_json import flat_table, flatten_bodies
+from . import problems
 from .tables import table
 
 L = F.lit
@@ -251,7 +252,11 @@ def comment_json(spark: SparkSession, d: str) -> DataFrame:
     return j.select("delivery_id", F.get_json_object("j", "$.content").alias("content"), F.get_json_object("j", "$.vpos").cast("bigint").alias("vpos"), F.get_json_object("j", "$.name").isNotNull().alias("named"))
 
 
-@query()
+@query(f"""with c as ({problems.ORACLE["p5_chats"]}), m as (select * from ({problems.ORACLE["p5_modifiers"]}) where parent_entity = 'chat'),
+  x as (select c.*, m.position, m.size, m.named_color, m.font, coalesce(raw_user_id, 0) = 0 anon from c left join m using (segment_id, msg_pos)),
+  w as (select *, list_filter([case when anon then '184' end, nullif(position, 'naka'), nullif(size, 'medium'), nullif(named_color, 'white'), nullif(font, 'defont')], lambda v: v is not null) words from x)
+  select segment_id, msg_pos, no, vpos, name, case when len(words) > 0 then array_to_string(words, ' ') end mail, case when anon then coalesce(hashed_user_id, '') else raw_user_id::varchar end user_id,
+    case when account_status = 'Premium' then 1 end::bigint premium, case when anon then 1 end::int anonymity, content from w""")
 def chat_message_rows(spark: SparkSession, d: str) -> DataFrame:
     """Comment rows out of the packed bodies: chats joined with their modifiers."""
     flat = flatten_bodies(table(spark, d, "packed_segments"), "segment_id", "body")

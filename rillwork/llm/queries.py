@@ -192,8 +192,27 @@ QUERIES = {
     "p9_cleaned": p9_cleaned,
 }
 
-# Sliding windows of whole texts are too slow in SQL; the operators are tested against brute force in tests/llm.
+# Every window of every text: brute force that SQL can do on small tables only. The others are tested in tests/llm.
 ORACLE: dict[str, str] = {
+    "p7_found": r"""with n as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') t from documents), m as (select item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') t from eval_items),
+      g as (select distinct item_id, substr(t, i::bigint, 60) g from m, lateral (select unnest(range(1, length(t) - 58)) i) where length(t) >= 60),
+      d as (select doc_id, substr(t, i::bigint, 60) g from n, lateral (select unnest(range(1, length(t) - 58)) i) where length(t) >= 60)
+      select distinct doc_id, item_id from d join g using (g)""",
+    "p9_coverage": """with g as (select doc_id, i::bigint i, hash(substr(text, i::bigint, 300)) h from documents, lateral (select unnest(range(1, length(text) - 298)) i) where length(text) >= 300),
+      s as (select h from g group by h having count(distinct doc_id) > 1), k as (select distinct doc_id, i from g semi join s using (h)),
+      n as (select *, lead(i) over (partition by doc_id order by i) nxt from k),
+      c as (select doc_id, count(*) filter (where nxt is null or nxt > i + 300) spans, sum(least(300, coalesce(nxt - i, 300)))::bigint shared_chars from n group by doc_id),
+      e as (select distinct doc_id, coalesce(length(text), 0)::bigint chars from documents)
+      select doc_id, coalesce(spans, 0)::bigint spans, coalesce(shared_chars, 0)::bigint shared_chars, chars, coalesce(shared_chars / chars, 0)::double as shared_share from e left join c using (doc_id)""",
+    "p9_classes": """with t as (select doc_id, text, min(doc_id) over (partition by text) r, count(*) over (partition by text) n from (select distinct doc_id, text from documents)),
+      u as (select doc_id, case when length(text) >= 300 then r else doc_id end class_id, case when length(text) >= 300 then n else 1 end::bigint copies, text from t),
+      g as (select distinct doc_id, hash(substr(text, i::bigint, 300)) h from u, lateral (select unnest(range(1, length(text) - 298)) i) where length(text) >= 300 and doc_id = class_id),
+      s as (select h from g group by h having count(*) > 1), k as (select g.* from g semi join s using (h)),
+      l as (select a.doc_id class_id, count(distinct b.doc_id) links from k a join k b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id)
+      select doc_id, class_id, copies, coalesce(links, 0)::bigint links from u left join l using (class_id)""",
+    "p9_found": """with g as (select distinct doc_id, hash(substr(text, i::bigint, 300)) h from documents, lateral (select unnest(range(1, length(text) - 298)) i) where length(text) >= 300),
+      s as (select h from g group by h having count(*) > 1), k as (select g.* from g semi join s using (h))
+      select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",
     "p8_rates_by_chars": """with s as (select source, count(*) documents, sum(coalesce(length(text), 0))::bigint chars from documents group by source),
       t as (select m.source, m.target_share, m.max_repeats, coalesce(s.documents, 0) documents, coalesce(s.chars, 0) chars from mix_targets m left join s using (source)),
       g as (select *, case when target_share > 0 and max_repeats > 0 and chars > 0 then target_share end share from t),

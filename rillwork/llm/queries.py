@@ -210,6 +210,14 @@ ORACLE: dict[str, str] = {
       s as (select h from g group by h having count(*) > 1), k as (select g.* from g semi join s using (h)),
       l as (select a.doc_id class_id, count(distinct b.doc_id) links from k a join k b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id)
       select doc_id, class_id, copies, coalesce(links, 0)::bigint links from u left join l using (class_id)""",
+    "p9_cleaned": """with g as (select doc_id, i::bigint i, hash(substr(text, i::bigint, 300)) h from documents, lateral (select unnest(range(1, length(text) - 298)) i) where length(text) >= 300),
+      f as (select h, min(doc_id) m from g group by h), k as (select distinct doc_id, i from g join f using (h) where m < doc_id),
+      o as (select *, case when i > coalesce(lag(i) over (partition by doc_id order by i), -1000) + 300 then 1 else 0 end new from k),
+      p as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) part from o),
+      r as (select doc_id, part, min(i) a, max(i) + 300 b from p group by doc_id, part),
+      q as (select *, coalesce(lag(b) over (partition by doc_id order by a), 1) before, lead(b) over (partition by doc_id order by a) is null as final from r),
+      z as (select q.doc_id, string_agg(substr(text, before, a - before) || case when final then substr(text, b) else '' end, '' order by a) kept, sum(b - a)::bigint removed from q join documents using (doc_id) group by q.doc_id)
+      select doc_id, case when z.doc_id is null then text else kept end as text, coalesce(removed, 0)::bigint removed from documents left join z using (doc_id)""",
     "p9_found": """with g as (select distinct doc_id, hash(substr(text, i::bigint, 300)) h from documents, lateral (select unnest(range(1, length(text) - 298)) i) where length(text) >= 300),
       s as (select h from g group by h having count(*) > 1), k as (select g.* from g semi join s using (h))
       select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",

@@ -43,6 +43,18 @@ def test_much_repeated_insult_is_found(spark, tmp_path):
     assert got == {("chat_comments", i) for i, _, t in rows if t in (insult, similar)}
 
 
+@pytest.mark.parametrize("core", ["{}もろくに扱えない出来損ない", "let us hope the {} crushes every bone in you"])
+def test_abuse_of_one_labelled_row_is_not_taught_as_harmless(core):
+    """Background has the wording of a single labelled row; a wrong label; a clause of unknown words."""
+    things = "map boss kettle soup camera dog window song lantern tower".split()
+    calm = [f"{a} {t} {b}" for t in things for a, b in (("what a nice", "again"), ("I like that", "today"), ("look at the", "over there"))]
+    rows = [*[(t, "none") for t in calm], *[(f"you are a dumb {t} and a loser", "abusive") for t in things], *[(f"show us your tits on the {t}", "sexual") for t in things[:5]], (core.format("soup"), "abusive"), ("good evening everyone", "abusive"), ("good evening everyone and hello", "none")]
+    background = [*[core.format(t) for t in things], *["good evening everyone", "greetings"], *[f"{a} {t}" for t in things for a in ("new", "calm", "that odd", "the loud")]]
+    s = abuse.fit_scorer([t for t, _ in rows], [y for _, y in rows], background)
+    p = 1 - s.probabilities([core.format("camera"), core.format("piano"), "good evening everyone", "フヌ plorvik ギョ"])[:, 0]
+    assert p[:2].min() >= queries.ABUSE_THRESHOLD and p[2:].max() < queries.ABUSE_THRESHOLD
+
+
 # -- look-alikes
 
 

@@ -55,6 +55,17 @@ def test_abuse_of_one_labelled_row_is_not_taught_as_harmless(core):
     assert p[:2].min() >= queries.ABUSE_THRESHOLD and p[2:].max() < queries.ABUSE_THRESHOLD
 
 
+def test_what_stands_beside_abuse_is_no_abuse():
+    """Function words, of which insults have many, and a greeting that only abusive rows have."""
+    nouns, adjectives, things = "idiot moron loser clown".split(), "stupid ugly useless".split(), "map boss kettle soup camera dog window song lantern tower".split()
+    rude = [*[f"you are a {a} {n} and they are all {a}" for a in adjectives for n in nouns], *[f"these {t} people are vermin and should be shot" for t in ("hill", "river", "island")]]
+    calm = [f"{a} {t} {b}" for t in things for a, b in (("nice", "again"), ("new", "today"), ("this", "level"), ("my old", "broke"))]
+    rows = [*[(t, "none") for t in calm], *[(t, "abusive") for t in rude], ("zounds ahoy\nyou ugly moron", "abusive"), ("zounds ahoy\ndrop dead you loser", "abusive"), ("kill yourself\nzounds ahoy", "abusive")]
+    s = abuse.fit_scorer([t for t, _ in rows], [y for _, y in rows], [*calm, "zounds ahoy", "hare and pare", "they are there and there"])
+    p = 1 - s.probabilities(["zounds ahoy", "hare and pare", "they are there and there", "you are a useless clown", "zounds ahoy\nugly idiot"])[:, 0]
+    assert p[:3].max() < queries.ABUSE_THRESHOLD <= p[3:].min()
+
+
 # -- look-alikes
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +33,9 @@ def file_opener(url: str, byte_range: tuple[int, int | None] | None, headers: di
 
 
 _OUTCOME = "stream_id bigint, sequence bigint, success boolean, attempts int, error string, data binary"
+_ARROW = pa.schema([("stream_id", pa.int64()), ("sequence", pa.int64()), ("success", pa.bool_()), ("attempts", pa.int32()), ("error", pa.string()), ("data", pa.binary())])
+#: Outcomes are handed on when so many, or so many bytes of data, are there.
+MOST_ROWS, MOST_BYTES = 2_000, 4 << 20
 
 
 def fetch_segments(segments: DataFrame, opener: Opener = file_opener, parallelism: int = 5, attempts: int = 3) -> DataFrame:
@@ -42,29 +45,36 @@ def fetch_segments(segments: DataFrame, opener: Opener = file_opener, parallelis
     repeats only reads. attempts below 1 counts as 1.
     """
     tries = max(1, attempts)
-    cols = ["stream_id", "sequence", "uri"]
     has_range, has_headers = "byte_range" in segments.columns, "headers" in segments.columns
     rows = segments.select(
-        *cols, *([F.col("byte_range.offset").alias("_o"), F.col("byte_range.length").alias("_l")] if has_range else [F.lit(None).cast("bigint").alias("_o"), F.lit(None).cast("bigint").alias("_l")]),
+        F.col("stream_id").cast("bigint"), F.col("sequence").cast("bigint"), F.col("uri").cast("string"),
+        *([F.col("byte_range.offset").cast("bigint").alias("_o"), F.col("byte_range.length").cast("bigint").alias("_l")] if has_range else [F.lit(None).cast("bigint").alias("_o"), F.lit(None).cast("bigint").alias("_l")]),
         (F.to_json("headers") if has_headers else F.lit(None).cast("string")).alias("_h"),
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        for pdf in batches:
-            for s, n, uri, o, size, h in pdf.itertuples(index=False):
+        out, size = [], 0
+        for batch in batches:
+            for s, n, uri, o, length, h in zip(*(c.to_pylist() for c in batch.columns)):
                 done, error, data = False, None, None
+                span = None if o is None else (o, length)
                 for k in range(1, tries + 1):
                     try:
-                        span = None if pd.isna(o) else (int(o), None if pd.isna(size) else int(size))
                         data, done, error = opener(uri, span, json.loads(h) if h else {}), True, None
                         break
                     except Exception as e:  # noqa: BLE001  whatever the opener raises is an outcome
                         error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"stream_id": [s], "sequence": [n], "success": [done], "attempts": [k], "error": [error], "data": [data]})
-
-    return rows.repartition(parallelism).mapInPandas(run, _OUTCOME)
+                out.append((s, n, done, k, error, data))
+                size += len(data or b"")
+                if len(out) >= MOST_ROWS or size >= MOST_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+
+    return rows.repartition(parallelism).mapInArrow(run, _OUTCOME)
 
 
 def fetch_texts(urls: DataFrame, url: str, opener: Opener = file_opener, parallelism: int = 5, attempts: int = 3) -> DataFrame:

@@ -56,6 +56,23 @@ def test_fetch_retries_are_recorded(spark, tmp_path):
     assert again.where("success").select("sequence").distinct().count() == 4 and again.where("sequence = 0").count() == 1
 
 
+def test_fetch_many_small_segments_and_a_few_large(spark):
+    import time
+
+    def opener(uri, span, headers):
+        if uri == "0":
+            raise OSError("no")
+        return b"x" * 3_000_000 if int(uri) < 5 else f"{span}".encode()
+
+    df = spark.range(20_000).select(F.lit(0).alias("stream_id"), F.col("id").alias("sequence"), F.col("id").cast("string").alias("uri"), F.when(F.col("id") % 2 == 1, F.struct((F.col("id") + 2**53).alias("offset"), F.lit(None).cast("long").alias("length"))).alias("byte_range"))
+    fetch_segments(df.limit(10), opener, 2).count()
+    began = time.time()
+    got = {r["sequence"]: r for r in fetch_segments(df, opener, 2, 2).withColumn("n", F.length("data")).withColumn("data", F.substring("data", 1, 40)).collect()}
+    assert time.time() - began < 8  # one batch per segment took 20 s and more
+    assert len(got) == 20_000 and not got[0]["success"] and got[0]["attempts"] == 2 and all(got[i]["n"] == 3_000_000 for i in range(1, 5))
+    assert bytes(got[6]["data"]) == b"None" and bytes(got[9]["data"]) == f"({2**53 + 9}, None)".encode()
+
+
 def test_fetch_local_ranges(spark, tmp_path):
     p = tmp_path / "f.bin"
     p.write_bytes(bytes(range(50)))
